@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash, warc
+from . import licenses, mixing, quality, simhash, warc
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("doc_id", "source", "block", "slot", "place", "release", "deadline", F.round("weight", 6).alias("weight"))
+
+
 def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).drop("payload", "url")
 
@@ -24,10 +29,76 @@ def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line_no", "scope", "license", F.round("dice", 6).alias("dice"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op6_pfair_mixing": op6_pfair_mixing,
     "op7_warc_bundles": op7_warc_bundles,
     "op8_quality_qda": op8_quality_qda,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LICENSE_TEMPLATES = ", ".join(
+    f"({i}, '{k}', '{s}', [{', '.join(repr(x) for x in licenses.template_bigrams(t))}])" for i, k, s, t in licenses.template_rows()
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_pfair_mixing": """
+        WITH RECURSIVE mass AS (SELECT coalesce(source, '') AS source, sqrt(count(*)) AS mass FROM documents GROUP BY 1),
+        shares AS (SELECT source, CAST(greatest(1, floor(1000 * mass / sum(mass) OVER () + 0.5)) AS BIGINT) AS share FROM mass),
+        held AS (SELECT list(source ORDER BY source) AS names, list(share ORDER BY source) AS shares,
+                        CAST(sum(share) AS BIGINT) AS total FROM shares),
+        edf(t, done, k) AS (
+            SELECT CAST(-1 AS BIGINT), list_transform(shares, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM held
+            UNION ALL
+            SELECT t + 1, list_transform(done, lambda n, i: CASE WHEN i = c THEN n + 1 ELSE n END), CAST(c AS BIGINT)
+            FROM (SELECT t, done, total, list_min(list_filter(list_transform(shares, lambda s, i:
+                      CASE WHEN done[i] * total // s <= t + 1 THEN ((done[i] + 1) * total + s - 1) // s * 100000 + i END),
+                      lambda x: x IS NOT NULL)) % 100000 AS c
+                  FROM edf, held WHERE t + 1 < total)
+        ),
+        cycle AS (SELECT names[k] AS source, shares[k] AS share, total, t AS slot,
+                         row_number() OVER (PARTITION BY k ORDER BY t) - 1 AS turn FROM edf, held WHERE t >= 0),
+        ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY coalesce(source, '')
+                          ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r FROM documents),
+        blocks AS (SELECT *, r // 16 AS b FROM ranked)
+        SELECT d.doc_id, d.source, b + 1 AS block, b // c.share * total + c.slot AS slot, CAST(r % 16 AS INTEGER) AS place,
+               b * total // c.share AS release, ((b + 1) * total + c.share - 1) // c.share AS deadline,
+               round(c.share / total, 6) AS weight
+        FROM blocks d JOIN cycle c ON coalesce(d.source, '') = c.source AND c.turn = b % c.share
+    """,
+    "op10_license_scan": f"""
+        WITH known(template, license, scope, grams) AS (VALUES {_LICENSE_TEMPLATES}),
+        units AS (
+            SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, 'line' AS scope, lines[i] AS unit
+            FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS u(i)
+            UNION ALL SELECT doc_id, -1, 'text', text FROM documents
+        ),
+        words AS (SELECT doc_id, line_no, scope, list_filter(regexp_split_to_array(
+                         translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'),
+                         lambda w: w <> '') AS w FROM units),
+        grams AS (SELECT doc_id, line_no, scope,
+                         list_distinct(list_transform(range(2, len(w) + 1), lambda i: w[i - 1] || ' ' || w[i])) AS g FROM words),
+        scored AS (SELECT doc_id, line_no, g.scope, license, template,
+                          2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
+                   FROM grams g JOIN known k ON g.scope = k.scope
+                       AND len(g) BETWEEN len(grams) * 0.8 / 1.2 AND len(grams) * 1.2 / 0.8)
+        SELECT doc_id, line_no, scope, license, round(CAST(dice AS DOUBLE), 6) AS dice FROM scored WHERE dice >= 0.8
+        QUALIFY row_number() OVER (PARTITION BY doc_id, line_no, scope ORDER BY dice DESC, template) = 1
+    """,
+    "op7_warc_bundles": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex,
+                          min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
+        SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST(1 + ((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT)
+                             >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+               CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id > first_id THEN first_id END AS refers_to
+        FROM p
+    """,
+}
