@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, simhash, warc
+from . import decontamination, licenses, mixing, quality, simhash, warc
 from .common import table
 
 
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -35,6 +39,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_spaced_seeds": op2_spaced_seeds,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op6_pfair_mixing": op6_pfair_mixing,
     "op7_warc_bundles": op7_warc_bundles,
@@ -47,6 +52,33 @@ _LICENSE_TEMPLATES = ", ".join(
 )
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_spaced_seeds": """
+        WITH words AS (
+            SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+            FROM documents
+            UNION ALL
+            SELECT 'i', item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')
+            FROM benchmark
+        ),
+        starts AS (SELECT kind, id, w, CAST(p AS BIGINT) AS p FROM words, unnest(range(1, len(w) + 1)) AS u(p)),
+        seeds AS (
+            SELECT kind, id, p, 0 AS mask, concat_ws(' ', w[p], w[p+1], w[p+3], w[p+5], w[p+6], w[p+7]) AS seed
+            FROM starts WHERE p + 7 <= len(w)
+            UNION ALL
+            SELECT kind, id, p, 1, concat_ws(' ', w[p], w[p+1], w[p+2], w[p+3], w[p+7], w[p+9]) FROM starts WHERE p + 9 <= len(w)
+        ),
+        hits AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id, d.p AS p, i.p AS q
+                 FROM seeds d JOIN seeds i ON d.kind = 'd' AND i.kind = 'i' AND d.mask = i.mask AND d.seed = i.seed),
+        checked AS (
+            SELECT doc_id, item_id, p, list_max(list_transform(range(-5, 1), lambda s: list_sum(list_transform(range(0, 13), lambda j:
+                   CASE WHEN p + s + j >= 1 AND q + s + j >= 1 AND d.w[p + s + j] = i.w[q + s + j] THEN 1 ELSE 0 END)))) AS matched
+            FROM hits JOIN words d ON d.kind = 'd' AND d.id = doc_id JOIN words i ON i.kind = 'i' AND i.id = item_id
+        )
+        SELECT doc_id, item_id, CAST(max(matched) AS INTEGER) AS matched, CAST(min(p) - 1 AS INTEGER) AS first_word
+        FROM checked WHERE matched >= 11 GROUP BY doc_id, item_id
+    """,
     "op6_pfair_mixing": """
         WITH RECURSIVE mass AS (SELECT coalesce(source, '') AS source, sqrt(count(*)) AS mass FROM documents GROUP BY 1),
         shares AS (SELECT source, CAST(greatest(1, floor(1000 * mass / sum(mass) OVER () + 0.5)) AS BIGINT) AS share FROM mass),
