@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, mixing, quality, simhash, warc
+from . import decontamination, licenses, mixing, pii, quality, simhash, warc
 from .common import table
 
 
@@ -20,6 +20,12 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = (F.size(F.filter("base", pii.is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS)
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+
+
 def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return mixed.select("doc_id", "source", "block", "slot", "place", "release", "deadline", F.round("weight", 6).alias("weight"))
@@ -41,6 +47,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_spaced_seeds": op2_spaced_seeds,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_pii_bootstrap": op5_pii_bootstrap,
     "op6_pfair_mixing": op6_pfair_mixing,
     "op7_warc_bundles": op7_warc_bundles,
     "op8_quality_qda": op8_quality_qda,
