@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, mixing, pii, quality, simhash, warc
+from . import decontamination, licenses, mixing, pii, quality, simhash, topk, warc
 from .common import table
 
 
+def op1_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,6 +50,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pivot_topk": op1_pivot_topk,
     "op2_spaced_seeds": op2_spaced_seeds,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_pii_bootstrap": op5_pii_bootstrap,
@@ -59,6 +65,15 @@ _LICENSE_TEMPLATES = ", ".join(
 )
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_pivot_topk": """
+        WITH wide AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+        v AS (SELECT vec_id, list_transform(e, lambda x: floor(1024 * x)) AS v FROM wide
+              WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+                   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 10
+    """,
     "op2_spaced_seeds": """
         WITH words AS (
             SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
