@@ -156,6 +156,11 @@ def held_out(fold: int = 2, folds: int = 4) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
 
 
+def _train(rows: DataFrame, labels: DataFrame, label: str) -> Discriminant | float:
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).where("label is not null")
+    return fit(rows.where(~held_out()).join(marks, "doc_id"), "label")
+
+
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -165,7 +170,31 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     without any).  Scores are probabilities of label 1, 1 is predicted from ``threshold`` up.
     """
     rows = materialize(features(docs), "features")
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).where("label is not null")
-    model = fit(rows.where(~held_out()).join(marks, "doc_id"), "label")
+    model = _train(rows, labels, label)
     scored = rows.mapInArrow(_score_kernel(model), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _keep_kernel(model: Discriminant | float, text: int, threshold: float):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if isinstance(model, Discriminant):
+                x = np.array([statistics((t.as_py() or "").encode()) for t in batch.column(text)], np.float64).reshape(-1, len(FEATURES))
+                score = 1 / (1 + np.exp(-np.clip(model.log_odds(x), -700, 700)))
+            else:
+                score = np.full(len(batch), model)
+            yield batch.filter(pa.array(score >= threshold))
+
+    return kernel
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, all columns kept; see :func:`classify`.  Without labels
+    of both classes nothing is known against any row, and all are kept.
+
+    Rows are scored where they are read, so no text is shuffled and repeated or null ids need no care.
+    """
+    model = _train(materialize(features(docs), "features"), labels, label)
+    if not isinstance(model, Discriminant):
+        return docs
+    return docs.mapInArrow(_keep_kernel(model, docs.columns.index("text"), threshold), docs.schema)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, release, word_chunks
@@ -54,15 +54,20 @@ def _fingerprint_kernel(width: int, seed: int):
         for batch in batches:
             prints = [simhash((t.as_py() or "").encode(), width, seed) for t in batch.column(1)]
             signed = np.array(prints, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(signed)], ["doc_id", "key", "fp"])
 
     return kernel
 
 
+def row_key() -> Column:
+    """A hash of a row's id and text: what tells rows apart whose id is null or repeated."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) per document; fp is the fingerprint as a signed long."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprint_kernel(width, seed), "doc_id long, fp long")
+    """(doc_id, key, fp) per document; fp is the fingerprint as a signed long, key the row's key."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("key"))
+    return rows.mapInArrow(_fingerprint_kernel(width, seed), "doc_id long, key long, fp long")
 
 
 def cells_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +168,15 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
     return dealt.mapInArrow(_link_kernel(distance), "a long, b long").where("a <> b").distinct()
 
 
+def _rooted(docs: DataFrame, width: int, seed: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and of each distinct one (fp, least_id, root), root naming its component."""
+    prints = materialize(fingerprints(docs, width, seed), "fingerprints")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    linked = components(links(distinct, distance), "a", "b")
+    release(docs.sparkSession)
+    return prints, distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs`` (columns doc_id, text; others are ignored).
 
@@ -173,12 +187,17 @@ def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, distance: i
 
     Copies meet once as one distinct fingerprint, so groups of copies cost nothing beyond the aggregate.
     """
-    spark = docs.sparkSession
-    prints = materialize(fingerprints(docs, width, seed), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    linked = components(links(distinct, distance), "a", "b")
-    release(spark)
-    rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints, rooted = _rooted(docs, width, seed, distance)
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     label = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(label, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
+    """One row of ``docs`` for each component of near-duplicates, all columns kept: the row with the smallest doc_id
+    (null ids last), and of rows that repeat both id and text any one."""
+    prints, rooted = _rooted(docs, width, seed, distance)
+    order = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("key"))
+    first = prints.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("first"))
+    kept = first.select(F.col("first.key").alias("_key")).distinct()
+    return docs.withColumn("_key", row_key()).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
