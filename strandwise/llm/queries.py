@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, mixing, pii, quality, simhash, suffixtree, topk, warc
+from . import decontamination, licenses, mixing, pii, quality, simhash, suffixdedup, suffixtree, topk, warc
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "line_no", "scope", "license", F.round("dice", 6).alias("dice"))
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pfair_mixing": op6_pfair_mixing,
     "op7_warc_bundles": op7_warc_bundles,
     "op8_quality_qda": op8_quality_qda,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
 }
 
