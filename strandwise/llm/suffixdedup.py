@@ -31,7 +31,7 @@ from .common import materialize, release
 
 LENGTH = 100
 K = 36
-SLICE = 1 << 20  # positions in one slice; they fit the low bits of a packed hash
+SLICE = 1 << 18  # positions in one slice; they fit the low bits of a packed hash
 _LOW = np.uint64(SLICE - 1)
 _TOP = np.uint64(1 << 63)
 _TABLES = np.random.default_rng(20_240_229).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
@@ -83,26 +83,34 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
 
 
-def runs_of(data: np.ndarray, ends: np.ndarray, poly: Polynomial, heavy: np.ndarray) -> tuple[np.ndarray, ...]:
+class Heavy:
+    """The hashes of K-grams that anchor too many runs, with a table of their leading bits in front."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = np.sort(hashes)
+        self.table = np.zeros(1 << 22, bool)
+        self.table[(hashes >> np.uint64(42)).astype(np.int64)] = True
+
+    def places(self, grams: np.ndarray) -> np.ndarray:
+        near = np.nonzero(self.table[(grams >> np.uint64(42)).astype(np.int64)])[0]
+        at = np.minimum(np.searchsorted(self.hashes, grams[near]), max(0, len(self.hashes) - 1))
+        return near[self.hashes[at] == grams[near]] if len(near) else near
+
+
+def runs_of(data: np.ndarray, ends: np.ndarray, poly: Polynomial, heavy: Heavy | None) -> tuple[np.ndarray, ...]:
     """Runs of one slice: (anchor hash, first suffix, number of suffixes, anchor - first suffix).
 
     ``ends`` are the ends of the pieces of text that make up the slice; no suffix of LENGTH crosses one.
     """
     grams = _mix(poly.grams(poly.prefixes(data), K))
     packed = (grams >> np.uint64(1) & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
+    if heavy is not None:
+        packed[heavy.places(grams)] |= _TOP
     starts = np.concatenate(([0], ends[:-1]))
     first = np.concatenate([np.arange(a, max(a, b - LENGTH + 1)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-    while True:
-        anchor = (_least(packed, LENGTH - K + 1)[first] & _LOW).astype(np.int64)
-        cuts = np.nonzero(np.diff(anchor, prepend=-1))[0]
-        at = anchor[cuts]
-        if not len(heavy):
-            break
-        j = np.minimum(np.searchsorted(heavy, grams[at]), len(heavy) - 1)
-        shun = at[(heavy[j] == grams[at]) & (packed[at] < _TOP)]
-        if not len(shun):
-            break
-        packed[shun] |= _TOP
+    anchor = (_least(packed, LENGTH - K + 1)[first] & _LOW).astype(np.int64)
+    cuts = np.nonzero(np.diff(anchor, prepend=-1))[0]
+    at = anchor[cuts]
     size = np.diff(np.concatenate((cuts, [len(anchor)])))
     return grams[at], first[cuts], size, at - first[cuts]
 
@@ -177,7 +185,7 @@ def _repeated(h: np.ndarray) -> np.ndarray:
 
 def _heavy_kernel(least: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poly, none = Polynomial(0), np.zeros(0, np.uint64)
+        poly = Polynomial(0)
         held: list[np.ndarray] = []
         size = 0
 
@@ -188,9 +196,9 @@ def _heavy_kernel(least: int):
 
         for batch in batches:
             for data, ends, _, _ in _slices(batch):
-                held.append(runs_of(data, ends, poly, none)[0])
+                held.append(runs_of(data, ends, poly, None)[0])
                 size += len(held[-1])
-                if size >= 1 << 21:
+                if size >= 1 << 19:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -201,7 +209,7 @@ def _heavy_kernel(least: int):
 
 def _run_kernel(heavy: np.ndarray, bits: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poly, other = Polynomial(0), Polynomial(1)
+        poly, other, shunned = Polynomial(0), Polynomial(1), Heavy(heavy)
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
@@ -227,14 +235,15 @@ def _run_kernel(heavy: np.ndarray, bits: int):
 
         for batch in batches:
             for data, ends, ids, offsets in _slices(batch):
-                h, first, r, o = runs_of(data, ends, poly, heavy)
+                h, first, r, o = runs_of(data, ends, poly, shunned)
+                h = _mix(h)  # anchors are least hashes: mixed again, their leading bits are even
                 content = other.spans(other.prefixes(data), first, r + LENGTH - 1)
                 sig = _mix(content + (r * 128 + o).astype(np.uint64)) >> np.uint64(24)
                 piece = np.searchsorted(ends, first, "right")
                 start = np.concatenate(([0], ends[:-1]))[piece]
                 held.append((h, sig, ids[piece], first - start + offsets[piece], r, o))
                 size += len(h)
-                if size >= 1 << 20:
+                if size >= 1 << 19:
                     yield flush()
                     held, size = [], 0
         if held:

@@ -79,8 +79,8 @@ def test_small_slices_and_heavy_anchors(spark, monkeypatch):
     for t in rows:
         raw = np.frombuffer((t[1] or "").encode(), np.uint8)
         if len(raw) >= 100 and len(raw) < 1 << 9:
-            spy(raw, np.array([len(raw)]), sd.Polynomial(0), np.zeros(0, np.uint64))
-    heavy = np.sort(np.array(sorted(grams)[::2], np.uint64))
+            spy(raw, np.array([len(raw)]), sd.Polynomial(0), None)
+    heavy = sd.Heavy(np.array(sorted(grams)[::2], np.uint64))
     monkeypatch.setattr(sd, "runs_of", lambda data, ends, poly, _: real(data, ends, poly, heavy))
     assert run(spark, rows) == want
 
