@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_array
+from .common import SPACE
 
 WINDOW = 13
 MATCHES = 11
@@ -20,6 +20,12 @@ _OFFSETS = sorted({o for m in MASKS for o in m})
 _BEFORE = max(WINDOW - 1 - m[-1] for m in MASKS)  # words before a seed in the windows that hold it
 
 
+def plain_words(text: Column) -> Column:
+    """Words in lower case without their signs; what has neither letter nor digit is no word."""
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}\\x20\\x09-\\x0D]+", "")
+    return F.array_remove(F.split(bare, SPACE + "+"), "")
+
+
 def _seeds(words: Column, starts: Column) -> Column:
     """An array of structs, one a seed start, of the words at all offsets that a mask uses; null past the end."""
     return F.arrays_zip(*(F.slice(words, o + 1, starts).alias(f"w{o}") for o in _OFFSETS))
@@ -45,20 +51,20 @@ def overlaps(docs: DataFrame, items: DataFrame, piece: int = 4096, broadcast_row
     """(doc_id, item_id, matched, first_word) for every pair of a document and a test item that align with at least
     11 equal words in some 13 successive positions; ``matched`` is the most found, ``first_word`` the earliest seed.
 
-    docs needs doc_id and text, items item_id and text; other columns are ignored.  Words are compared with A-Z in
-    lower case.  Null, empty and shorter texts overlap with nothing; rows with a null id are left out; repeated rows
+    docs needs doc_id and text, items item_id and text; other columns are ignored.  Words are compared in
+    lower case and by their letters and digits only.  Null, empty and shorter texts overlap with nothing; rows with a null id are left out; repeated rows
     count as one; empty tables give no rows.  Texts are cut into pieces of ``piece`` seed starts with a margin, so a
     very long one is never one array of seeds.
 
     Test seeds are broadcast up to ``broadcast_rows``; a larger test set is joined by a shuffle on the seed.
     """
-    tests = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), word_array(F.col("text").cast("string")).alias("item"))
+    tests = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), plain_words(F.col("text").cast("string")).alias("item"))
     starts = tests.select("item_id", F.posexplode(_seeds(F.col("item"), F.size("item"))).alias("item_at", "seed"))
     known = starts.select("item_id", "item_at", F.explode(_hashes("seed")).alias("hash")).where("hash is not null").distinct()
     small = known.count() <= broadcast_rows
     hint = F.broadcast if small else (lambda df: df)
 
-    words = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), word_array(F.col("text").cast("string")).alias("words"))
+    words = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), plain_words(F.col("text").cast("string")).alias("words"))
     cut = words.select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words"), F.lit(piece))).alias("from"))
     # a piece starts with the margin before its first seed start
     first = F.greatest(F.lit(0), F.col("from") - _BEFORE)

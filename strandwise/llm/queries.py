@@ -85,15 +85,9 @@ ORACLE_SQL: dict[str, str] = {
         FROM scored QUALIFY rank <= 10
     """,
     "op2_spaced_seeds": """
-        WITH words AS (
-            SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
-            FROM documents
-            UNION ALL
-            SELECT 'i', item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')
-            FROM benchmark
-        ),
+        WITH texts AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+        words AS (SELECT kind, id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')),
+                  '[^\\p{L}\\p{N}\\x20\\x09-\\x0D]+', '', 'g'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM texts),
         starts AS (SELECT kind, id, w, CAST(p AS BIGINT) AS p FROM words, unnest(range(1, len(w) + 1)) AS u(p)),
         seeds AS (
             SELECT kind, id, p, 0 AS mask, concat_ws(' ', w[p], w[p+1], w[p+3], w[p+5], w[p+6], w[p+7]) AS seed

@@ -11,7 +11,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def words(text):
-    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return [w for w in ("".join(c for c in x if c.isalnum()) for x in WORD.findall((text or "").lower())) if w]
 
 
 def brute(docs, items):
@@ -32,7 +32,7 @@ def brute(docs, items):
 
 def cases():
     rng = random.Random(11)
-    vocab = ["w%d" % i for i in range(300)]
+    vocab = ["wé%d" % i for i in range(300)]
     text = lambda n: [rng.choice(vocab) for _ in range(n)]
     items = [(k, " ".join(text(rng.randint(11, 40)))) for k in range(12)] + [(50, None), (51, ""), (52, "a b c"), (None, "x y"), (3, "")]
     docs = [(0, None), (1, ""), (2, " \n"), (None, items[0][1]), (3, items[1][1]), (3, items[1][1])]
@@ -41,6 +41,7 @@ def cases():
         passage = passage[rng.randint(0, 3) : len(passage) - rng.randint(0, 3)]
         for _ in range(rng.randint(0, 4)):
             passage[rng.randrange(len(passage))] = "changed"
+        passage = [w + rng.choice(["", "", ",", "!!", " |"]) for w in passage]
         docs.append((10 + i, " ".join(text(rng.randint(0, 30)) + passage + text(rng.randint(0, 30))).upper()))
     return docs, items
 
