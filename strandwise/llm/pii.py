@@ -176,7 +176,8 @@ def discover(
     edges = all_.select("kind", "instance", "seed", F.explode(sides).alias("p")).select("kind", "p.side", "p.word", "instance", "seed")
     edges = edges.groupBy("kind", "side", "word", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
     backed = edges.groupBy("kind", "side", "word").agg(F.count_if(F.col("seed") > 0).alias("seeds"))
-    backed = backed.where((F.col("seeds") >= support) & ~F.col("word").isin("<", ">")).select("kind", "side", "word")
+    # signs alone, and the ends of a text, are no lexical pattern
+    backed = backed.where((F.col("seeds") >= support) & F.col("word").rlike(r"\p{L}")).select("kind", "side", "word")
     edges = materialize(edges.join(backed, ["kind", "side", "word"]), "edges")
     totals = materialize(_count_words(docs, edges.select("word").distinct(), broadcast_rows), "totals")
     edges = edges.join(totals, "word")

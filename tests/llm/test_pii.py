@@ -68,6 +68,8 @@ def corpus():
     rows.append((200, "more prose kontakt: hidden.one@localhost and so on"))
     rows.append((201, "the 1234567812345678 the bystander@localhost the 42"))
     rows.append((202, "elsewhere hidden.one@localhost again"))
+    rows += [(300 + i, f"a decorated 4532015112830366%%% and {4 + i}.3.2.{i}%%% in junk") for i in range(9)]
+    rows.append((320, "signs are no context: 1234567812345678%%% stays"))
     return rows
 
 
