@@ -94,10 +94,11 @@ def extend(hits: DataFrame, genome: DataFrame, step: int = 1000, longest: int =
     a share ``ambiguous`` of its columns has no base of share ``similarity``; a query stops at the first that is not, at
     ``longest``, or with fewer than ``least`` sequences.  Rounds are bounded by longest / step.
     """
-    from ..operators import alignment as A
+    from . import alignment as A
+    from .clustering import written
     from .intervals import fetch
 
-    state = hits.groupBy("query").agg(F.count("*").alias("sequences"), F.lit(0).alias("extension"), (F.count("*") >= least).alias("active"))
+    state = written(hits.groupBy("query").agg(F.count("*").alias("sequences"), F.lit(0).alias("extension"), (F.count("*") >= least).alias("active")))
     for i in range(-(-longest // step)):
         low, high = extension_window(F.col("start"), F.col("end"), F.col("strand"), step, i)
         window = hits.join(state.where("active").select("query"), "query").select("query", "hit_id", "chrom", "strand", low.alias("start"), high.alias("end")).where("end > start")
@@ -105,7 +106,7 @@ def extend(hits: DataFrame, genome: DataFrame, step: int = 1000, longest: int =
         calls = A.column_counts(parts).groupBy(F.col("msa_id").alias("query")).agg((F.avg((A.call(similarity) == "N").cast("double")) <= ambiguous).alias("good"))
         met = state.join(calls, "query", "left")
         go = F.col("active") & F.coalesce("good", F.lit(False))
-        state = met.select("query", "sequences", F.when(go, F.col("extension") + step).otherwise(F.col("extension")).alias("extension"), go.alias("active"))
+        state = written(met.select("query", "sequences", F.when(go, F.col("extension") + step).otherwise(F.col("extension")).alias("extension"), go.alias("active")))
     return state.select("query", F.least(F.col("extension"), F.lit(longest)).alias("extension"))
 
 

@@ -39,25 +39,30 @@ def cluster_rollup(members: DataFrame, share: Column, cluster: str = "cluster",
     return members.groupBy(cluster).agg(F.max(share).alias("share"), best.alias("te_class"), F.get(grade, F.min(priority(F.col("evaluation"))) - 1).alias("evaluation"))
 
 
-def rank_by_share(clusters: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """Adds ``rank`` by share, largest first, in parts: a share bucket is ranked apart and offset by the counts of the
-    buckets before it, so the ranking is no single task."""
+def rank_by_share(clusters: DataFrame, cluster: str = "cluster", running: bool = False) -> DataFrame:
+    """Adds ``rank`` by share, largest first, and ``running``, the sum of the shares so far, if asked for.
+
+    Shares are ranked in 1024 buckets that are offset by the counts and sums of the buckets before them, so neither
+    the ranking nor the sum is a single task.
+    """
     bucket = F.least(F.lit(1023), F.floor(F.col("share") / (F.lit(1e-9) + F.col("_top")) * 1024))
     rows = clusters.crossJoin(F.broadcast(clusters.agg(F.max("share").alias("_top")))).withColumn("_bucket", bucket).drop("_top")
-    counts = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.col("share").desc(), cluster))
-    ranked = rows.withColumn("_inside", inside).join(F.broadcast(offsets), "_bucket")
-    return ranked.withColumn("rank", F.col("_before") + F.col("_inside")).drop("_bucket", "_inside", "_before")
-
-
-def share_crossings(clusters: DataFrame, total: Column | None = None, steps: tuple[float, ...] = STEPS) -> DataFrame:
+    sums = rows.groupBy("_bucket").agg(F.count("*").alias("_n"), F.sum("share").alias("_s"))
+    before = Window.orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_mass"))
+    inside = Window.partitionBy("_bucket").orderBy(F.col("share").desc(), cluster)
+    ranked = rows.withColumn("_inside", F.row_number().over(inside)).withColumn("_sum", F.sum("share").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.join(F.broadcast(offsets), "_bucket").withColumn("rank", F.col("_before") + F.col("_inside"))
+    if running:
+        ranked = ranked.withColumn("running", F.col("_mass") + F.col("_sum"))
+    return ranked.drop("_bucket", "_inside", "_before", "_sum", "_mass")
+
+
+def share_crossings(clusters: DataFrame, steps: tuple[float, ...] = STEPS) -> DataFrame:
     """(step, rank): the fewest top-ranked clusters whose cumulative share of all shares reaches each step."""
-    ranked = rank_by_share(clusters)
-    sums = ranked.agg(F.sum("share").alias("_all"))
-    running = F.sum("share").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    cumulative = ranked.withColumn("_run", running).crossJoin(F.broadcast(sums)).withColumn("_c", F.round(F.col("_run") / F.col("_all"), 9))
+    ranked = rank_by_share(clusters, running=True)
+    sums = clusters.agg(F.sum("share").alias("_all"))
+    cumulative = ranked.crossJoin(F.broadcast(sums)).withColumn("_c", F.round(F.col("running") / F.col("_all"), 9))
     met = cumulative.select("rank", F.explode(F.filter(F.array(*map(F.lit, steps)), lambda s: s <= F.col("_c"))).alias("step"))
     return met.groupBy("step").agg(F.min("rank").alias("rank"))
 

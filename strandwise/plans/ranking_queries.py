@@ -90,15 +90,11 @@ def clusters_kept(spark, sf_dir):
 
 
 @query(
-    """SELECT s_name, CAST(row_number() OVER (ORDER BY list_transform(regexp_extract_all(s_name || '_' || s_nationkey, '\\d+'), lambda x: CAST(x AS BIGINT)), s_name) AS INTEGER) AS place
-        FROM supplier ORDER BY place OFFSET 10 LIMIT 40"""
+    """SELECT s_name FROM supplier ORDER BY list_transform(regexp_extract_all(s_name || '_' || s_nationkey, '\\d+'), lambda x: CAST(x AS BIGINT)), s_name OFFSET 10 LIMIT 40"""
 )
 def natural_order_page(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     names = V.table(spark, sf_dir, "supplier").select("s_name", R.natural_key(F.concat_ws("_", "s_name", "s_nationkey")).alias("key"))
-    placed = names.withColumn("place", F.row_number().over(Window.orderBy("key", "s_name")))
-    return R.page(placed.drop("key"), ["place"], 10, 50)
+    return R.page(names, ["key", "s_name"], 10, 50).select("s_name")
 
 
 @query(f"WITH {V.RM} SELECT query, arg_min('r' || CAST(repeat AS VARCHAR) || '#' || class, (perc_div, 'r' || CAST(repeat AS VARCHAR))) AS label FROM rm GROUP BY query")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions.sequences import header_class, header_name, plain_int, plain_strand, unique_names
 
+# The column layouts of the formats.
 HITS = (
     "qseqid string, sseqid string, pident double, length long, mismatch long, gapopen long, qstart long, qend long, sstart long, send long, "
     "sstrand string, evalue double, qcovhsp long"
