@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, scratch_path
 
 #: Products below this are exact in doubles, whatever the order of their sum.
 EXACT = float(1 << 52)
@@ -182,8 +182,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = 64,
     itself with the largest inner products, all if there are fewer; ties go to the smaller vec_id.
 
     ``vectors`` is what :func:`integer_vectors` returns; shorter vectors are filled up with zeros, and scores beyond a
-    long are the nearest long.  Rows that share a vec_id are each a
-    candidate, and a query for each, but never for their own id.  An empty table, or no query, gives no rows.
+    long are the nearest long.  Rows that share a vec_id are each a candidate, one of them is the query, and none is a
+    candidate for their own id.  An empty table, or no query, gives no rows.
 
     Queries go to the index in blocks of ``block``, the only thing that is broadcast; each partition returns at
     most k rows a query.
@@ -196,12 +196,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = 64,
     chosen = materialize(index.where(is_query).select("vec_id", "v").dropDuplicates(["vec_id"]), "queries")
     total = chosen.count()
     blocks = max(1, math.ceil(total / block))
-    found = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    schema = "query_id long, vec_id long, score long"
+    path, wrote, found = scratch_path(spark, "nearest"), False, spark.createDataFrame([], schema)
     for b in range(blocks if total else 0):
         rows = chosen.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
         if not rows:
             continue
         ids, matrix = np.array([r.vec_id for r in rows], np.int64), np.array([r.v for r in rows], np.int64)
-        found = found.unionByName(index.mapInArrow(_search_kernel(matrix, ids, _floors(matrix, ids, own, own_ids, k), lifted, m, k), "query_id long, vec_id long, score long"))
+        kernel = _search_kernel(matrix, ids, _floors(matrix, ids, own, own_ids, k), lifted, m, k)
+        part = _best(index.mapInArrow(kernel, schema), k)
+        if blocks == 1:
+            return part
+        # each block is one job with one append, so neither plans nor retries grow with the number of blocks
+        part.drop("rank").write.mode("append").parquet(path)
+        wrote = True
+    return _best(spark.read.schema(schema).parquet(path) if wrote else found, k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
