@@ -112,13 +112,17 @@ def _hook(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def link_cells(cells: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def link_cells(cells: np.ndarray, prints: np.ndarray, distance: int, lags: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links inside each cell.  ``cells`` is sorted.  Every pair of a cell is compared
-    unless it is joined already; no list of pairs is built."""
+    unless it is joined already; no list of pairs is built.
+
+    Cells of more than ``lags`` rows are mostly one group of near copies: what the first lags have joined to the
+    largest set is not compared again, only what is outside it, with all of the cell.
+    """
     bits = prints.view(np.uint64)
     parent = np.arange(len(cells))
-    left, lag = np.arange(len(cells) - 1), 1
-    while True:
+    left = np.arange(len(cells) - 1)
+    for lag in range(1, lags + 1):
         left = left[: np.searchsorted(left, len(cells) - lag)]
         left = left[cells[left] == cells[left + lag]]
         if not len(left):
@@ -127,7 +131,13 @@ def link_cells(cells: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np
         near = open_[np.bitwise_count(bits[open_] ^ bits[open_ + lag]) <= distance]
         if len(near):
             _hook(parent, near, near + lag)
-        lag += 1
+    for cell in np.unique(cells[left]) if len(left) else ():
+        a, b = np.searchsorted(cells, [cell, cell + 1])
+        roots, sizes = np.unique(parent[a:b], return_counts=True)
+        for i in np.nonzero(parent[a:b] != roots[sizes.argmax()])[0] + a:
+            near = np.nonzero((np.bitwise_count(bits[a:b] ^ bits[i]) <= distance) & (parent[a:b] != parent[i]))[0] + a
+            if len(near):
+                _hook(parent, near, np.full(len(near), i))
     hung = np.nonzero(parent != np.arange(len(cells)))[0]
     return prints[hung], prints[parent[hung]]
 

@@ -75,6 +75,30 @@ def test_link_cells_keeps_chains_apart_and_together():
     assert set(zip(a.tolist(), b.tolist())) == {(15, 0), (255, 0)}
 
 
+@pytest.mark.parametrize("lags", [1, 7, 256])
+def test_large_cells_against_all_pairs(lags):
+    rng = np.random.default_rng(lags)
+    copies = np.zeros(400, np.uint64)
+    for _ in range(3):
+        copies ^= np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64)
+    strays = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    prints = np.unique(np.concatenate([copies, strays, strays[:20] ^ np.uint64(5)])).view(np.int64)
+    rng.shuffle(prints)
+    half = len(prints) // 2
+    cells = np.repeat([3, 9], [half, len(prints) - half])
+    a, b = simhash.link_cells(cells, prints, 4, lags)
+    for part in (prints[:half], prints[half:]):
+        want = brute_components([(int(p), int(p) % (1 << 64)) for p in sorted(part.tolist())])
+        inside = set(part.tolist())
+        got = {p: {p} for p in inside}
+        for x, y in zip(a.tolist(), b.tolist()):
+            if x in inside:
+                got[x] |= got[y]
+                for z in got[x]:
+                    got[z] = got[x]
+        assert {frozenset(g) for g in got.values()} == {frozenset(p for p in inside if want[p] == r) for r in set(want.values())}
+
+
 def test_long_text_in_chunks():
     text = " ".join("word%d" % (i % 977) for i in range(60_000))
     assert simhash.simhash(text.encode()) == brute_print(text)
