@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -150,24 +148,41 @@ def protein_class(text: Column) -> Column:
     return text
 
 
-def start_motif(seq: Column, start: Column, patterns: list[str], reach: int = 15) -> Column:
-    """The motif at a start: the first pattern that fits there exactly, if no earlier one missed; else the first
-    pattern's leftmost fit within ``reach``; else the text False.  Later patterns are not searched for."""
-    near = clipped(seq, start - reach, start + reach + len(patterns[0]))
-    return _motif(lambda p: clipped(seq, start, start + len(p)) == p, F.locate(patterns[0], near) > 0, patterns)
+def start_motif(seq: Column, start: Column, patterns: list[str], reach: int = 15, helitron: bool = False) -> Column:
+    """struct(pattern, matched, position) of the motif at a start.
+
+    The first pattern is taken if it fits at the start, or else at its leftmost place within ``reach``, to which the
+    start moves; a later pattern counts only if it fits at the start and the first was found nowhere, and leaves
+    ``matched`` false.  Without any, the pattern is the text False.  The leading A of helitron motifs is no part of
+    the element.
+    """
+    low = F.greatest(F.lit(0), start - reach)
+    at = F.locate(patterns[0], clipped(seq, low, start + reach))
+    moved = low + at - 1 + (1 if helitron and patterns[0].upper().startswith("A") else 0)
+    return _motif(lambda p: clipped(seq, start, start + len(p)) == p, at > 0, moved, start, patterns)
 
 
-def end_motif(seq: Column, end: Column, patterns: list[str], reach: int = 15) -> Column:
-    """The same for what ends at ``end``; the rescue takes the rightmost fit."""
-    near = clipped(seq, end - reach - len(patterns[0]), end + reach)
-    return _motif(lambda p: clipped(seq, end - len(p), end) == p, F.locate(patterns[0][::-1], F.reverse(near)) > 0, patterns)
+def end_motif(seq: Column, end: Column, patterns: list[str], reach: int = 15, helitron: bool = False) -> Column:
+    """The same for what ends at ``end``; the rescue takes the rightmost place, and the last T of helitron motifs is no
+    part of the element."""
+    low = F.greatest(F.lit(0), end - reach)
+    near = clipped(seq, low, end + reach)
+    at = F.locate(patterns[0][::-1], F.reverse(near))
+    moved = low + F.length(near) - at + 1 - (1 if helitron and patterns[0].upper().endswith("T") else 0)
+    return _motif(lambda p: clipped(seq, end - len(p), end) == p, at > 0, moved, end, patterns)
 
 
-def _motif(fits, rescue: Column, patterns: list[str]) -> Column:
-    out = F.when(fits(patterns[0]), patterns[0])
+def _motif(fits, rescue: Column, moved: Column, here: Column, patterns: list[str]) -> Column:
+    pattern = F.when(fits(patterns[0]) | rescue, patterns[0])
     for p in patterns[1:]:
-        out = out.when(fits(p), p)
-    return out.when(rescue, patterns[0]).otherwise("False")
+        pattern = pattern.when(fits(p), p)
+    position = F.when(fits(patterns[0]), here).when(rescue, moved).otherwise(here)
+    return F.struct(pattern.otherwise("False").alias("pattern"), (fits(patterns[0]) | rescue).alias("matched"), position.alias("position"))
+
+
+def wrapped(text: Column, width: int = 70) -> Column:
+    """Break a text into lines of at most ``width`` signs, at blanks."""
+    return F.regexp_replace(F.regexp_replace(F.concat(text, F.lit(" ")), f"(.{{1,{width}}})\\s+", "$1\n"), r"\n$", "")
 
 
 # Kernels.
@@ -251,32 +266,33 @@ def orfs(rows: DataFrame, name: str = "name", seq: str = "seq", least: int = 200
     return found.select(name, "o.*", F.concat(F.lit("ORF"), (F.col("k") + 1).cast("string")).alias("orf_name"))
 
 
-def poly_tail_end(seq: str, patterns: tuple[str, ...] = ("A",), least: int = 10, share: float = 0.4) -> int | None:
-    """Where a run of a pattern in the last ``share`` of a sequence ends.  Patterns come in order of priority.
+def poly_tail_end(seq: str, patterns: tuple[str, ...] = ("A",), least: int = 10) -> int | None:
+    """Where a run of a pattern in the last two fifths of a sequence ends, patterns in order of priority.
 
-    A single letter may be interrupted once where the run so far has 5 letters and is short of ``least``; the value
-    is the index of its last letter.  Longer patterns repeat ``least`` times without interruption; the value is the
-    end of the last such run.
+    The scan goes from the end to the front.  A run of a single letter may hold one other letter, which counts, where
+    5 or more but fewer than ``least`` letters precede it; the run must be ended by another letter inside the scanned
+    part, and the value is the index of its last letter.  Longer patterns need ``least`` repeats, without
+    interruption; the value is where the front one of these ends.
     """
     text = seq.upper()
-    floor = int(len(text) * (1 - share))
+    front = len(text) - int(len(text) // 2.5)
     for pattern in patterns:
-        if len(pattern) == 1:
-            run, broken, last = 0, False, None
-            for i in range(len(text) - 1, floor - 1, -1):
-                if text[i] == pattern:
-                    last = i if run == 0 else last
-                    run += 1
-                    if run >= least:
-                        return last
-                elif 5 <= run < least and not broken:
-                    broken = True
-                else:
-                    run, broken = 0, False
-        else:
-            found = [m.end() for m in re.finditer(f"(?:{re.escape(pattern)}){{{least},}}", text[floor:])]
-            if found:
-                return floor + found[-1]
+        k = len(pattern)
+        run, broken, i = 0, False, len(text) - k
+        while i >= front:
+            if text[i : i + k] == pattern:
+                run += 1
+                if k > 1 and run >= least:
+                    return i + k
+                i -= k
+                continue
+            if k == 1 and not broken and 5 <= run < least:
+                broken, run = True, run + 1
+            elif k == 1 and run >= least:
+                return i + run
+            else:
+                run, broken = 0, False
+            i -= 1
     return None
 
 

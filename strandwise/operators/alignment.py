@@ -185,7 +185,7 @@ def crop_threshold(parts: DataFrame, counts: DataFrame, window: int = 40, steps:
 def consensus_boundary(counts: DataFrame, window: int = 50, most: float = 0.3, threshold: float = 0.8, least: int = 0, buffer: int = 10) -> DataFrame:
     """(msa_id, start, end, extend_left, extend_right, stop): the outermost windows of the consensus with at most a share
     ``most`` of N.  Without one, start is the length and end is 1.  The vote's threshold is its own parameter; a bound
-    within ``buffer`` of an edge asks for extension."""
+    within ``buffer`` of an edge asks for extension, unless the bounds cross, which stops the element."""
     n = counts.withColumn("_v", (call(threshold, least) == "N").cast("int"))
     ahead, behind = _along().rowsBetween(0, window - 1), _along().rowsBetween(-(window - 1), 0)
     sums = n.withColumns({"_a": F.sum("_v").over(ahead), "_na": F.count("*").over(ahead), "_b": F.sum("_v").over(behind), "_nb": F.count("*").over(behind)})
@@ -195,7 +195,7 @@ def consensus_boundary(counts: DataFrame, window: int = 50, most: float = 0.3, t
         F.max(F.when((F.col("_nb") == window) & (F.col("_b") <= most * window), F.col("col") + 1)).alias("_e"),
     )
     start, end = F.coalesce(F.col("_s"), F.col("_len")), F.coalesce(F.col("_e"), F.lit(1))
-    return out.select("msa_id", start.alias("start"), end.alias("end"), (start <= buffer).alias("extend_left"), (end >= F.col("_len") - buffer).alias("extend_right"), (start >= end).alias("stop"))
+    return out.select("msa_id", start.alias("start"), end.alias("end"), ((start < end) & (start <= buffer)).alias("extend_left"), ((start < end) & (end >= F.col("_len") - buffer)).alias("extend_right"), (start >= end).alias("stop"))
 
 
 def gap_runs(counts: DataFrame, gap: float = 0.3, least: int = 10, similarity: float = 0.6, jump: float = 0.1, shortest: int = 3) -> DataFrame:

@@ -23,24 +23,25 @@ def grade(
     start: Column, end: Column, msa_start: Column, msa_end: Column, length: Column, full_hits: Column, partial_hits: Column, sequences: Column, has_terminal: Column,
     terminal_start: Column, terminal_end: Column,
 ) -> Column:
-    """Perfect: both boundaries agree within 15, three full hits, 40 from the edges.  Good: within the edges, and two
-    full hits or a terminal repeat that begins and ends within 40 (differences are signed).  Reco_check: 20 sequences
-    and two partial hits.  Need_ext within 10 of an edge.  Else Need_check."""
+    """Perfect: both boundaries agree within 15, three full hits, 40 from the edges.  Good: 40 from the edges, and two
+    full hits or a terminal repeat whose ends are at most 40 behind the boundary's (differences are signed).
+    Reco_check: 20 sequences and two partial hits.  Else Need_check."""
     agree = (F.abs(start - msa_start) <= 15) & (F.abs(end - msa_end) <= 15)
-    inside = (start >= 40) & (length - end >= 40)
-    terminal = has_terminal & (terminal_start - start <= 40) & (end - terminal_end <= 40)
+    inside = (start >= 40) & (end <= length - 40)
+    terminal = F.coalesce(has_terminal & (terminal_start - start <= 40) & (terminal_end - end <= 40), F.lit(False))
     return (
-        F.when((start <= 10) | (length - end <= 10), "Need_ext")
-        .when(agree & inside & (full_hits >= 3), "Perfect")
-        .when(inside & ((full_hits >= 2) | F.coalesce(terminal, F.lit(False))), "Good")
+        F.when(agree & inside & (full_hits >= 3), "Perfect")
+        .when(inside & ((full_hits >= 2) | terminal), "Good")
         .when((sequences >= 20) & inside & (partial_hits >= 2), "Reco_check")
         .otherwise("Need_check")
     )
 
 
-def promoted(evaluation: Column, full_hits: Column) -> Column:
-    """Elements that need a check but have three full-length hits are recommended for one."""
-    return F.when((evaluation == "Need_check") & (full_hits >= 3), "Reco_check").otherwise(evaluation)
+def promoted(evaluation: Column, start: Column, end: Column, length: Column, full_hits: Column, extended: Column) -> Column:
+    """Elements that need a check but have three full-length hits away from the edges are recommended for one; without
+    enough extension an element needs that first, whatever its grade."""
+    enough = (evaluation == "Need_check") & (start >= 40) & (F.abs(length - end) >= 40) & (full_hits >= 3)
+    return F.when(~extended, "Need_ext").when(enough, "Reco_check").otherwise(evaluation)
 
 
 def folder(evaluation: Column) -> Column:

@@ -69,10 +69,11 @@ def down_sample(hits: DataFrame, keys: list[str], length: str, order: list[str],
 def terminal_repeat(self_hits: DataFrame, lengths: DataFrame, ltr_slack: int = 3000, tir_slack: int = 2000) -> DataFrame:
     """(query, terminal, start, end): LTR for the widest direct self-hit of span 150 and up that lies downstream and
     spans all but ``ltr_slack``; TIR likewise for inverted ones of span 50 and up, but only where no direct candidate
-    exists at all, even one that fails the span test; else the text False."""
-    span = F.abs(F.col("qend") - F.col("qstart"))
-    direct = (F.col("send") > F.col("sstart")) & (span >= 150) & (F.col("sstart") > F.col("qend"))
-    inverted = (F.col("send") < F.col("sstart")) & (span >= 50) & (F.col("send") > F.col("qstart"))
+    exists at all, even one that fails the span test; else the text False.  Starts count from 0."""
+    span = F.col("qend") - F.col("qstart")
+    off = (F.col("qstart") != F.col("sstart")) & (F.col("qend") != F.col("send"))
+    direct = off & (span >= 150) & (F.col("sstart") < F.col("send")) & (F.col("sstart") > F.col("qstart"))
+    inverted = off & (span >= 50) & (F.col("sstart") > F.col("send")) & (F.col("send") > F.col("qstart"))
     rows = self_hits.select(
         "query", F.when(direct, "LTR").when(inverted, "TIR").alias("kind"), F.col("qstart").alias("start"),
         F.when(direct, F.col("send")).otherwise(F.col("sstart")).alias("end"), "ordinal",
@@ -83,7 +84,7 @@ def terminal_repeat(self_hits: DataFrame, lengths: DataFrame, ltr_slack: int = 3
     met = lengths.select("query", "length").join(chosen, "query", "left")
     slack = F.when(F.col("kind") == "LTR", ltr_slack).otherwise(tir_slack)
     holds = F.col("end") - F.col("start") >= F.col("length") - slack
-    return met.select("query", F.when(holds, F.col("kind")).otherwise("False").alias("terminal"), F.when(holds, F.col("start")).alias("start"), F.when(holds, F.col("end")).alias("end"))
+    return met.select("query", F.when(holds, F.col("kind")).otherwise("False").alias("terminal"), F.when(holds, F.col("start") - 1).alias("start"), F.when(holds, F.col("end")).alias("end"))
 
 
 def split_terminal(seqs: DataFrame, self_hits: DataFrame, least: int = 150, slack: int = 200) -> DataFrame:

@@ -149,7 +149,7 @@ def crop_threshold(spark, sf_dir):
         s AS (SELECT *, sum(v) OVER (PARTITION BY msa_id ORDER BY col ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS a, count(*) OVER (PARTITION BY msa_id ORDER BY col ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS na,
         sum(v) OVER (PARTITION BY msa_id ORDER BY col ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS b, count(*) OVER (PARTITION BY msa_id ORDER BY col ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS nb FROM v),
         o AS (SELECT msa_id, coalesce(min(col) FILTER (na = 8 AND a <= 0.5 * 8), count(*)) AS start, coalesce(max(col + 1) FILTER (nb = 8 AND b <= 0.5 * 8), 1) AS "end", count(*) AS n FROM s GROUP BY msa_id)
-        SELECT msa_id, start, CAST("end" AS BIGINT) AS "end", start <= 10 AS extend_left, "end" >= n - 10 AS extend_right, start >= "end" AS stop FROM o"""
+        SELECT msa_id, start, CAST("end" AS BIGINT) AS "end", start < "end" AND start <= 10 AS extend_left, start < "end" AND "end" >= n - 10 AS extend_right, start >= "end" AS stop FROM o"""
 )
 def consensus_boundary(spark, sf_dir):
     out = A.consensus_boundary(_counts(spark, sf_dir), 8, 0.5, 0.33)

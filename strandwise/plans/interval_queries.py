@@ -261,13 +261,13 @@ def hit_buckets(spark, sf_dir):
 @query(
     f"""WITH {V.M8}, {V.QUERY_LEN}, s AS (SELECT qseqid AS query, qstart, qend, CASE WHEN ordinal % 2 = 0 THEN sstart ELSE send END AS sstart,
         CASE WHEN ordinal % 2 = 0 THEN send ELSE sstart END AS send, ordinal FROM m8),
-        k AS (SELECT query, qstart AS start, ordinal, CASE WHEN send > sstart AND abs(qend - qstart) >= 150 AND sstart > qend THEN 'LTR'
-        WHEN send < sstart AND abs(qend - qstart) >= 50 AND send > qstart THEN 'TIR' END AS kind, CASE WHEN send > sstart THEN send ELSE sstart END AS "end" FROM s),
+        k AS (SELECT query, qstart AS start, ordinal, CASE WHEN qstart <> sstart AND qend <> send AND send > sstart AND qend - qstart >= 150 AND sstart > qstart THEN 'LTR'
+        WHEN qstart <> sstart AND qend <> send AND send < sstart AND qend - qstart >= 50 AND send > qstart THEN 'TIR' END AS kind, CASE WHEN send > sstart THEN send ELSE sstart END AS "end" FROM s),
         b AS (SELECT *, row_number() OVER (PARTITION BY query, kind ORDER BY start - "end", ordinal) AS r FROM k WHERE kind IS NOT NULL),
         c AS (SELECT *, max(CAST(kind = 'LTR' AS INTEGER)) OVER (PARTITION BY query) AS direct FROM b WHERE r = 1),
         d AS (SELECT q.query, kind, start, "end", "end" - start >= q.query_length * 100 - CASE WHEN kind = 'LTR' THEN 3000 ELSE 2000 END AS holds
         FROM query_len q LEFT JOIN (SELECT * FROM c WHERE kind = 'LTR' OR direct = 0) c ON c.query = q.query)
-        SELECT query, CASE WHEN holds THEN kind ELSE 'False' END AS terminal, CASE WHEN holds THEN start END AS start, CASE WHEN holds THEN "end" END AS "end" FROM d"""
+        SELECT query, CASE WHEN holds THEN kind ELSE 'False' END AS terminal, CASE WHEN holds THEN start - 1 END AS start, CASE WHEN holds THEN "end" END AS "end" FROM d"""
 )
 def terminal_repeats(spark, sf_dir):
     flip = F.col("ordinal") % 2 == 0

@@ -154,14 +154,17 @@ def interval_fetch(spark, sf_dir):
     return both.select("seq_id", "seq").join(plus, "seq_id")
 
 
-_MOTIF = """CASE WHEN substr(seq, 21, 2) = 'tg' THEN 'tg' WHEN substr(seq, 21, 2) = 'ca' THEN 'ca' WHEN contains(substr(seq, 6, 32), 'tg') THEN 'tg' ELSE 'False' END"""
-_MOTIF_END = """CASE WHEN substr(seq, 43, 2) = 'ca' THEN 'ca' WHEN contains(substr(seq, 28, 32), 'ca') THEN 'ca' ELSE 'False' END"""
+_MOTIF = """CASE WHEN substr(seq, 21, 2) = 'tg' OR contains(substr(seq, 6, 30), 'tg') THEN 'tg' WHEN substr(seq, 21, 2) = 'ca' THEN 'ca' ELSE 'False' END AS start_pattern,
+    CASE WHEN substr(seq, 21, 2) = 'tg' THEN 20 WHEN contains(substr(seq, 6, 30), 'tg') THEN 5 + instr(substr(seq, 6, 30), 'tg') - 1 ELSE 20 END AS start,
+    CASE WHEN substr(seq, 43, 2) = 'ca' OR contains(substr(seq, 30, 30), 'ca') THEN 'ca' ELSE 'False' END AS end_pattern,
+    CASE WHEN substr(seq, 43, 2) = 'ca' THEN 44 WHEN contains(substr(seq, 30, 30), 'ca') THEN 29 + 30 - instr(reverse(substr(seq, 30, 30)), 'ac') + 1 ELSE 44 END AS \"end\""""
 
 
-@query(f"{_WITH} SELECT seq_id, {_MOTIF} AS start_pattern, {_MOTIF_END} AS end_pattern FROM seqs")
+@query(f"{_WITH} SELECT seq_id, {_MOTIF} FROM seqs")
 def end_motifs(spark, sf_dir):
     seq = F.col("seq")
-    return V.msa(spark, sf_dir).select("seq_id", S.start_motif(seq, F.lit(20), ["tg", "ca"]).alias("start_pattern"), S.end_motif(seq, F.lit(44), ["ca"]).alias("end_pattern"))
+    rows = V.msa(spark, sf_dir).select("seq_id", S.start_motif(seq, F.lit(20), ["tg", "ca"]).alias("s"), S.end_motif(seq, F.lit(44), ["ca"]).alias("e"))
+    return rows.select("seq_id", F.col("s.pattern").alias("start_pattern"), F.col("s.position").cast("long").alias("start"), F.col("e.pattern").alias("end_pattern"), F.col("e.position").cast("long").alias("end"))
 
 
 @query(
@@ -211,17 +214,17 @@ _ELEMENTS = """e AS (SELECT o_orderkey AS name, o_custkey % 60 AS s, 1000 - o_or
 
 
 @query(
-    f"""WITH {_ELEMENTS}, g AS (SELECT name, f, CASE WHEN s <= 10 OR 1000 - e <= 10 THEN 'Need_ext' WHEN abs(s - ms) <= 15 AND abs(e - me) <= 15 AND s >= 40 AND 1000 - e >= 40 AND f >= 3 THEN 'Perfect'
-        WHEN s >= 40 AND 1000 - e >= 40 AND (f >= 2 OR (t AND ts - s <= 40 AND e - te <= 40)) THEN 'Good' WHEN n >= 20 AND s >= 40 AND 1000 - e >= 40 AND p >= 2 THEN 'Reco_check' ELSE 'Need_check' END AS evaluation FROM e),
-        h AS (SELECT name, CASE WHEN evaluation = 'Need_check' AND f >= 3 THEN 'Reco_check' ELSE evaluation END AS evaluation FROM g)
+    f"""WITH {_ELEMENTS}, g AS (SELECT *, CASE WHEN abs(s - ms) <= 15 AND abs(e - me) <= 15 AND s >= 40 AND e <= 960 AND f >= 3 THEN 'Perfect'
+        WHEN s >= 40 AND e <= 960 AND (f >= 2 OR (t AND ts - s <= 40 AND te - e <= 40)) THEN 'Good' WHEN n >= 20 AND s >= 40 AND e <= 960 AND p >= 2 THEN 'Reco_check' ELSE 'Need_check' END AS evaluation FROM e),
+        h AS (SELECT name, CASE WHEN name % 11 = 0 THEN 'Need_ext' WHEN evaluation = 'Need_check' AND s >= 40 AND abs(1000 - e) >= 40 AND n % 7 >= 3 THEN 'Reco_check' ELSE evaluation END AS evaluation FROM g)
         SELECT name, evaluation, evaluation AS folder FROM h"""
 )
 def element_grades(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     start, end = c % 60, 1000 - k % 70
     level = U.grade(start, end, start + k % 25, end - c % 13, F.lit(1000), k % 5, k % 4, c % 40, k % 3 == 0, start + k % 90, 900 + c % 60)
-    rows = V.table(spark, sf_dir, "orders").select(k.alias("name"), U.promoted(level, k % 5).alias("evaluation"))
-    return rows.withColumn("folder", U.folder(F.col("evaluation")))
+    final = U.promoted(level, start, end, F.lit(1000), c % 40 % 7, k % 11 != 0)
+    return V.table(spark, sf_dir, "orders").select(k.alias("name"), final.alias("evaluation")).withColumn("folder", U.folder(F.col("evaluation")))
 
 
 @query(

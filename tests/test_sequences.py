@@ -65,9 +65,9 @@ def test_orfs(seq):
 @pytest.mark.parametrize(
     ("seq", "patterns", "least", "want"),
     [
-        ("C" * 30 + "A" * 12, ("A",), 10, 41), ("C" * 30 + "A" * 12 + "GG", ("A",), 10, 41), ("C" * 30 + "A" * 5 + "G" + "A" * 6, ("A",), 10, 41),
-        ("C" * 30 + "A" * 4 + "G" + "A" * 4, ("A",), 10, None), ("A" * 12 + "C" * 60, ("A",), 10, None), ("C" * 30 + "TA" * 10, ("TA",), 10, 50),
-        ("C" * 30 + "T" * 11 + "A" * 11, ("T", "A"), 10, 40), ("", ("A",), 10, None),
+        ("C" * 40 + "A" * 12, ("A",), 10, 51), ("C" * 40 + "A" * 12 + "GG", ("A",), 10, 51), ("C" * 40 + "A" * 5 + "G" + "A" * 5, ("A",), 10, 50),
+        ("C" * 40 + "A" * 5 + "G" + "A" * 3, ("A",), 10, None), ("A" * 12 + "C" * 60, ("A",), 10, None), ("C" * 60 + "TA" * 10, ("TA",), 10, 62),
+        ("C" * 60 + "TA" * 12, ("TA",), 10, 66), ("C" * 60 + "T" * 11 + "A" * 11, ("T", "A"), 10, 70), ("A" * 60, ("A",), 10, None), ("", ("A",), 10, None),
     ],
 )
 def test_poly_tail(seq, patterns, least, want):
@@ -89,11 +89,16 @@ def test_reverse_complement_is_an_involution(spark):
 
 
 def test_motifs(spark):
-    seqs = ["xxxxxTGxxxx", "xxxTGxxxxxx", "xxxxxCAxxxx", "xxxxxxxxxxx"]
+    seqs = ["xxxxxTGxxxx", "xxxTGxxxxxx", "xxxxxCAxxxx", "xxxTGCAxxxx", "xxxxxxxxxxx"]
     rows = spark.createDataFrame([(s,) for s in seqs], "s string")
-    got = [r[0] for r in rows.select(S.start_motif(F.col("s"), F.lit(5), ["TG", "CA"])).collect()]
-    assert got == ["TG", "TG", "CA", "False"]
-    assert [r[0] for r in rows.select(S.end_motif(F.col("s"), F.lit(7), ["TG"])).collect()] == ["TG", "TG", "False", "False"]
+    got = [tuple(r[0]) for r in rows.select(S.start_motif(F.col("s"), F.lit(5), ["TG", "CA"])).collect()]
+    assert got == [("TG", True, 5), ("TG", True, 3), ("CA", False, 5), ("TG", True, 3), ("False", False, 5)]
+    got = [tuple(r[0]) for r in rows.select(S.end_motif(F.col("s"), F.lit(7), ["TG"])).collect()]
+    assert got == [("TG", True, 7), ("TG", True, 5), ("False", False, 7), ("TG", True, 5), ("False", False, 7)]
+    helitron = spark.createDataFrame([("xxATCxxxCTAATx",)], "s string")
+    got = helitron.select(S.start_motif(F.col("s"), F.lit(4), ["ATC"], helitron=True).alias("a"), S.end_motif(F.col("s"), F.lit(11), ["CTAAT"], helitron=True).alias("b")).first()
+    assert (got.a.position, got.b.position) == (3, 12)
+    assert rows.select(S.wrapped(F.lit("aaa bbb ccc"), 7)).first()[0] == "aaa bbb\nccc"
 
 
 def test_classes_and_presets(spark):
