@@ -101,9 +101,8 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str = "chrom", extra: Column |
     taken in the bin of its later start only.  ``left_outer`` keeps what overlaps nothing with overlap 0 and nulls.
     ``extra`` is a further condition on the joined columns.
     """
-    left = a.withColumn("_id", F.monotonically_increasing_id()) if left_outer else a
     right = _bins(b, width).select(*(F.col(c).alias(f"b_{c}") for c in [*b.columns, "_bin"]))
-    pairs = _bins(left, width).join(right, (F.col(key) == F.col(f"b_{key}")) & (F.col("_bin") == F.col("b__bin")))
+    pairs = _bins(a, width).join(right, (F.col(key) == F.col(f"b_{key}")) & (F.col("_bin") == F.col("b__bin")))
     later = F.greatest("start", "b_start")
     pairs = pairs.where((later < F.least("end", "b_end")) & (F.col("_bin") == F.floor(later / width)))
     if extra is not None:
@@ -111,8 +110,14 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str = "chrom", extra: Column |
     pairs = pairs.withColumn("overlap", F.least("end", "b_end") - later).drop("_bin", "b__bin")
     if not left_outer:
         return pairs
-    alone = left.join(pairs.select("_id").distinct(), "_id", "left_anti").withColumn("overlap", F.lit(0).cast(pairs.schema["overlap"].dataType))
-    return pairs.unionByName(alone, allowMissingColumns=True).drop("_id")
+    # rows of equal content overlap alike, so content tells what is left; generated ids could change when a lost
+    # executor's partitions are computed again
+    met = pairs.select(*(F.col(c).alias(f"_m_{c}") for c in a.columns)).distinct()
+    same = F.lit(True)
+    for c in a.columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_m_{c}"))
+    alone = a.join(met, same, "left_anti").withColumn("overlap", F.lit(0).cast(pairs.schema["overlap"].dataType))
+    return pairs.unionByName(alone, allowMissingColumns=True)
 
 
 def cross_lengths(query: DataFrame, reference: DataFrame, lengths: DataFrame, free: str = "Not-TE") -> DataFrame:
@@ -149,14 +154,14 @@ def fetch(df: DataFrame, genome: DataFrame, tile: int = 1 << 16, drop_other: boo
     from ..functions.sequences import reverse_complement
 
     tiles = genome.select("chrom", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("seq") - 1), F.lit(tile)), lambda i: F.substring(F.col("seq"), i + 1, F.lit(tile)))).alias("_tile", "_part"))
-    rows = df.withColumn("_id", F.monotonically_increasing_id())
-    touched = rows.select("_id", "chrom", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor(F.greatest(F.col("start"), F.col("end") - 1) / tile))).alias("_tile"))
-    met = touched.join(tiles, ["chrom", "_tile"])
+    places = ["chrom", "start", "end"]
+    steps = F.sequence(F.floor(F.col("start") / tile), F.floor(F.greatest(F.col("start"), F.col("end") - 1) / tile))
+    met = df.select(*places).distinct().withColumn("_tile", F.explode(steps)).join(tiles, ["chrom", "_tile"])
     low = F.greatest(F.lit(0), F.col("start") - F.col("_tile") * tile)
     high = F.least(F.lit(tile), F.col("end") - F.col("_tile") * tile)
     piece = F.substring(F.col("_part"), (low + 1).cast("int"), (high - low).cast("int"))
-    parts = met.groupBy("_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("_tile", piece.alias("p"))))["p"], "").alias("seq"))
-    joined = rows.join(parts, "_id").drop("_id")
+    parts = met.groupBy(*places).agg(F.array_join(F.array_sort(F.collect_list(F.struct("_tile", piece.alias("p"))))["p"], "").alias("seq"))
+    joined = df.join(parts, places)
     seq = F.when(F.col("strand") == "-", reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
     return joined.withColumn("seq", F.regexp_replace(seq, "[^ACGTacgt]", "") if drop_other else seq)
 
