@@ -99,8 +99,8 @@ class SeekableReader:
 
 
 def _open(uri: str):
-    where, path = fs.FileSystem.from_uri(uri)
-    return where, path
+    """Arrow's file system and path for a folder: local, HDFS and object stores, as far as Arrow is built with them."""
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri)
 
 
 def _write_kernel(folder: str, frame_bytes: int, bundle_bytes: int, level: int):
