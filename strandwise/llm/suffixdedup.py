@@ -198,7 +198,7 @@ def _heavy_kernel(least: int):
             for data, ends, _, _ in _slices(batch):
                 held.append(runs_of(data, ends, poly, None)[0])
                 size += len(held[-1])
-                if size >= 1 << 19:
+                if size >= 1 << 18:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -243,7 +243,7 @@ def _run_kernel(heavy: np.ndarray, bits: int):
                 start = np.concatenate(([0], ends[:-1]))[piece]
                 held.append((h, sig, ids[piece], first - start + offsets[piece], r, o))
                 size += len(h)
-                if size >= 1 << 19:
+                if size >= 1 << 18:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -463,7 +463,7 @@ def _cut_kernel(with_text: bool):
     return kernel
 
 
-def repeated_spans(rows: DataFrame, bucket_bytes: int = 8 << 20) -> tuple[DataFrame, ...]:
+def repeated_spans(rows: DataFrame, bucket_bytes: int = 4 << 20) -> tuple[DataFrame, ...]:
     """(kind 0, doc_id, start, end) tables of byte ranges, made of strings that occur earlier."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, (total // bucket_bytes).bit_length())
