@@ -467,16 +467,17 @@ def repeated_spans(rows: DataFrame, bucket_bytes: int = 4 << 20) -> tuple[DataFr
     """(kind 0, doc_id, start, end) tables of byte ranges, made of strings that occur earlier."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, (total // bucket_bytes).bit_length())
+    tasks = 1 << max(3, bits - 2)  # a few buckets each, as work and not bytes decides: a task stays the same at any size
     # at most 2^20 anchors can hold this share of all runs, so the list of heavy ones has a bound
     often = max(256, total // 33 >> 20)
     counted = rows.mapInArrow(_heavy_kernel(3), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= often)
     heavy = np.sort(np.array([r.h for r in counted.select("h").collect()], np.int64).view(np.uint64))
-    dealt = rows.mapInArrow(_run_kernel(heavy, bits), "bucket int, kind int, data binary").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = rows.mapInArrow(_run_kernel(heavy, bits), "bucket int, kind int, data binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     met = materialize(dealt.mapInArrow(_meet_kernel, _SPANS), "runs")
     release(rows.sparkSession)
     asked = met.where("kind = 1").groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "r", "o")).alias("asked"))
     context = rows.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_context_kernel(bits), "bucket int, kind int, data binary")
-    sorted_ = materialize(context.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve_kernel, _SPANS), "suffixes")
+    sorted_ = materialize(context.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve_kernel, _SPANS), "suffixes")
     release(rows.sparkSession)
     return met, sorted_
 
