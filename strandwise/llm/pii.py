@@ -36,7 +36,7 @@ GATES: dict[str, Callable[[Column], Column]] = {
 }
 #: What may be an identifier of some kind: an address of any form, or digits with the signs that group them.
 CANDIDATE = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++|(?:(?<![A-Za-z0-9])|\G)[0-9](?:[().\x20-]{0,2}[0-9]){6,}+"
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+_BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 _BREAK = r"[\x20\x09-\x0D0-9@]"
 _NEAR = 64
 

@@ -97,3 +97,15 @@ def test_empty_table_and_native_plan(spark):
     assert pii.find(docs).collect() == []
     plan = pii.redact(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+ZEROS = ["10.0.0.1", "0.0.0.0", "127.0.0.1", "000.1.2.3", "00.0.00.000", "0256.0.0.1", "1.0.0.256", "x 10.0.0.1, 0.0.0.0", "0" * 4000 + ".0.0.1", "0" * 4000 + "256.0.0.1"]
+
+
+def test_octets_of_zero_are_octets(spark):
+    got = {r.doc_id: r for r in pii.find(frame(spark, enumerate(ZEROS))).collect()}
+    for i, text in enumerate(ZEROS):
+        assert [(x.kind, x.start, x.end) for x in got[i].base] == brute(text), text[:40]
+    assert ("ip", 0, 8) in {(x.kind, x.start, x.end) for x in got[0].base}
+    masked = {r.text for r in pii.redact(frame(spark, [(0, "from 10.0.0.1 to 0.0.0.0")])).collect()}
+    assert masked == {"from <ip> to <ip>"}
