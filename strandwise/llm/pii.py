@@ -175,12 +175,14 @@ def discover(
     sides = F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("word")), F.struct(F.lit("R").alias("side"), F.col("right").alias("word")))
     edges = all_.select("kind", "instance", "seed", F.explode(sides).alias("p")).select("kind", "p.side", "p.word", "instance", "seed")
     edges = edges.groupBy("kind", "side", "word", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    backed = edges.groupBy("kind", "side", "word").agg(F.count_if(F.col("seed") > 0).alias("seeds"))
-    # signs alone, and the ends of a text, are no lexical pattern
-    backed = backed.where((F.col("seeds") >= support) & F.col("word").rlike(r"\p{L}")).select("kind", "side", "word")
+    # signs alone, and the ends of a text, are no lexical pattern; whether instances are trusted is asked in each round,
+    # as later rounds trust more of them.  Trust is 1 at most, so a pattern whose instances together do not reach
+    # pattern_trust can never vouch.
+    backed = edges.where(F.col("word").rlike(r"\p{L}")).groupBy("kind", "side", "word").agg(F.count("*").alias("instances"), F.sum("n").alias("most"))
+    backed = materialize(backed.where(F.col("instances") >= support), "patterns")
+    totals = _count_words(docs, backed.select("word").distinct(), broadcast_rows)
+    backed = materialize(backed.join(totals, "word").where(F.col("most") / F.col("total") >= pattern_trust).select("kind", "side", "word", "total"), "backed")
     edges = materialize(edges.join(backed, ["kind", "side", "word"]), "edges")
-    totals = materialize(_count_words(docs, edges.select("word").distinct(), broadcast_rows), "totals")
-    edges = edges.join(totals, "word")
 
     scored = edges.select("kind", "instance", "seed").groupBy("kind", "instance").agg(F.max("seed").alias("score"))
     for _ in range(rounds):

@@ -109,3 +109,20 @@ def test_octets_of_zero_are_octets(spark):
     assert ("ip", 0, 8) in {(x.kind, x.start, x.end) for x in got[0].base}
     masked = {r.text for r in pii.redact(frame(spark, [(0, "from 10.0.0.1 to 0.0.0.0")])).collect()}
     assert masked == {"from <ip> to <ip>"}
+
+
+def hops():
+    """'login:' stands beside what only 'kontakt:' brings in, and once beside an address that nothing else vouches for."""
+    rows = [(i, f"prose of the kontakt: user{i}@mail.example and more") for i in range(100)]
+    rows += [(200 + i, f"prose of the kontakt: near{i}@localhost and more") for i in range(8)]
+    rows += [(300 + i, f"the login: near{i}@localhost") for i in range(8)]
+    rows.append((400, "the login: far@localhost"))
+    rows += [(500 + i, f"the stranger{i}@localhost") for i in range(4)]
+    return rows
+
+
+def test_patterns_of_discovered_instances_vouch_in_later_rounds(spark):
+    found = {r.doc_id: [x.kind for x in r.spans] for r in pii.find(frame(spark, hops())).collect()}
+    assert {i for i, kinds in found.items() if kinds == ["email"]} == {*range(100), *range(200, 208), *range(300, 308), 400}
+    one = {r.doc_id: r.spans for r in pii.find(frame(spark, hops()), rounds=1).collect()}
+    assert one[200] and one[300] and not one[400]
