@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import uuid
 from collections.abc import Iterator
@@ -11,7 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no spark.checkpoint.dir (tests, notebooks on one machine).
-FALLBACK_DIR = "file:///tmp/checkpoints/strandwise"
+FALLBACK_DIR = "file:///tmp/checkpoints"
+
+#: Spark's setting that deletes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: What separates words: the characters \x20 and \x09-\x0D, which are those of bytes.split().
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -24,38 +26,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or FALLBACK_DIR).rstrip("/")
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables inside the shared one; :func:`clean_up` deletes it."""
+    return f"{shared_dir(spark)}/strandwise-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/strandwise-{label}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` once as Parquet into the shared folder and read it back.
 
-    A lost executor costs a later stage no more than a reread, as all executors see the folder.
+    A lost executor costs a later stage no more than a reread, as all executors see the folder.  The shuffle files of
+    the write are deleted when it ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner delete the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a materialized table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/strandwise-" in path:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind materialized tables that no later plan reads."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/strandwise-" in path:
+                _delete(df.sparkSession, path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables that this application has written to the shared folder; results that are not written
+    elsewhere can't be read afterwards."""
+    _delete(spark, run_dir(spark))
 
 
 def lower_ascii(text: Column) -> Column:

@@ -1,32 +1,82 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States are variable-length contexts of up to ``depth`` words.  A context is a candidate if its share of all training
-positions reaches ``context_share``; it is retained if its next-word distribution diverges from that of its longest
-proper suffix by at least ``divergence`` nats (and so are its suffixes).  Next-word distributions are smoothed towards
-the suffix's, down to the unigram model, and a text is scored with the longest retained suffix of what precedes each
-word.
-
-Shares bound the model whatever the corpus: at most 1/share words, contexts and next words pass a share, so what
-reaches the driver and is broadcast has a proven size, while all counts are taken over every training document.
-Words without a symbol of their own share one unknown symbol and are told apart by their unigram probability; those
-too rare for the broadcast table are looked up by a join.
+A state is a context of 1 to ``depth`` words.  A context s is retained if its next words diverge from those of its
+longest proper suffix s': the sum of c(s,a)/n(s) * ln((c(s,a)/n(s)) / (c(s',a)/n(s'))) over the words a that followed
+s at least ``least`` times reaches ``divergence``.  The next-word distribution of a state is smoothed towards its
+longest retained suffix: p(a|s) = (c(s,a) + alpha * p(a|suffix)) / (n(s) + alpha), down to the unigram model, and each
+word is scored in the longest retained state that ends before it.  Nothing else bounds the model: it holds every
+context of the corpus that passes the test, and no table of it reaches the driver or is broadcast.
+
+Texts are packed into slices of some 2^20 tokens.  For each length the slices ask for their distinct (context, next
+word) pairs, with the counts of their own training texts; requests meet in buckets by the hash of the context, where
+counts are added up and the test is made, and the answers return to the slices.  So a pair is counted, tested and
+looked up in one round trip, repeated text costs one row a slice, and a slice never needs the model, only the answers.
+
+Two rules keep longer contexts few, and neither changes the model.  A context that occurs fewer than ``least`` times
+has no next word that counts.  The extensions of a context that is always followed by the same word are followed by
+that word as well, so none of them diverges.
+
+A context with more than 1/2^17 of all tokens is dealt by its next words instead, and its test is added up from the
+parts; there are at most 2^17 of these at each length, so their list has a bound.  Words and contexts are told apart by
+64-bit hashes.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import discard, materialize
 
-_ENCODED = "row_id long, doc_id long, held_out boolean, trains boolean, n_words long, known long, base double, unknown double, ids binary, rare array<string>"
+SLICE = 1 << 20  # tokens of a slice
+BUCKET = 1 << 21  # tokens of the corpus for each bucket
+HEAVY_PARTS = 17  # contexts of more than 1/2^17 of all tokens are heavy
+PIECE = 1 << 20  # bytes of a long text that are split into words at once
+LEAST_HEAVY = 1 << 16
+
+_END, _BEGIN = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b" end", b" begin"))  # no word holds a blank
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+TRAINS, HELD_OUT, NO_ID = 1, 2, 4
+_ROWS = "slice long, bucket int, n long, data binary"
+_ANSWERS = "slice long, bucket int, key long, value double, data binary"
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of non-negative integers, each as planes of its bytes, without the planes that are all zero."""
+    parts = [struct.pack("<B", len(columns))]
+    for c in columns:
+        wide = np.ascontiguousarray(c).astype("<u8", copy=False)
+        width = max(1, (int(wide.max()).bit_length() + 7) // 8) if len(wide) else 1
+        parts += [struct.pack("<IB", len(wide), width), np.ascontiguousarray(wide.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    out, at = [], 1
+    for _ in range(raw[0]):
+        n, width = struct.unpack_from("<IB", raw, at)
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 5).reshape(width, n).T
+        out.append(wide.reshape(-1).view("<u8"))
+        at += 5 + n * width
+    return out
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -37,347 +87,412 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(full), owner[full.to_numpy(zero_copy_only=False)]
 
 
-def _slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with some ``size`` bytes of text each."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
-    at = 0
-    while at < len(batch):
-        done = ends[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(ends, done + size)))
-        yield batch.slice(at, end - at)
-        at = end
+def word_hashes(texts: pa.Array) -> list[np.ndarray]:
+    """The hashes of the words of each text, in order."""
+    words, owner = split_words(texts)
+    coded = words.dictionary_encode()
+    unique = coded.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, unique), np.uint64, len(unique))[coded.indices.to_numpy(zero_copy_only=False)]
+    return np.split(hashes, np.searchsorted(owner, np.arange(1, len(texts))))
 
 
-def _count_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in _slices(batch, 0, 8 << 20):
-            counted = pc.value_counts(split_words(part.column(0))[0])
-            yield pa.RecordBatch.from_arrays([counted.field("values").cast(pa.string()), counted.field("counts")], ["word", "c"])
+def _cuts(text: str, size: int) -> Iterator[str]:
+    """A text in runs of some ``size`` characters, cut where a word ends."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + size)
+        while end < len(text) and text[end] not in " \t\n\x0b\x0c\r":
+            end += 1
+        yield text[at:end]
+        at = end
 
 
 def held_out(fold: int = 0, folds: int = 10) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): occurrences of every word in the training documents."""
-    return docs.select("text").mapInArrow(_count_kernel, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
-
-@dataclass(frozen=True)
-class Vocabulary:
-    """Hashes and counts of the words of a share, sorted by hash, and the symbol of each: -1 for the unknown one."""
+@dataclass
+class Slice:
+    """Some texts, or pieces of long ones, as tokens; each piece begins with the tokens before it (``lead`` of them)
+    and the last piece of a text has the end.
 
-    hashes: np.ndarray
-    counts: np.ndarray
-    symbols: np.ndarray
-    size: int  # symbols that are words; then unknown, end and begin
-    total: int  # N
-    z: float  # N + 0.1 (V + 1)
-    ends: int  # count of the end token
-
-    @property
-    def unknown(self) -> int:
-        return self.size
-
-    @property
-    def end(self) -> int:
-        return self.size + 1
+    ``grams[m - 1][j]`` is how often the m tokens that end at j occur in training; below 2 it may read 0.  ``kept[k - 1]``
+    says whether the k tokens before j are a retained state.  ``active`` are the places that ask at the next length,
+    ``sure`` those whose next word follows from a shorter context.
+    """
 
-    @property
-    def begin(self) -> int:
-        return self.size + 2
+    row_id: np.ndarray
+    doc_id: np.ndarray
+    flags: np.ndarray  # TRAINS, HELD_OUT, NO_ID
+    size: np.ndarray
+    lead: np.ndarray
+    words: np.ndarray  # hashes, then numbers, of the distinct tokens, sorted by hash
+    tokens: np.ndarray  # index into words
+    grams: list[np.ndarray] = field(default_factory=list)
+    kept: list[np.ndarray] = field(default_factory=list)
+    active: np.ndarray | None = None
+    sure: np.ndarray | None = None
+
+    def __post_init__(self) -> None:
+        starts = np.cumsum(self.size) - self.size
+        self.place = np.arange(len(self.tokens)) - np.repeat(starts, self.size)
+        self.own = self.place >= np.repeat(self.lead, self.size)
+        self.weight = (self.own & np.repeat(self.flags & TRAINS == TRAINS, self.size)).astype(np.int64)
+
+    def to_bytes(self) -> bytes:
+        bits = [np.packbits(x) for x in (*self.kept, *([self.active, self.sure] if self.active is not None else []))]
+        return _pack(self.row_id, self.doc_id, self.flags, self.size, self.lead, self.words, self.tokens, np.array([len(self.grams), len(bits)]), *self.grams, *bits)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Slice:
+        columns = _unpack(data)
+        row_id, doc_id, flags, size, lead, tokens = (columns[i].astype(np.int64) for i in (0, 1, 2, 3, 4, 6))
+        grams, bits = columns[7].tolist()
+        found = cls(row_id, doc_id, flags, size, lead, columns[5], tokens, [c.astype(np.int64) for c in columns[8 : 8 + grams]])
+        rest = [np.unpackbits(c.astype(np.uint8), count=len(tokens)).astype(bool) for c in columns[8 + grams : 8 + grams + bits]]
+        if rest:
+            found.kept, found.active, found.sure = rest[:-2], rest[-2], rest[-1]
+        return found
+
+    def word_counts(self) -> np.ndarray:
+        return np.bincount(self.tokens, self.weight, len(self.words)).astype(np.int64)
+
+    def numbered(self, ids: np.ndarray, counts: np.ndarray, least: int) -> None:
+        """Take in the numbers and counts of the words; then each token asks what follows the one before it."""
+        end, begin = np.searchsorted(self.words, _END), np.searchsorted(self.words, _BEGIN)
+        counts[begin] = counts[end]  # a text that trains begins as often as it ends
+        self.words, self.grams = ids.astype(np.uint64), [counts[self.tokens]]
+        self.sure = np.zeros(len(self.tokens), bool)
+        self.active = self.place >= 1
+        self.active[1:] &= self.grams[0][:-1] >= least
+
+
+@dataclass
+class Requests:
+    """The distinct (context, next word) pairs of a slice, grouped by context, and in the order of their buckets."""
+
+    at: np.ndarray  # the places that ask
+    pair: np.ndarray  # the pair of each of them
+    context: np.ndarray  # hash of each distinct context
+    often: np.ndarray  # n(s) and n(s') of each distinct context
+    often_suffix: np.ndarray
+    owner: np.ndarray  # context of each pair
+    word: np.ndarray  # next word of each pair
+    count: np.ndarray  # in the training texts of this slice
+    count_suffix: np.ndarray  # c(s', a)
+    order: np.ndarray
+    bucket: np.ndarray  # of the pairs, in that order
+
+
+def heavy_bound(total: int) -> int:
+    return max(LEAST_HEAVY, total >> HEAVY_PARTS)
+
+
+def requests(s: Slice, length: int, total: int, bits: int) -> Requests:
+    at = np.nonzero(s.active)[0]
+    hashes = np.zeros(len(at), np.uint64)
+    for i in range(1, length + 1):
+        hashes = _mix(hashes * _ODD + s.words[s.tokens[at - i]] + np.uint64(i))
+    context, first, owner = np.unique(hashes, return_index=True, return_inverse=True)
+    often = s.grams[length - 1][at[first] - 1]
+    often_suffix = s.grams[length - 2][at[first] - 1] if length > 1 else np.full(len(context), total)
+    pairs, some, pair = np.unique(owner * len(s.words) + s.tokens[at], return_index=True, return_inverse=True)
+    owner, word = pairs // max(1, len(s.words)), s.words[pairs % max(1, len(s.words))]
+    key = context[owner]
+    spread = (often > heavy_bound(total))[owner]
+    key = np.where(spread, _mix(key ^ _mix(word + _ODD)), key)
+    bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    count = np.bincount(pair, s.weight[at], len(pairs)).astype(np.int64)
+    return Requests(at, pair, context, often, often_suffix, owner, word, count, s.grams[length - 1][at[some]], order, bucket[order])
+
+
+def _bounds(bucket: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.nonzero(np.diff(bucket, prepend=-1))[0], [len(bucket)]))
+
+
+def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array, and how often each occurs."""
+    cuts = _bounds(owner)
+    return owner[cuts[:-1]], np.diff(cuts)
+
+
+def _batch(rows: list[tuple], schema: tuple) -> pa.RecordBatch:
+    names, types = zip(*schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(names), types, strict=True)], list(names))
+
+
+_ROW_SCHEMA = (("slice", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary()))
+_ANSWER_SCHEMA = (("slice", pa.int64()), ("bucket", pa.int32()), ("key", pa.int64()), ("value", pa.float64()), ("data", pa.binary()))
+
+
+def _asking(number: int, s: Slice, length: int, total: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """A slice and its requests of one length as rows; the slice itself has bucket -1."""
+    yield _batch([(number, -1, len(s.tokens), s.to_bytes())], _ROW_SCHEMA)
+    rows = []
+    if length == 0:
+        counts = s.word_counts()
+        bucket = (s.words >> np.uint64(64 - bits)).astype(np.int64)
+        for a, b in zip((cuts := _bounds(bucket)), cuts[1:]):
+            rows.append((number, int(bucket[a]), int(b - a), _pack(s.words[a:b], counts[a:b])))
+    else:
+        r = requests(s, length, total, bits)
+        for a, b in zip((cuts := _bounds(r.bucket)), cuts[1:]):
+            i = r.order[a:b]
+            own, sizes = _runs(r.owner[i])
+            steps = np.diff(r.context[own], prepend=np.uint64(0))
+            rows.append((number, int(r.bucket[a]), int(b - a), _pack(steps, sizes, r.often[own], r.often_suffix[own], r.word[i], r.count[i], r.count_suffix[i])))
+    if rows:
+        yield _batch(rows, _ROW_SCHEMA)
+
+
+def _encode_kernel(depth: int, bits: int):
+    """(row_id, doc_id, flags, text) to slices and their words."""
 
-    @property
-    def width(self) -> int:
-        return self.size + 3
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held: list[tuple[int, int, int, int, np.ndarray]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, number
+            tokens = np.concatenate([np.array([_END, _BEGIN]), *(h[4] for h in held)])
+            words, index = np.unique(tokens, return_inverse=True)
+            row_id, doc_id, flags, lead = (np.array([h[i] for h in held], np.int64) for i in range(4))
+            s = Slice(row_id, doc_id, flags, np.array([len(h[4]) for h in held]), lead, words, index[2:])
+            yield from _asking(number, s, 0, 0, bits)
+            number, held, size = number + 1, [], 0
+
+        def units(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int, int], bool, bool, str]]:
+            for *row, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                parts = list(_cuts(text or "", PIECE)) or [""]
+                for i, part in enumerate(parts):
+                    yield tuple(row), i == 0, i == len(parts) - 1, part
+
+        def groups(batch: pa.RecordBatch) -> Iterator[list[tuple[tuple[int, int, int], bool, bool, str]]]:
+            group, full = [], 0
+            for unit in units(batch):
+                group.append(unit)
+                full += len(unit[3])
+                if full >= 2 * PIECE:
+                    yield group
+                    group, full = [], 0
+            if group:
+                yield group
+
+        before = np.zeros(0, np.uint64)
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                for group in groups(batch.slice(at, 1024)):
+                    for (row, first, last, _), words in zip(group, word_hashes(pa.array([u[3] for u in group], pa.string())), strict=True):
+                        lead = np.array([_BEGIN]) if first else before
+                        tokens = np.concatenate((lead, words, [_END] if last else np.zeros(0, np.uint64)))
+                        before = tokens[-depth:] if depth else before
+                        held.append((*row, len(lead), tokens))
+                        size += len(tokens)
+                        if size >= SLICE:
+                            yield from flush()
+        if held:
+            yield from flush()
 
-    def root(self) -> np.ndarray:
-        """Unigram probability of each symbol (begin: 0)."""
-        p = np.zeros(self.width)
-        own = self.symbols >= 0
-        p[self.symbols[own]] = (self.counts[own] + 0.1) / self.z
-        p[self.end] = (self.ends + 0.1) / self.z
-        p[self.unknown] = max(0.1 / self.z, 1.0 - p.sum())
-        return p
+    return kernel
 
 
-def _encode_kernel(vocab: Vocabulary):
-    log = np.log10((vocab.counts + 0.1) / vocab.z)
-    end_log = float(np.log10((vocab.ends + 0.1) / vocab.z))
+def _by_key(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """The (slice, bucket, data) rows of each value of a column; rows come sorted by it."""
+    now, rows = None, []
+    for batch in batches:
+        data = batch.column(batch.schema.get_field_index("data"))
+        for number, bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), data, strict=True):
+            key = (number, bucket)[column]
+            if key != now:
+                if rows:
+                    yield now, rows
+                now, rows = key, []
+            rows.append((number, bucket, blob.as_py()))
+    if rows:
+        yield now, rows
+
+
+def _words_kernel(bits: int):
+    """Counts each word of a bucket and numbers them, the frequent ones first; slice -1 has the distinct known words
+    and the tokens."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch, 4):
-                words, owner = split_words(part.column(4))
-                coded = words.dictionary_encode()
-                unique = coded.dictionary.cast(pa.binary()).to_pylist()
-                hashes = _hashes(unique)
-                at = np.minimum(np.searchsorted(vocab.hashes, hashes), max(0, len(vocab.hashes) - 1))
-                there = vocab.hashes[at] == hashes if len(vocab.hashes) else np.zeros(len(hashes), bool)
-                symbol = np.full(len(hashes), -1, np.int32)
-                value = np.zeros(len(hashes))
-                if len(vocab.hashes):
-                    symbol[there], value[there] = vocab.symbols[at[there]], log[at[there]]
-                index = coded.indices.to_numpy(zero_copy_only=False)
-                n, rows = len(part), owner
-                found, base = there[index], value[index]
-                ids = symbol[index]
-                unknown = ids < 0
-                ids = np.where(unknown, vocab.unknown, ids).astype("<i4")
-                count = np.bincount(rows, minlength=n)
-                known = np.bincount(rows, weights=found, minlength=n).astype(np.int64) + (vocab.ends > 0)
-                sums = np.bincount(rows, weights=base, minlength=n) + end_log
-                extra = np.bincount(rows, weights=np.where(unknown & found, base, 0.0), minlength=n)
-                cuts = np.concatenate(([0], np.cumsum(count)))
-                data = ids.tobytes()
-                lost = ~found
-                lost_cuts = np.concatenate(([0], np.cumsum(np.bincount(rows[lost], minlength=n)))).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(lost_cuts), words.filter(pa.array(lost)).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(part.column(i) for i in range(4)), pa.array(count, pa.int64()), pa.array(known), pa.array(sums, pa.float64()), pa.array(extra.astype(np.float64)),
-                        pa.array([data[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), rare,
-                    ],
-                    ["row_id", "doc_id", "held_out", "trains", "n_words", "known", "base", "unknown", "ids", "rare"],
-                )
+        for bucket, rows in _by_key(batches, 1):
+            parts = [_unpack(data) for _, _, data in rows]
+            unique, index = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            counts = np.bincount(index, np.concatenate([p[1] for p in parts]).astype(np.float64), len(unique)).astype(np.int64)
+            rank = np.empty(len(unique), np.int64)
+            rank[np.argsort(-counts, kind="stable")] = np.arange(len(unique))
+            ids = (rank << bits) + bucket
+            out = [(-1, bucket, int((counts > 0).sum()), float(counts.sum()), None)]
+            at = 0
+            for (number, _, _), p in zip(rows, parts, strict=True):
+                i = index[at : at + len(p[0])]
+                out.append((number, bucket, 0, 0.0, _pack(ids[i], counts[i])))
+                at += len(p[0])
+            yield _batch(out, _ANSWER_SCHEMA)
 
     return kernel
 
 
-def _sequence(column: pa.Array, begin: int, end: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """One array of symbols, each text as ``depth`` begins, its words and an end; and where the words and ends are."""
-    texts = [np.frombuffer(b, "<i4") for b in column.to_pylist()]
-    pad = np.full(depth, begin, np.int32)
-    stop = np.array([end], np.int32)
-    joined = np.concatenate([x for t in texts for x in (pad, t, stop)]) if texts else np.zeros(0, np.int32)
-    return joined.astype(np.int64), np.nonzero(joined != begin)[0]
-
-
-def _context_kernel(vocab: Vocabulary, contexts: list[np.ndarray], length: int):
-    """Counts (context, next symbol); contexts of ``length`` are numbered by their order in ``contexts[length - 1]``."""
+def _test_kernel(total: int, least: int, divergence: float):
+    """Adds up the pairs of a bucket and tests its contexts; slice -1 has the parts of the heavy ones' sums."""
+    bound = heavy_bound(total)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch, 0, 2 << 20):
-                seq, at = _sequence(part.column(0), vocab.begin, vocab.end, length)
-                number, ok = number_contexts(seq, at, contexts, length, vocab.width)
-                keys, n = np.unique(number[ok] * vocab.width + seq[at[ok]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["key", "c"])
+        for bucket, rows in _by_key(batches, 1):
+            parts = [_unpack(data) for _, _, data in rows]
+            sizes = np.concatenate([p[1] for p in parts]).astype(np.int64)
+            contexts, owner = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), return_inverse=True)
+            often, often_suffix = np.zeros(len(contexts)), np.zeros(len(contexts))
+            often[owner], often_suffix[owner] = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+            by = np.repeat(owner, sizes)
+            word = np.concatenate([p[4] for p in parts])
+            order = np.lexsort((word, by))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (by[order[1:]] != by[order[:-1]]) | (word[order[1:]] != word[order[:-1]])
+            pair = np.empty(len(order), np.int64)
+            pair[order] = np.cumsum(fresh) - 1
+            head = order[fresh]
+            count = np.bincount(pair, np.concatenate([p[5] for p in parts]).astype(np.float64), len(head))
+            suffix = np.concatenate([p[6] for p in parts])[head].astype(np.float64)
+            good = np.nonzero(count >= least)[0]
+            s = by[head[good]]
+            share = count[good] / often[s]
+            terms = share * np.log(share * often_suffix[s] / suffix[good])
+            gaps = np.bincount(s, terms, len(contexts))
+            heavy = often > bound
+            kept = (gaps >= divergence) & ~heavy
+            out = [(-1, bucket, int(contexts[i].view(np.int64)), float(gaps[i]), None) for i in np.nonzero(heavy)[0]]
+            at = start = 0
+            for (number, _, _), p in zip(rows, parts, strict=True):
+                own = kept[owner[start : start + len(p[1])]]
+                out.append((number, bucket, 0, 0.0, _pack(count[pair[at : at + len(p[4])]].astype(np.int64), np.packbits(own))))
+                at, start = at + len(p[4]), start + len(p[1])
+            yield _batch(out, _ANSWER_SCHEMA)
 
     return kernel
 
 
-def number_contexts(seq: np.ndarray, at: np.ndarray, contexts: list[np.ndarray], length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The number of the context of ``length`` symbols before each position, and whether there is one.
+def _take_answers(s: Slice, rows: list[tuple[int, int, bytes]], length: int, total: int, bits: int, least: int, heavy: np.ndarray) -> None:
+    """Enter the answers of one length; rows are sorted by bucket, as the requests were."""
+    answers = [_unpack(data) for _, _, data in rows]
+    r = requests(s, length, total, bits)
+    counts = np.zeros(len(r.word), np.int64)
+    kept = np.zeros(len(r.context), bool)
+    cuts = _bounds(r.bucket)
+    for a, b, (c, bit) in zip(cuts[:-1], cuts[1:], answers, strict=True):
+        i = r.order[a:b]
+        counts[i] = c
+        own = _runs(r.owner[i])[0]
+        kept[own] |= np.unpackbits(bit.astype(np.uint8), count=len(own)).astype(bool)
+    is_heavy = r.often > heavy_bound(total)
+    kept[is_heavy] = np.isin(r.context[is_heavy], heavy)
+    gram = np.zeros(len(s.tokens), np.int64)
+    before = np.concatenate(([0], s.grams[length - 1][:-1]))  # how often the context of each place occurs
+    known = s.sure & (s.place >= length)
+    gram[known] = before[known]
+    gram[r.at] = counts[r.pair]
+    state = np.zeros(len(s.tokens), bool)
+    state[r.at] = kept[r.owner[r.pair]]
+    s.sure |= s.active & (gram == before)
+    s.grams.append(gram)
+    s.kept.append(state)
+    s.active = s.active & ~s.sure & (s.place > length)
+    s.active[1:] &= gram[:-1] >= least
+
+
+def log10_probability(s: Slice, total: int, distinct: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the unigram and of the model's probability of each token."""
+    base = (s.grams[0] + 0.1) / (total + 0.1 * (distinct + 1))
+    p = base.copy()
+    for k, state in enumerate(s.kept, 1):
+        at = np.nonzero(state)[0]
+        p[at] = (s.grams[k][at] + alpha * p[at]) / (s.grams[k - 1][at - 1] + alpha)
+    return np.log10(base), np.log10(p)
+
+
+_SCORES = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+
+
+def _answer_kernel(length: int, depth: int, total: int, distinct: int, bits: int, least: int, alpha: float, heavy: np.ndarray):
+    """Slices with the answers of one length to slices with the requests of the next, or to scores after the last."""
 
-    A context is keyed by (number of its suffix, first symbol); single symbols are their own numbers.  It begins at
-    most once with the begin symbol, so a repeated one is no context.
-    """
-    number, ok = seq[at - 1], np.ones(len(at), bool)
-    for k in range(2, length + 1):
-        table = contexts[k - 1]
-        ok &= seq[at - k + 1] != width - 1
-        keys = number * width + seq[at - k]
-        found = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
-        ok &= (table[found] == keys) if len(table) else False
-        number = found
-    return number, ok
-
-
-@dataclass(frozen=True)
-class Level:
-    """States of one length: retained context numbers, the weight of the suffix's distribution, and explicit next
-    symbols as sorted keys (context number * width + symbol) with their own part of the probability."""
-
-    retained: np.ndarray
-    backoff: np.ndarray
-    keys: np.ndarray
-    parts: np.ndarray
-
-
-@dataclass(frozen=True)
-class Tree:
-    vocab: Vocabulary
-    contexts: list[np.ndarray]
-    levels: list[Level]
-
-    def log10(self, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of the symbol at each position."""
-        width = self.vocab.width
-        p = self.vocab.root()[seq[at]]
-        alive = np.ones(len(at), bool)
-        for k, level in enumerate(self.levels, 1):
-            if not len(level.retained):
-                break
-            number, ok = number_contexts(seq, at, self.contexts, k, width)
-            state = np.minimum(np.searchsorted(level.retained, number), len(level.retained) - 1)
-            alive &= ok & (level.retained[state] == number)
-            own = np.zeros(len(at))
-            if len(level.keys):
-                keys = number * width + seq[at]
-                j = np.minimum(np.searchsorted(level.keys, keys), len(level.keys) - 1)
-                own = np.where(level.keys[j] == keys, level.parts[j], 0.0)
-            p = np.where(alive, own + level.backoff[state] * p, p)
-        return np.log10(p)
-
-
-def _score_kernel(model: Tree):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        depth = max(1, len(model.levels))
-        unknown = np.log10(model.vocab.root()[model.vocab.unknown])
-        for batch in batches:
-            for part in _slices(batch, 7, 2 << 20):
-                seq, at = _sequence(part.column(7), model.vocab.begin, model.vocab.end, depth)
-                ends = np.nonzero(seq[at] == model.vocab.end)[0]
-                # an unknown word has its unigram share of the unknown symbol, and its own unigram probability follows
-                steps = model.log10(seq, at) - np.where(seq[at] == model.vocab.unknown, unknown, 0.0)
-                logs = np.concatenate(([0.0], np.cumsum(steps)))
-                score = np.diff(np.concatenate(([0.0], logs[ends + 1])))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(7)), pa.array(score, pa.float64())], ["row_id", "doc_id", "held_out", "n_words", "known", "base", "unknown", "path"])
+        for number, rows in _by_key(batches, 0):
+            s = Slice.from_bytes(rows[0][2])
+            if length == 0:
+                answers = [_unpack(data) for _, _, data in rows[1:]]
+                s.numbered(*(np.concatenate([a[i] for a in answers]).astype(np.int64) for i in (0, 1)), least)
+            else:
+                _take_answers(s, rows[1:], length, total, bits, least, heavy)
+            if length < depth:
+                yield from _asking(number, s, length + 1, total, bits)
+                continue
+            base, score = log10_probability(s, total, distinct, alpha)
+            piece = np.repeat(np.arange(len(s.size)), s.size)
+            sums = [np.bincount(piece, s.own * x, len(s.size)) for x in (np.ones(len(base)), s.grams[0] > 0, base, score)]
+            doc_id = pa.array(s.doc_id, mask=s.flags & NO_ID == NO_ID)
+            columns = [pa.array(s.row_id), doc_id, pa.array(s.flags & HELD_OUT == HELD_OUT), *(pa.array(x.astype(np.int64)) for x in sums[:2]), *(pa.array(x) for x in sums[2:])]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _SCORES.split(", ")])
 
     return kernel
 
 
-def _fit_level(keys: np.ndarray, counts: np.ndarray, totals: dict[int, int], parent_p: np.ndarray, width: int, alpha: float, divergence: float, parents: set[int] | None, suffix: np.ndarray | None) -> Level:
-    """Divergence tests and smoothing for the contexts of one length; ``parent_p`` is the suffix's smoothed probability
-    of each key's symbol."""
-    owner = keys // width
-    kept, backoff, mask = [], [], np.zeros(len(keys), bool)
-    starts = np.nonzero(np.diff(np.concatenate(([-1], owner))))[0]
-    for a, b in zip(starts, np.append(starts, len(keys))[1:], strict=True):
-        s = int(owner[a])
-        if parents is not None and int(suffix[s]) not in parents:
-            continue
-        n = totals[s]
-        p, q = counts[a:b] / n, parent_p[a:b]
-        rest, rest_q = max(0.0, 1.0 - p.sum()), max(1e-12, 1.0 - q.sum())
-        gap = float((p * np.log(p / np.maximum(q, 1e-300))).sum()) + (rest * np.log(rest / rest_q) if rest > 0 else 0.0)
-        if gap >= divergence:
-            kept.append(s)
-            backoff.append(1.0 - counts[a:b].sum() / (n + alpha))
-            mask[a:b] = True
-    size = {s: totals[s] + alpha for s in kept}
-    parts = counts[mask] / np.array([size[int(s)] for s in owner[mask]]) if mask.any() else np.zeros(0)
-    return Level(np.array(kept, np.int64), np.array(backoff), keys[mask], parts)
-
-
-def _parent_probability(tree: Tree, numbers: np.ndarray, symbols: np.ndarray, length: int) -> np.ndarray:
-    """P(symbol | suffix of the context) under the levels fitted so far."""
-    p = tree.vocab.root()[symbols]
-    if length == 1:
-        return p
-    chain, number = [], numbers
-    for k in range(length, 1, -1):
-        number = tree.contexts[k - 1][number] // tree.vocab.width  # the suffix's number
-        chain.append((k - 1, number))
-    for k, number in reversed(chain):
-        level = tree.levels[k - 1]
-        if not len(level.retained):
-            break
-        state = np.minimum(np.searchsorted(level.retained, number), len(level.retained) - 1)
-        alive = level.retained[state] == number
-        keys = number * tree.vocab.width + symbols
-        j = np.minimum(np.searchsorted(level.keys, keys), max(0, len(level.keys) - 1))
-        own = np.where(level.keys[j] == keys, level.parts[j], 0.0) if len(level.keys) else 0.0
-        p = np.where(alive, own + level.backoff[state] * p, p)
-    return p
-
-
-def fit(encoded: DataFrame, vocab: Vocabulary, depth: int = 2, context_share: float = 1e-5, next_share: float = 1e-6, alpha: float = 4.0, divergence: float = 0.02, least: int = 2) -> Tree:
-    """Grow the tree level by level from the training rows of ``encoded``.
-
-    Each level is one pass that counts (context, next symbol); at most 1/``next_share`` of these and 1/``context_share``
-    contexts of a level reach the driver.
-    """
-    train = encoded.where("trains").select("ids")
-    tree = Tree(vocab, [np.arange(vocab.width)], [])
-    for length in range(1, depth + 1):
-        kernel = _context_kernel(vocab, tree.contexts, length)
-        counted = materialize(train.mapInArrow(kernel, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), f"contexts{length}")
-        context = F.floor(F.col("key") / vocab.width)
-        totals = {r[0]: r[1] for r in counted.groupBy(context.alias("s")).agg(F.sum("c").alias("n")).where(F.col("n") >= max(least, context_share * vocab.total)).collect()}
-        rows = counted.where(F.col("c") >= max(least, next_share * vocab.total)).toArrow().sort_by("key")
-        keys, counts = (rows.column(i).to_numpy().astype(np.int64) for i in (0, 1))
-        here = np.isin(keys // vocab.width, np.fromiter(totals, np.int64, len(totals)))
-        keys, counts = keys[here], counts[here]
-        before = _parent_probability(tree, keys // vocab.width, keys % vocab.width, length)
-        parents = set(tree.levels[-1].retained.tolist()) if tree.levels else None
-        suffix = tree.contexts[-1] // vocab.width if length > 1 else None
-        tree.levels.append(_fit_level(keys, counts, totals, before, vocab.width, alpha, divergence, parents, suffix))
-        # the frequent continuations of these contexts, read as (suffix, first symbol), are the next level's contexts
-        tree.contexts.append(_longer(keys, counts, tree.contexts, length, vocab, max(least, context_share * vocab.total)))
-        release(encoded.sparkSession)
-        if not len(tree.contexts[-1]):
-            break
-    return tree
-
-
-def _longer(keys: np.ndarray, counts: np.ndarray, contexts: list[np.ndarray], length: int, vocab: Vocabulary, least: float) -> np.ndarray:
-    """Contexts of ``length`` + 1 symbols as sorted keys (number of the suffix, first symbol)."""
-    number, last = keys // vocab.width, keys % vocab.width
-    good = (counts >= least) & (last != vocab.end)
-    number, last = number[good], last[good]
-    words = []
-    for k in range(length, 1, -1):  # from the first symbol of a context to its last
-        code = contexts[k - 1][number]
-        words.append(code % vocab.width)
-        number = code // vocab.width
-    words += [number, last]
-    suffix, ok = words[-1], np.ones(len(last), bool)
-    for k in range(2, length + 1):
-        table = contexts[k - 1]
-        code = suffix * vocab.width + words[-k]
-        found = np.minimum(np.searchsorted(table, code), max(0, len(table) - 1))
-        ok &= (table[found] == code) if len(table) else False
-        suffix = found
-    return np.unique(suffix[ok] * vocab.width + words[0][ok])
-
-
-def score(docs: DataFrame, depth: int = 2, symbol_share: float = 2e-5, lookup_share: float = 1e-6, context_share: float = 1e-5, next_share: float = 1e-6, divergence: float = 0.02) -> DataFrame:
+def score(docs: DataFrame, depth: int = 5, least: int = 2, divergence: float = 0.2, alpha: float = 8.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs`` (doc_id, text; other
     columns are ignored).
 
+    ``depth`` is the most words of a context, ``least`` how often a next word must follow a context to count in its
+    divergence test (2 or more), ``divergence`` (above 0) the test's bound in nats, ``alpha`` the weight of the suffix
+    in smoothing.  The begin of a text may be the first symbol of a context.
+
     Null, empty and blank texts are the end token alone.  Rows that repeat a doc_id are each scored and count in
     training as often as they occur; rows with a null doc_id are scored and train nothing.  Without training tokens
     every word is as unseen as any other: both scores are 0.  An empty table gives no rows.
     """
-    trains = ~held_out() & F.col("doc_id").isNotNull()
+    if least < 2 or divergence <= 0:
+        raise ValueError("contexts are pruned by at least 2 occurrences and a divergence above 0")
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    train = rows.where(trains)
-    counts = materialize(word_counts(train), "words")
-    ends = train.count()
-    distinct, in_words = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    total = in_words + ends
-    z = total + 0.1 * (distinct + (ends > 0) + 1)
-    common = counts.where(F.col("c") >= lookup_share * total).toArrow()
-    hashes, number = _hashes(common.column("word").cast(pa.binary()).to_pylist()), common.column("c").to_numpy().astype(np.int64)
-    order = np.argsort(hashes)
-    hashes, number = hashes[order], number[order]
-    symbols = np.where(number >= symbol_share * total, np.cumsum(number >= symbol_share * total) - 1, -1).astype(np.int32)
-    vocab = Vocabulary(hashes, number, symbols, int((symbols >= 0).sum()), total, z, ends)
-
-    placed = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", held_out().alias("held_out"), trains.alias("trains"), "text")
-    encoded = materialize(placed.mapInArrow(_encode_kernel(vocab), _ENCODED), "encoded")
-    tree = fit(encoded, vocab, depth, context_share, next_share, divergence=divergence)
-    paths = encoded.select("row_id", "doc_id", "held_out", "n_words", "known", "base", "unknown", "ids").mapInArrow(
-        _score_kernel(tree), "row_id long, doc_id long, held_out boolean, n_words long, known long, base double, unknown double, path double"
-    )
-    # words too rare for the broadcast table: only these are joined with the counts
-    rare = encoded.select("row_id", F.explode("rare").alias("word")).join(counts, "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    sums = rare.groupBy("row_id").agg(F.sum(F.log10((c + 0.1) / F.lit(z))).alias("rare_base"), F.count_if(c > 0).alias("rare_known"))
-    rare_base = F.coalesce("rare_base", F.lit(0.0))
-    return paths.join(sums, "row_id", "left").select(
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(3, (size // 6 // BUCKET).bit_length())
+    # a task has some 256 MB of text, or a share of a small input
+    tasks = max(3 * spark.sparkContext.defaultParallelism, size >> 28)
+
+    flags = F.when(F.col("doc_id").isNull(), NO_ID).when(held_out(), HELD_OUT).otherwise(TRAINS)
+    placed = rows.select(F.monotonically_increasing_id().alias("row_id"), F.coalesce("doc_id", F.lit(0).cast("long")), flags, "text")
+    now = materialize(placed.mapInArrow(_encode_kernel(depth, bits), _ROWS), "slices")
+    total = distinct = 0
+    heavy = np.zeros(0, np.uint64)
+    for length in range(depth + 1):
+        asked = now.where("bucket >= 0").repartition(min(tasks, 1 << bits), "bucket").sortWithinPartitions("bucket")
+        answer = _words_kernel(bits) if length == 0 else _test_kernel(total, least, divergence)
+        answers = materialize(asked.mapInArrow(answer, _ANSWERS), "answers")
+        aside = answers.where("slice = -1")
+        if length == 0:
+            distinct, total = (int(x or 0) for x in aside.agg(F.sum("key"), F.sum("value")).first())
+        else:
+            over = aside.groupBy("key").agg(F.sum("value").alias("value")).where(F.col("value") >= divergence).select("key").collect()
+            heavy = np.array([r.key for r in over], np.int64).view(np.uint64)
+        met = now.where("bucket = -1").select("slice", "bucket", "data").unionByName(answers.where("slice >= 0").select("slice", "bucket", "data"))
+        met = met.repartition(tasks, "slice").sortWithinPartitions("slice", "bucket")
+        kernel = _answer_kernel(length, depth, total, distinct, bits, least, alpha, heavy)
+        after = materialize(met.mapInArrow(kernel, _ROWS if length < depth else _SCORES), "slices")
+        discard(now)
+        discard(answers)
+        now = after
+    # a long text has several pieces
+    sums = now.groupBy("row_id", "doc_id", "held_out").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
+    known = F.lit(total > 0)
+    return sums.select(
         "doc_id",
         "held_out",
-        (F.col("n_words") + 1).alias("n_tokens"),
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        "n_tokens",
+        "n_known",
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + rare_base).alias("base_score"),
-        (F.col("path") + F.col("unknown") + rare_base if total else F.lit(0.0)).alias("score"),
+        F.when(known, F.col("base")).otherwise(0.0).alias("base_score"),
+        F.when(known, F.col("score")).otherwise(0.0).alias("score"),
     )

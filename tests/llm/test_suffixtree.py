@@ -3,7 +3,6 @@ import random
 import zlib
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -16,15 +15,49 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, 1, "x", 2.0) for i, t in rows], SCHEMA)
 
 
-def brute_base(rows):
-    tokens = [(i, (t or "").encode().lower().split() + [None]) for i, t in rows]
-    trains = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 != 0
-    c = Counter(w for i, t in tokens if trains(i) for w in t)
-    n, z = sum(c.values()), sum(c.values()) + 0.1 * (len(c) + 1)
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
-    return sorted(
-        ((i, held(i), len(t), sum(w in c for w in t), n, round(sum(math.log10((c[w] + 0.1) / z) for w in t), 6)) for i, t in tokens), key=str
-    )
+def trains(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 10 != 0
+
+
+class Brute:
+    """The model, straight from its definition."""
+
+    def __init__(self, rows, depth=5, least=2, divergence=0.2, alpha=8.0):
+        self.depth, self.alpha = depth, alpha
+        self.after = {(): Counter()}
+        for i, t in rows:
+            if trains(i):
+                for s, w in self.steps(t):
+                    for k in range(min(depth, len(s)) + 1):
+                        self.after.setdefault(s[len(s) - k :], Counter())[w] += 1
+        self.n = {s: sum(c.values()) for s, c in self.after.items()}
+        self.total, self.z = self.n[()], self.n[()] + 0.1 * (len(self.after[()]) + 1)
+        self.states = set()
+        for s, c in self.after.items():
+            if s:
+                share = lambda t, w: self.after[t][w] / self.n[t]
+                if sum(share(s, w) * math.log(share(s, w) / share(s[1:], w)) for w in c if c[w] >= least) >= divergence:
+                    self.states.add(s)
+
+    @staticmethod
+    def steps(text):
+        words = ["<begin>", *((text or "").encode().lower().split()), "<end>"]
+        return [(tuple(words[max(0, j - 8) : j]), words[j]) for j in range(1, len(words))]
+
+    def p(self, s, w):
+        p = (self.after[()][w] + 0.1) / self.z
+        for k in range(1, min(self.depth, len(s)) + 1):
+            t = s[len(s) - k :]
+            if t in self.states:
+                p = (self.after[t][w] + self.alpha * p) / (self.n[t] + self.alpha)
+        return p
+
+    def row(self, i, text):
+        steps = self.steps(text)
+        held = i is not None and not trains(i)
+        base = sum(math.log10((self.after[()][w] + 0.1) / self.z) for _, w in steps) if self.total else 0.0
+        score = sum(math.log10(self.p(s, w)) for s, w in steps) if self.total else 0.0
+        return i, held, len(steps), sum(w in self.after[()] for _, w in steps), self.total, round(base, 5), round(score, 5)
 
 
 def corpus(n=300, seed=2):
@@ -37,26 +70,68 @@ def corpus(n=300, seed=2):
             words.append(f"W{w}é" if rng.random() < 0.9 else f"rare{rng.randrange(9000)}")
             w = rng.choice(follow[w]) if rng.random() < 0.9 else rng.randrange(60)
         rows.append((i, rng.choice([" ", "\n", " \t "]).join(words)))
-    return rows
+    return rows + [(n + i, rows[i * 7][1]) for i in range(9)] + [(n + 20 + i, "one two one two " * i) for i in range(12)]
 
 
-ODD = [(None, "w1é alone"), (1000, None), (1001, ""), (1002, " \x0b\x0c\n"), (1003, "İ ÀB c  d"), (1004, "dup dup"), (1004, "dup dup"), (1005, "x " * 300_000)]
+ODD = [(None, "w1é alone"), (1000, None), (1001, ""), (1002, " \x0b\x0c\n"), (1003, "İ ÀB c  d"), (1004, "dup dup"), (1004, "dup dup"), (1005, "x " * 30_000)]
 
 
-@pytest.mark.parametrize("lookup", [1e-6, 1e-2])
-def test_base_scores(spark, lookup):
+def scored(spark, rows, **options):
+    got = st.score(frame(spark, rows), **options).collect()
+    return sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got), key=str)
+
+
+def same(got, want):
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for g, w in zip(got, want):
+        assert g[5:] == pytest.approx(w[5:], rel=1e-9, abs=3e-5)
+
+
+@pytest.mark.parametrize("options", [{}, {"depth": 1}, {"depth": 3, "divergence": 0.05, "alpha": 1.0}, {"least": 4}, {"depth": 0}])
+def test_scores_are_those_of_the_definition(spark, options):
     rows = corpus() + ODD
-    got = st.score(frame(spark, rows), lookup_share=lookup, symbol_share=max(2e-5, lookup)).collect()
-    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=str) == brute_base(rows)
-    assert all(math.isfinite(r.score) for r in got)
+    brute = Brute(rows, **options)
+    same(scored(spark, rows, **options), sorted((brute.row(*r) for r in rows), key=str))
+
+
+def test_longer_contexts_are_states(spark):
+    brute = Brute(corpus())
+    lengths = Counter(map(len, brute.states))
+    assert all(lengths[k] for k in (1, 2, 3))
+
+
+@pytest.mark.parametrize("change", [{"SLICE": 50}, {"PIECE": 16}, {"BUCKET": 4}, {"LEAST_HEAVY": 8, "HEAVY_PARTS": 60}, {"SLICE": 30, "PIECE": 9, "LEAST_HEAVY": 3, "HEAVY_PARTS": 60}])
+def test_layout_does_not_change_scores(spark, monkeypatch, change):
+    """Small slices, pieces of texts, many buckets, heavy contexts."""
+    rows = corpus(80) + ODD[:-1] + [(1005, "x y " * 60)]
+    for name, value in change.items():
+        monkeypatch.setattr(st, name, value)
+    brute = Brute(rows)
+    same(scored(spark, rows), sorted((brute.row(*r) for r in rows), key=str))
+
+
+def test_documents_that_occur_twice_stand_out(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(60))) for i in range(200)]
+    rows += [(500 + i, rows[i][1]) for i in range(20)]
+    gain = {r[0]: (r[6] - r[5]) / r[2] for r in scored(spark, rows)}
+    again = [gain[500 + i] for i in range(20) if trains(500 + i) and trains(i)]
+    assert min(again) > 0.5 + max(gain[i] for i in range(20, 200))
 
 
 def test_held_out_text_is_likelier_than_under_the_base(spark):
-    got = [r for r in st.score(frame(spark, corpus(1200))).collect() if r.held_out and r.n_tokens > 20]
-    assert sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got) and len(got) > 50
+    got = [r for r in scored(spark, corpus(1200)) if r[1] and r[2] > 20]
+    assert sum(r[6] for r in got) > 0.8 * sum(r[5] for r in got) and len(got) > 50
+
+
+def test_distributions_add_up_to_one():
+    brute = Brute(corpus())
+    words = [*brute.after[()], "<unseen>"]
+    for s in random.Random(1).sample(sorted(brute.states, key=str), 40):
+        assert sum(brute.p(("<other>", *s), w) for w in words) == pytest.approx(1.0, abs=1e-9)
 
 
-@pytest.mark.parametrize("rows", [[], [(10, None)], [(i, "a b") for i in range(300) if zlib.crc32(str(i).encode()) % 10 == 0][:3]])
+@pytest.mark.parametrize("rows", [[], [(10, None)], [(i, "a b") for i in range(300) if not trains(i)][:3]])
 def test_nothing_to_learn_from(spark, rows):
     got = st.score(frame(spark, rows)).collect()
     assert len(got) == len(rows)
@@ -64,72 +139,16 @@ def test_nothing_to_learn_from(spark, rows):
         assert all(r.score == r.base_score == r.train_tokens == 0 for r in got)
 
 
+def test_bad_parameters_are_refused(spark):
+    for options in ({"least": 1}, {"divergence": 0.0}):
+        with pytest.raises(ValueError):
+            st.score(frame(spark, [(1, "a")]), **options)
+
+
 def test_words_are_split_as_bytes_are():
-    texts = [None, "", " a  B\tc\x0b\x0cd\r\ne ", "É x y", "\x1cz\x85w"]
+    texts = [None, "", " a  B\tc\x0b\x0cd\r\ne ", "É x y", "\x1cz\x85w"]
     words, owner = st.split_words(pa.array(texts))
     want = [(i, w.decode()) for i, t in enumerate(texts) for w in (t or "").encode().lower().split()]
     assert list(zip(owner.tolist(), words.to_pylist())) == want
     words, owner = st.split_words(pa.array(["skipped words", *texts, "more"]).slice(1, len(texts)))
     assert list(zip(owner.tolist(), words.to_pylist())) == want
-
-
-def test_slices_of_a_batch_do_not_change_scores(spark, monkeypatch):
-    rows = corpus(60) + ODD
-    whole = sorted((tuple(r) for r in st.score(frame(spark, rows)).collect()), key=str)
-    real = st._slices
-    monkeypatch.setattr(st, "_slices", lambda batch, column, size=0: real(batch, column, 100))
-    got = sorted((tuple(r) for r in st.score(frame(spark, rows)).collect()), key=str)
-    assert [g[:5] for g in got] == [w[:5] for w in whole]
-    assert all(a == pytest.approx(b) for g, w in zip(got, whole) for a, b in zip(g[5:], w[5:]))
-
-
-def grown(spark, depth):
-    kept = {}
-    real = st.fit
-
-    def spy(*args, **options):
-        kept["tree"] = real(*args, **options)
-        return kept["tree"]
-
-    st.fit = spy
-    try:
-        st.score(frame(spark, corpus()), depth=depth)
-    finally:
-        st.fit = real
-    return kept["tree"]
-
-
-@pytest.mark.parametrize("depth", [1, 2, 3])
-def test_distributions_add_up_to_one_in_every_state(spark, depth):
-    tree = grown(spark, depth)
-    vocab = tree.vocab
-    assert all(len(level.retained) for level in tree.levels) and len(tree.levels) == depth
-    rng = np.random.default_rng(0)
-    for _ in range(25):
-        history = [vocab.begin] * depth + rng.integers(0, vocab.size, rng.integers(0, depth + 2)).tolist()
-        total = 0.0
-        for symbol in range(vocab.end + 1):
-            seq = np.array([*history, symbol])
-            total += 10 ** tree.log10(seq, np.array([len(seq) - 1]))[0]
-        assert total == pytest.approx(1.0, abs=1e-9)
-
-
-def test_contexts_are_counted_right(spark):
-    """The parts of the explicit continuations of each state of two words, recounted from the texts."""
-    tree = grown(spark, 2)
-    vocab, level = tree.vocab, tree.levels[1]
-    rows = [(t or "").encode().lower().split() for i, t in corpus() if zlib.crc32(str(i).encode()) % 10]
-    symbol = {h: int(s) for h, s in zip(vocab.hashes.tolist(), vocab.symbols.tolist())}
-    pairs, triples = Counter(), Counter()
-    for words in rows:
-        ids = [vocab.begin] + [(lambda s: s if s >= 0 else vocab.unknown)(symbol.get(int(st._hashes([w])[0]), -1)) for w in words] + [vocab.end]
-        pairs.update(zip(ids, ids[1:]))
-        triples.update(zip(ids, ids[1:], ids[2:]))
-    n = Counter()
-    for (a, b, _), c in triples.items():
-        n[a, b] += c
-    assert len(level.keys) > 50
-    for key, part in zip(level.keys.tolist(), level.parts.tolist()):
-        number, last = divmod(key, vocab.width)
-        b, a = divmod(int(tree.contexts[1][number]), vocab.width)
-        assert part == pytest.approx(triples[a, b, last] / (n[a, b] + 4.0))
