@@ -79,7 +79,7 @@ def test_small_slices_and_heavy_anchors(spark, monkeypatch):
     for t in rows:
         raw = np.frombuffer((t[1] or "").encode(), np.uint8)
         if len(raw) >= 100 and len(raw) < 1 << 9:
-            spy(raw, np.array([len(raw)]), sd.Polynomial(0), None)
+            spy(raw, np.array([len(raw)]), sd.Polynomial(), None)
     heavy = sd.Heavy(np.array(sorted(grams)[::2], np.uint64))
     monkeypatch.setattr(sd, "runs_of", lambda data, ends, poly, _: real(data, ends, poly, heavy))
     assert run(spark, rows) == want
@@ -87,12 +87,43 @@ def test_small_slices_and_heavy_anchors(spark, monkeypatch):
 
 def test_repeated_rows_null_ids_and_empty_table(spark):
     t = "".join(chr(97 + i % 26) + str(i) for i in range(200))
-    rows = [(5, t), (5, t), (9, "zz" + t), (None, t)]
+    rows = [(5, t), (5, t), (9, "zz" + t)]
     got = run(spark, rows)
     assert got[0] == got[1] and got[0][2] == 0 and got[2][2] == len(t) and len(got) == 3
     assert run(spark, []) == []
 
 
+def test_rows_without_an_id_are_left_alone(spark):
+    t = "".join(chr(97 + i % 26) + str(i) for i in range(200))
+    frame = spark.createDataFrame([(None, t, 1, "x", 2), (None, t + t, 1, "x", 2), (None, None, 1, "x", 2), (3, t, 1, "x", 2)], SCHEMA)
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.kept_sha256) for r in sd.remove_repeats(frame).collect())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    n = len(t)
+    assert got == sorted([(-1, 0, 0, sha("")), (-1, n, 0, sha(t)), (-1, 2 * n, 0, sha(t + t)), (3, n, 0, sha(t))])
+
+
+def test_different_texts_under_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(8)
+    one, two, three = ("".join(rng.choice("abcdefgh") for _ in range(600)) for _ in range(3))
+    rows = [(1, one), (2, one), (2, two), (2, two), (2, three + two), (3, three)]
+    frame = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], SCHEMA).repartition(3)
+    got = sorted((r.doc_id, bytes(r.kept).decode()) for r in sd.remove_repeats(frame, with_text=True).collect())
+    # which of the texts with id 2 comes first is up to their hashes
+    assert got in (sorted([(1, one), (2, ""), (2, two), (2, two), (2, three), (3, "")]), sorted([(1, one), (2, ""), (2, ""), (2, ""), (2, three + two), (3, "")]))
+
+
+@pytest.mark.parametrize("chunk", [1 << 14, 4])
+def test_equal_hashes_of_different_strings_remove_nothing(spark, monkeypatch, chunk):
+    """Hashes of three values only: nearly all runs meet, and nearly all comparisons collide."""
+    rows = list(enumerate(texts(3, n=12) + EDGES))
+    want = brute(rows)
+    real = sd.Polynomial.spans
+    monkeypatch.setattr(sd.Polynomial, "spans", lambda self, prefixes, start, size: real(self, prefixes, start, size) % np.uint64(3))
+    monkeypatch.setattr(sd, "_mix", lambda x: x % np.uint64(5) * np.uint64(0x3333333333333333))
+    monkeypatch.setattr(sd, "CHUNK", chunk)
+    assert run(spark, rows) == want
+
+
 def test_kept_text(spark):
     t = "".join(chr(97 + i % 26) + str(i) for i in range(200))
     frame = spark.createDataFrame([(1, t, 0, "", 0), (2, "<" + t + ">", 0, "", 0)], SCHEMA)
