@@ -8,27 +8,31 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """Both directions of each edge as (u, v), with the least id among u and its neighbours.
+def _join_least(rows: DataFrame, least: DataFrame, bound: int) -> DataFrame:
+    """``rows`` (u, ...) with m of ``least`` (u, m, n), n the rows of u.
 
-    The least ids are a partial aggregate joined back, never a window over a node's neighbours, so a hub with a
-    third of all edges is combined before the shuffle and its join partition can be split.
+    Nodes with more than ``bound`` rows are few, as rows are bounded by the edges: they are broadcast, so a hub with a
+    third of all edges is not one task.
     """
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u")
+    hubs = F.broadcast(least.where(F.col("n") > bound).select("u", "m"))
+    spread = rows.join(hubs, "u")
+    rest = rows.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= bound).select("u", "m"), "u")
+    return spread.unionByName(rest)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    seen = _with_least(edges).where("v > u")
+def _large_star(edges: DataFrame, bound: int) -> DataFrame:
+    """Links each larger neighbour of a node with the least id among the node and its neighbours."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+    seen = _join_least(both.where("v > u"), least, bound)
     return seen.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, bound: int) -> DataFrame:
     """Edges run from the larger to the smaller id; links each smaller neighbour and the node to their least."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hung = _join_least(down, least, bound).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -42,8 +46,10 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
+    # at most 8192 nodes of a round are above the bound
+    bound = max(256, edges.count() >> 12)
     for _ in range(max_rounds):
-        turned = materialize(_small_star(_large_star(edges)), "edges")
+        turned = materialize(_small_star(_large_star(edges, bound), bound), "edges")
         state = turned.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         discard(edges)
         edges = turned

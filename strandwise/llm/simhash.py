@@ -5,6 +5,9 @@ such vectors is never above the Hamming distance of the fingerprints, so it serv
 halves (16 counts each) of vectors within distance 4, one half is within 2; two lattice points within 2 share a
 point within 1 of both.  Every fingerprint is therefore entered in the grid cells within 1 of each of its halves,
 fingerprints meet in equal cells, and the exact Hamming distance is taken there.
+
+Cells of more than LARGE fingerprints are dealt once more before they are compared, by five blocks of the fingerprint's
+bits: four differences leave one block equal.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from .common import materialize, word_chunks
 from .components import components
 
 SEGMENTS_A_HALF = 16
+LARGE = 1 << 13
+_BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and bits
 _POWERS = 3 ** np.arange(SEGMENTS_A_HALF, dtype=np.int64)
 _HALF = 3**SEGMENTS_A_HALF
 
@@ -142,26 +147,68 @@ def link_cells(cells: np.ndarray, prints: np.ndarray, distance: int, lags: int =
     return prints[hung], prints[parent[hung]]
 
 
-def _link_kernel(distance: int, chunk: int = 1 << 19):
+def blocks_of(cells: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What large cells are dealt by: (hash of the cell and one block of bits, fingerprint)."""
+    bits, keys = prints.view(np.uint64), []
+    for i, (first, n) in enumerate(_BLOCKS):
+        x = cells.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (bits >> np.uint64(first) & np.uint64((1 << n) - 1)) * np.uint64(8) + np.uint64(i)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        keys.append((x ^ (x >> np.uint64(27))).view(np.int64))
+    return np.concatenate(keys), np.tile(prints, len(_BLOCKS))
+
+
+def _link_kernel(distance: int, large: int | None, chunk: int = 1 << 19):
+    """Links (kind 0: a, b) inside the cells of rows sorted by cell; cells of more than ``large`` rows are passed on
+    instead (kind 1: block, fingerprint), however long they are."""
+
+    def batch(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+
+    def solve(cells: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if large is not None and len(cells) > large:
+            starts = np.nonzero(np.diff(cells, prepend=cells[0] - 1))[0]
+            sizes = np.diff(np.concatenate((starts, [len(cells)])))
+            over = np.repeat(sizes > large, sizes)
+            if over.any():
+                yield from defer(cells[over], prints[over])
+                cells, prints = cells[~over], prints[~over]
+        if len(cells):
+            a, b = link_cells(cells, prints, distance)
+            if len(a):
+                yield batch(0, a, b)
+
+    def defer(cells: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(cells), 1 << 14):
+            yield batch(1, *blocks_of(cells[i : i + (1 << 14)], prints[i : i + (1 << 14)]))
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size, full = 0, chunk
+        size, full, passing = 0, chunk, None
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, full
+            nonlocal held, size, full, passing
             if not held:
                 return
             cells, prints = (np.concatenate(x) for x in zip(*held, strict=True))
-            end = len(cells) if last else int(np.searchsorted(cells, cells[-1]))
-            a, b = link_cells(cells[:end], prints[:end], distance)
-            held, size = [(cells[end:], prints[end:])], len(cells) - end
-            full = max(chunk, 2 * size)  # a cell longer than a chunk is carried whole: 16 bytes a distinct fingerprint
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for batch in batches:
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
-            size += len(batch)
+            if passing is not None:  # the rest of a cell whose first rows were passed on
+                more = int(np.searchsorted(cells, passing, "right"))
+                yield from defer(cells[:more], prints[:more])
+                cells, prints = cells[more:], prints[more:]
+                passing = passing if not len(cells) else None
+            if len(cells):
+                end = len(cells) if last else int(np.searchsorted(cells, cells[-1]))
+                yield from solve(cells[:end], prints[:end])
+                if large is not None and len(cells) - end > large:
+                    passing = cells[-1]
+                    yield from defer(cells[end:], prints[end:])
+                    end = len(cells)
+                cells, prints = cells[end:], prints[end:]
+            held, size = [(cells, prints)], len(cells)
+            full = max(chunk, 2 * size)
+
+        for rows in batches:
+            held.append(tuple(rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+            size += len(rows)
             if size >= full:
                 yield from flush(False)
         yield from flush(True)
@@ -169,13 +216,20 @@ def _link_kernel(distance: int, chunk: int = 1 << 19):
     return kernel
 
 
-def links(prints: DataFrame, distance: int = 4) -> DataFrame:
+def links(prints: DataFrame, distance: int = 4, large: int = LARGE) -> DataFrame:
     """(a, b): links between distinct fingerprints that connect exactly those that are linked, directly or not."""
     if distance > 4:
-        raise ValueError("cells within 1 of each half find distances up to 4")
+        raise ValueError("cells within 1 of each half, and five blocks, find distances up to 4")
+    schema = "kind int, a long, b long"
     entered = prints.select("fp").mapInArrow(_cell_kernel, "cell long, fp long")
     dealt = entered.repartition("cell").sortWithinPartitions("cell", "fp")
-    return dealt.mapInArrow(_link_kernel(distance), "a long, b long").where("a <> b").distinct()
+    met = materialize(dealt.mapInArrow(_link_kernel(distance, large), schema), "links")
+    found = met.where("kind = 0")
+    passed = met.where("kind = 1").select("a", "b")
+    if not passed.isEmpty():
+        again = passed.distinct().repartition("a").sortWithinPartitions("a", "b")
+        found = found.unionByName(again.mapInArrow(_link_kernel(distance, None), schema))
+    return found.select("a", "b").where("a <> b").distinct()
 
 
 def _rooted(docs: DataFrame, width: int, seed: int, distance: int) -> tuple[DataFrame, DataFrame]:

@@ -99,6 +99,68 @@ def test_large_cells_against_all_pairs(lags):
         assert {frozenset(g) for g in got.values()} == {frozenset(p for p in inside if want[p] == r) for r in set(want.values())}
 
 
+@pytest.mark.parametrize("large,chunk", [(8192, 1 << 19), (3, 1 << 19), (3, 10), (9, 64)])
+def test_cells_that_are_dealt_again_link_the_same(large, chunk):
+    """Through both passes of the kernel, in batches of any size."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    prints = [base]
+    for _ in range(30):
+        near = base.copy()
+        for _ in range(rng.integers(1, 4)):
+            near ^= np.uint64(1) << rng.integers(0, 64, len(base), dtype=np.uint64)
+        prints.append(near)
+    prints = np.unique(np.concatenate(prints)).view(np.int64)
+
+    def through(kernel, cells, values):
+        order = np.lexsort((values, cells))
+        batches = [pa.RecordBatch.from_arrays([pa.array(cells[order[i : i + 7]]), pa.array(values[order[i : i + 7]])], ["cell", "fp"]) for i in range(0, len(order), 7)]
+        out = [np.zeros((3, 0), np.int64), *(np.array([c.to_numpy(zero_copy_only=False) for c in b.columns], np.int64) for b in kernel(iter(batches)))]
+        return np.concatenate(out, axis=1)
+
+    cells, owners = simhash.cells_of(prints)
+    met = through(simhash._link_kernel(4, large, chunk), cells, prints[owners])
+    passed = met[1:, met[0] == 1]
+    assert passed.size or large == 8192
+    again = through(simhash._link_kernel(4, None, chunk), *passed) if passed.size else np.zeros((3, 0), np.int64)
+    links = np.concatenate([met[1:, met[0] == 0], again[1:]], axis=1)
+    root = {int(p): int(p) for p in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links.T.tolist():
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    want = brute_components([(int(p), int(p) % (1 << 64)) for p in prints.tolist()])
+    groups = lambda of: {frozenset(p for p in root if of(p) == r) for r in {of(p) for p in root}}
+    assert groups(find) == groups(want.get)
+
+
+def test_hubs_are_joined_apart(spark):
+    from strandwise.llm.components import components
+
+    rng = random.Random(4)
+    edges = [(7, i) for i in range(100, 1300)] + [(i, 5000) for i in range(2000, 2700)] + [(rng.randrange(8000, 9000), rng.randrange(8000, 9000)) for _ in range(900)] + [(5000, 1299)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    assert got == {n: find(n) for a, b in edges if a != b for n in (a, b) if find(n) != n}
+
+
 def test_long_text_in_chunks():
     text = " ".join("word%d" % (i % 977) for i in range(60_000))
     assert simhash.simhash(text.encode()) == brute_print(text)
