@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ FALLBACK_DIR = "file:///tmp/checkpoints"
 #: Spark's setting that deletes the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Settings for tables of few large binary rows that are compressed already: small Arrow batches, no codec.
+BLOBS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "64", "spark.sql.parquet.compression.codec": "uncompressed"}
+
 #: What separates words: the characters \x20 and \x09-\x0D, which are those of bytes.split().
 SPACE = "[\\x20\\x09-\\x0D]"
 _SPACE_BYTES = re.compile(rb"[\x20\x09-\x0D]")
@@ -37,24 +41,40 @@ def run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/strandwise-{spark.sparkContext.applicationId}"
 
 
+_SCOPES: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_SCOPES[-1] if _SCOPES else run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are deleted at the end, but for those with ``keep``."""
+    _SCOPES.append(f"{run_dir(spark)}/scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, _SCOPES.pop())
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+
+def materialize(df: DataFrame, label: str, settings: dict[str, str] | None = None, keep: bool = False) -> DataFrame:
     """Cut lineage: write ``df`` once as Parquet into the shared folder and read it back.
 
     A lost executor costs a later stage no more than a reread, as all executors see the folder.  The shuffle files of
-    the write are deleted when it ends.
+    the write are deleted when it ends.  ``settings`` hold during the write; ``keep`` puts the table outside any scope.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}" if keep else scratch_path(spark, label)
+    wanted = {CLEANUP: "true", "spark.sql.parquet.compression.codec": "zstd"} | (settings or {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,6 +97,42 @@ def clean_up(spark: SparkSession) -> None:
     _delete(spark, run_dir(spark))
 
 
+def join_few(rows: DataFrame, few: DataFrame, keys: list[str], spread: Column, bound: int, salts: int = 16) -> DataFrame:
+    """``rows`` left-joined with ``few``, which has one row a key: broadcast if it has at most ``bound`` rows, else both
+    are dealt in ``salts`` shares by ``spread``, so a key that a third of all rows have is not one task.  ``few`` is
+    counted first and should be cheap to read again."""
+    if few.count() <= bound:
+        return rows.join(F.broadcast(few), keys, "left")
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], "left").drop("_salt")
+
+
+def row_key() -> Column:
+    """A hash of a row's id and text: what tells rows apart whose id is null or repeated."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def keep_first(docs: DataFrame, members: DataFrame, bound: int = 1 << 20) -> DataFrame:
+    """One row of ``docs`` for each root of ``members`` (doc_id, key, root; one row a row of docs): that with the
+    smallest doc_id (null ids last), and of rows that repeat both id and text any one.
+
+    Only the keys of rows that go are joined with docs, broadcast up to ``bound``, so texts are not shuffled.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("key"))
+    groups = members.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = materialize(groups.select("root", F.col("first.key").alias("kept")), "groups")
+    placed = join_few(members, groups, ["root"], F.col("key"), bound).where(F.col("kept").isNotNull())
+    # a kept key that occurs again is that of a repeated row
+    marks = placed.groupBy("key", "kept").agg(F.count("*").alias("n")).select("key", (F.col("key") != F.col("kept")).alias("_goes"), "n")
+    marks = materialize(marks.where(F.col("_goes") | (F.col("n") > 1)).select(F.col("key").alias("_key"), "_goes"), "marks")
+    hint = F.broadcast if marks.count() <= bound else (lambda df: df)
+    met = docs.withColumn("_key", row_key()).join(hint(marks), "_key", "left")
+    once = met.where(F.col("_goes").isNull()).select(*docs.columns)
+    if marks.where(~F.col("_goes")).isEmpty():
+        return once
+    return once.unionByName(met.where(~F.col("_goes")).dropDuplicates(["_key"]).select(*docs.columns))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else; null becomes empty."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -7,7 +7,7 @@ longest retained suffix: p(a|s) = (c(s,a) + alpha * p(a|suffix)) / (n(s) + alpha
 word is scored in the longest retained state that ends before it.  Nothing else bounds the model: it holds every
 context of the corpus that passes the test, and no table of it reaches the driver or is broadcast.
 
-Texts are packed into slices of some 2^20 tokens.  For each length the slices ask for their distinct (context, next
+Texts are packed into slices of some 2^20 tokens, kept in a table.  For each length the slices ask for their distinct (context, next
 word) pairs, with the counts of their own training texts; requests meet in buckets by the hash of the context, where
 counts are added up and the test is made, and the answers return to the slices.  So a pair is counted, tested and
 looked up in one round trip, repeated text costs one row a slice, and a slice never needs the model, only the answers.
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import BLOBS, discard, materialize
 
 SLICE = 1 << 20  # tokens of a slice
 BUCKET = 1 << 21  # tokens of the corpus for each bucket
@@ -47,7 +47,7 @@ LEAST_HEAVY = 1 << 16
 _END, _BEGIN = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b" end", b" begin"))  # no word holds a blank
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 TRAINS, HELD_OUT, NO_ID = 1, 2, 4
-_ROWS = "slice long, bucket int, n long, data binary"
+_ROWS = "slice long, bucket int, data binary"
 _ANSWERS = "slice long, bucket int, key long, value double, data binary"
 
 
@@ -79,6 +79,30 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """The order that sorts 64-bit keys, by one sort of keys and places packed into one word where they fit."""
+    bits = max(1, len(x).bit_length())
+    x = x.astype(np.uint64, copy=False)
+    place, room = np.arange(len(x), dtype=np.uint64), np.uint64(bits)
+    whole = not len(x) or int(x.max()) < 1 << (64 - bits)
+    packed = np.sort((x << room if whole else x >> room << room) | place)
+    order = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    if not whole and (x[order[1:]] < x[order[:-1]]).any():  # keys that differ in their last bits only
+        return np.argsort(x, kind="stable")
+    return order
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place of each, and the number of each place's value."""
+    order = _order(x)
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = x[order[1:]] != x[order[:-1]]
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    first = order[fresh]
+    return x[first], first, number
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts (A-Z in lower case, split at \\x20 and \\x09-\\x0D) and the index of each one's text."""
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
@@ -91,9 +115,12 @@ def word_hashes(texts: pa.Array) -> list[np.ndarray]:
     """The hashes of the words of each text, in order."""
     words, owner = split_words(texts)
     coded = words.dictionary_encode()
-    unique = coded.dictionary.cast(pa.binary()).to_pylist()
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, unique), np.uint64, len(unique))[coded.indices.to_numpy(zero_copy_only=False)]
-    return np.split(hashes, np.searchsorted(owner, np.arange(1, len(texts))))
+    unique = coded.dictionary
+    _, ends, data = unique.buffers()
+    data, digest = data.to_pybytes() if data else b"", xxhash.xxh64_intdigest
+    ends = np.frombuffer(ends, np.int32)[unique.offset : unique.offset + len(unique) + 1].tolist() if len(unique) else [0]
+    hashes = np.array([digest(data[a:b]) for a, b in zip(ends, ends[1:])], np.uint64)
+    return np.split(hashes[coded.indices.to_numpy(zero_copy_only=False)], np.searchsorted(owner, np.arange(1, len(texts))))
 
 
 def _cuts(text: str, size: int) -> Iterator[str]:
@@ -116,9 +143,10 @@ class Slice:
     """Some texts, or pieces of long ones, as tokens; each piece begins with the tokens before it (``lead`` of them)
     and the last piece of a text has the end.
 
-    ``grams[m - 1][j]`` is how often the m tokens that end at j occur in training; below 2 it may read 0.  ``kept[k - 1]``
-    says whether the k tokens before j are a retained state.  ``active`` are the places that ask at the next length,
-    ``sure`` those whose next word follows from a shorter context.
+    ``words`` are hashes at first, then numbers, the frequent ones of the slice first.  ``grams[m - 2][j]`` is how often
+    the m tokens that end at j occur in training; below 2 it may read 0.  ``kept[k - 1]`` says whether the k tokens before
+    j are a retained state.  ``active`` are the places that ask at the next length, ``sure`` those whose next word follows
+    from a shorter context.
     """
 
     row_id: np.ndarray
@@ -126,7 +154,8 @@ class Slice:
     flags: np.ndarray  # TRAINS, HELD_OUT, NO_ID
     size: np.ndarray
     lead: np.ndarray
-    words: np.ndarray  # hashes, then numbers, of the distinct tokens, sorted by hash
+    words: np.ndarray
+    counts: np.ndarray  # of the words in training, once they are known
     tokens: np.ndarray  # index into words
     grams: list[np.ndarray] = field(default_factory=list)
     kept: list[np.ndarray] = field(default_factory=list)
@@ -135,36 +164,40 @@ class Slice:
 
     def __post_init__(self) -> None:
         starts = np.cumsum(self.size) - self.size
-        self.place = np.arange(len(self.tokens)) - np.repeat(starts, self.size)
-        self.own = self.place >= np.repeat(self.lead, self.size)
-        self.weight = (self.own & np.repeat(self.flags & TRAINS == TRAINS, self.size)).astype(np.int64)
+        self.place = (np.arange(len(self.tokens)) - np.repeat(starts, self.size)).astype(np.int32)
+        self.own = self.place >= np.repeat(self.lead.astype(np.int32), self.size)
+        self.weight = self.own & np.repeat(self.flags & TRAINS == TRAINS, self.size)
 
     def to_bytes(self) -> bytes:
         bits = [np.packbits(x) for x in (*self.kept, *([self.active, self.sure] if self.active is not None else []))]
-        return _pack(self.row_id, self.doc_id, self.flags, self.size, self.lead, self.words, self.tokens, np.array([len(self.grams), len(bits)]), *self.grams, *bits)
+        shape = np.array([len(self.grams), len(bits)])
+        return _pack(self.row_id, self.doc_id, self.flags, self.size, self.lead, self.words, self.counts, self.tokens, shape, *self.grams, *bits)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Slice:
         columns = _unpack(data)
-        row_id, doc_id, flags, size, lead, tokens = (columns[i].astype(np.int64) for i in (0, 1, 2, 3, 4, 6))
-        grams, bits = columns[7].tolist()
-        found = cls(row_id, doc_id, flags, size, lead, columns[5], tokens, [c.astype(np.int64) for c in columns[8 : 8 + grams]])
-        rest = [np.unpackbits(c.astype(np.uint8), count=len(tokens)).astype(bool) for c in columns[8 + grams : 8 + grams + bits]]
+        row_id, doc_id, flags, size, lead, counts, tokens = (columns[i].view(np.int64) for i in (0, 1, 2, 3, 4, 6, 7))
+        grams, bits = columns[8].tolist()
+        found = cls(row_id, doc_id, flags, size, lead, columns[5], counts, tokens, [c.view(np.int64) for c in columns[9 : 9 + grams]])
+        rest = [np.unpackbits(c.astype(np.uint8), count=len(tokens)).view(bool) for c in columns[9 + grams : 9 + grams + bits]]
         if rest:
             found.kept, found.active, found.sure = rest[:-2], rest[-2], rest[-1]
         return found
 
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.tokens, self.weight, len(self.words)).astype(np.int64)
+    def often(self, m: int, at: np.ndarray | None = None) -> np.ndarray:
+        """How often the m tokens that end at some places, or at all, occur in training."""
+        if m == 1:
+            return self.counts[self.tokens if at is None else self.tokens[at]]
+        return self.grams[m - 2] if at is None else self.grams[m - 2][at]
 
     def numbered(self, ids: np.ndarray, counts: np.ndarray, least: int) -> None:
         """Take in the numbers and counts of the words; then each token asks what follows the one before it."""
-        end, begin = np.searchsorted(self.words, _END), np.searchsorted(self.words, _BEGIN)
+        end, begin = (np.nonzero(self.words == x)[0] for x in (_END, _BEGIN))
         counts[begin] = counts[end]  # a text that trains begins as often as it ends
-        self.words, self.grams = ids.astype(np.uint64), [counts[self.tokens]]
+        self.words, self.counts = ids.astype(np.uint64), counts
         self.sure = np.zeros(len(self.tokens), bool)
         self.active = self.place >= 1
-        self.active[1:] &= self.grams[0][:-1] >= least
+        self.active[1:] &= self.often(1)[:-1] >= least
 
 
 @dataclass
@@ -177,7 +210,7 @@ class Requests:
     often: np.ndarray  # n(s) and n(s') of each distinct context
     often_suffix: np.ndarray
     owner: np.ndarray  # context of each pair
-    word: np.ndarray  # next word of each pair
+    word: np.ndarray  # next word of each pair, as an index into the words of the slice
     count: np.ndarray  # in the training texts of this slice
     count_suffix: np.ndarray  # c(s', a)
     order: np.ndarray
@@ -190,21 +223,31 @@ def heavy_bound(total: int) -> int:
 
 def requests(s: Slice, length: int, total: int, bits: int) -> Requests:
     at = np.nonzero(s.active)[0]
-    hashes = np.zeros(len(at), np.uint64)
-    for i in range(1, length + 1):
-        hashes = _mix(hashes * _ODD + s.words[s.tokens[at - i]] + np.uint64(i))
-    context, first, owner = np.unique(hashes, return_index=True, return_inverse=True)
-    often = s.grams[length - 1][at[first] - 1]
-    often_suffix = s.grams[length - 2][at[first] - 1] if length > 1 else np.full(len(context), total)
-    pairs, some, pair = np.unique(owner * len(s.words) + s.tokens[at], return_index=True, return_inverse=True)
-    owner, word = pairs // max(1, len(s.words)), s.words[pairs % max(1, len(s.words))]
+    if length == 1:
+        before = s.tokens[at - 1]
+        there = np.bincount(before, minlength=len(s.words)) > 0
+        hashes = _mix(s.words[there] + np.uint64(1))
+        rank = _order(hashes)
+        number = np.zeros(len(s.words), np.int64)
+        number[np.nonzero(there)[0][rank]] = np.arange(len(rank))
+        context, owner, often = hashes[rank], number[before], s.counts[there][rank]
+        often_suffix = np.full(len(context), total)
+    else:
+        hashes = np.zeros(len(at), np.uint64)
+        for i in range(1, length + 1):
+            hashes = _mix(hashes * _ODD + s.words[s.tokens[at - i]] + np.uint64(i))
+        context, first, owner = _distinct(hashes)
+        often, often_suffix = (s.often(m, at[first] - 1) for m in (length, length - 1))
+    pairs, some, pair = _distinct(owner * len(s.words) + s.tokens[at])
+    owner, word = pairs // max(1, len(s.words)), pairs % max(1, len(s.words))
     key = context[owner]
     spread = (often > heavy_bound(total))[owner]
-    key = np.where(spread, _mix(key ^ _mix(word + _ODD)), key)
+    if spread.any():
+        key[spread] = _mix(key[spread] ^ _mix(s.words[word[spread]] + _ODD))
     bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    count = np.bincount(pair, s.weight[at], len(pairs)).astype(np.int64)
-    return Requests(at, pair, context, often, often_suffix, owner, word, count, s.grams[length - 1][at[some]], order, bucket[order])
+    order = np.argsort(bucket, kind="stable") if spread.any() else np.arange(len(bucket))
+    count = np.bincount(pair[s.weight[at]], minlength=len(pairs))
+    return Requests(at, pair, context, often, often_suffix, owner, word, count, s.often(length, at[some]), order, bucket[order])
 
 
 def _bounds(bucket: np.ndarray) -> np.ndarray:
@@ -222,32 +265,47 @@ def _batch(rows: list[tuple], schema: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(names), types, strict=True)], list(names))
 
 
-_ROW_SCHEMA = (("slice", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary()))
+_ROW_SCHEMA = (("slice", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()))
 _ANSWER_SCHEMA = (("slice", pa.int64()), ("bucket", pa.int32()), ("key", pa.int64()), ("value", pa.float64()), ("data", pa.binary()))
 
 
 def _asking(number: int, s: Slice, length: int, total: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """A slice and its requests of one length as rows; the slice itself has bucket -1."""
-    yield _batch([(number, -1, len(s.tokens), s.to_bytes())], _ROW_SCHEMA)
+    """The requests of a slice for one length, as a row for each bucket."""
     rows = []
     if length == 0:
-        counts = s.word_counts()
-        bucket = (s.words >> np.uint64(64 - bits)).astype(np.int64)
+        counts = np.bincount(s.tokens[s.weight], minlength=len(s.words))
+        order = _order(s.words)
+        bucket = (s.words[order] >> np.uint64(64 - bits)).astype(np.int64)
         for a, b in zip((cuts := _bounds(bucket)), cuts[1:]):
-            rows.append((number, int(bucket[a]), int(b - a), _pack(s.words[a:b], counts[a:b])))
+            i = order[a:b]
+            rows.append((number, int(bucket[a]), _pack(np.diff(s.words[i], prepend=np.uint64(0)), counts[i])))
     else:
         r = requests(s, length, total, bits)
+        heavy = r.often > heavy_bound(total)
         for a, b in zip((cuts := _bounds(r.bucket)), cuts[1:]):
             i = r.order[a:b]
             own, sizes = _runs(r.owner[i])
+            names, index = np.unique(r.word[i], return_inverse=True)
+            # n(s) is the sum of the pairs, but for heavy contexts; c(s', a) of a single word is that of the word
+            suffix = s.counts[names] if length == 1 else r.count_suffix[i]
+            often_suffix = np.zeros(0, np.int64) if length == 1 else r.often_suffix[own]
             steps = np.diff(r.context[own], prepend=np.uint64(0))
-            rows.append((number, int(r.bucket[a]), int(b - a), _pack(steps, sizes, r.often[own], r.often_suffix[own], r.word[i], r.count[i], r.count_suffix[i])))
-    if rows:
-        yield _batch(rows, _ROW_SCHEMA)
+            rows.append((number, int(r.bucket[a]), _pack(steps, sizes, np.where(heavy[own], r.often[own], 0), often_suffix, index, s.words[names], r.count[i], suffix)))
+    for i in range(0, len(rows), 16):
+        yield _batch(rows[i : i + 16], _ROW_SCHEMA)
+
+
+def _ask_kernel(length: int, total: int, bits: int):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                yield from _asking(number, Slice.from_bytes(data.as_py()), length, total, bits)
+
+    return kernel
 
 
-def _encode_kernel(depth: int, bits: int):
-    """(row_id, doc_id, flags, text) to slices and their words."""
+def _encode_kernel(depth: int):
+    """(row_id, doc_id, flags, text) to slices."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -257,10 +315,13 @@ def _encode_kernel(depth: int, bits: int):
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, size, number
             tokens = np.concatenate([np.array([_END, _BEGIN]), *(h[4] for h in held)])
-            words, index = np.unique(tokens, return_inverse=True)
+            words, _, index = _distinct(tokens)
+            often = np.argsort(-np.bincount(index), kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[often] = np.arange(len(words))
             row_id, doc_id, flags, lead = (np.array([h[i] for h in held], np.int64) for i in range(4))
-            s = Slice(row_id, doc_id, flags, np.array([len(h[4]) for h in held]), lead, words, index[2:])
-            yield from _asking(number, s, 0, 0, bits)
+            s = Slice(row_id, doc_id, flags, np.array([len(h[4]) for h in held]), lead, words[often], np.zeros(0, np.int64), rank[index[2:]])
+            yield _batch([(number, -1, s.to_bytes())], _ROW_SCHEMA)
             number, held, size = number + 1, [], 0
 
         def units(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int, int], bool, bool, str]]:
@@ -274,7 +335,7 @@ def _encode_kernel(depth: int, bits: int):
             for unit in units(batch):
                 group.append(unit)
                 full += len(unit[3])
-                if full >= 2 * PIECE:
+                if full >= 6 * PIECE:
                     yield group
                     group, full = [], 0
             if group:
@@ -321,7 +382,7 @@ def _words_kernel(bits: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_key(batches, 1):
             parts = [_unpack(data) for _, _, data in rows]
-            unique, index = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            unique, _, index = _distinct(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]))
             counts = np.bincount(index, np.concatenate([p[1] for p in parts]).astype(np.float64), len(unique)).astype(np.int64)
             rank = np.empty(len(unique), np.int64)
             rank[np.argsort(-counts, kind="stable")] = np.arange(len(unique))
@@ -337,33 +398,33 @@ def _words_kernel(bits: int):
     return kernel
 
 
-def _test_kernel(total: int, least: int, divergence: float):
+def _test_kernel(length: int, total: int, least: int, divergence: float):
     """Adds up the pairs of a bucket and tests its contexts; slice -1 has the parts of the heavy ones' sums."""
-    bound = heavy_bound(total)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_key(batches, 1):
             parts = [_unpack(data) for _, _, data in rows]
             sizes = np.concatenate([p[1] for p in parts]).astype(np.int64)
-            contexts, owner = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), return_inverse=True)
-            often, often_suffix = np.zeros(len(contexts)), np.zeros(len(contexts))
-            often[owner], often_suffix[owner] = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+            contexts, _, owner = _distinct(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]))
+            often, often_suffix = np.zeros(len(contexts)), np.full(len(contexts), float(total))
+            often[owner] = np.concatenate([p[2] for p in parts])
+            if length > 1:
+                often_suffix[owner] = np.concatenate([p[3] for p in parts])
+            # words are numbered inside the bucket, to sort pairs as one word
+            ids, some, name = _distinct(np.concatenate([p[5] for p in parts]))
+            shift = np.cumsum([0, *(len(p[5]) for p in parts)])
+            word = name[np.concatenate([p[4].astype(np.int64) + a for p, a in zip(parts, shift)])]
             by = np.repeat(owner, sizes)
-            word = np.concatenate([p[4] for p in parts])
-            order = np.lexsort((word, by))
-            fresh = np.ones(len(order), bool)
-            fresh[1:] = (by[order[1:]] != by[order[:-1]]) | (word[order[1:]] != word[order[:-1]])
-            pair = np.empty(len(order), np.int64)
-            pair[order] = np.cumsum(fresh) - 1
-            head = order[fresh]
-            count = np.bincount(pair, np.concatenate([p[5] for p in parts]).astype(np.float64), len(head))
-            suffix = np.concatenate([p[6] for p in parts])[head].astype(np.float64)
+            _, head, pair = _distinct(by * max(1, len(ids)) + word)
+            count = np.bincount(pair, np.concatenate([p[6] for p in parts]).astype(np.float64), len(head))
+            suffix = np.concatenate([p[7] for p in parts])
+            suffix = (suffix[some][word[head]] if length == 1 else suffix[head]).astype(np.float64)
+            heavy = often > 0
+            often = np.where(heavy, often, np.bincount(by[head], count, len(contexts)))
             good = np.nonzero(count >= least)[0]
             s = by[head[good]]
             share = count[good] / often[s]
-            terms = share * np.log(share * often_suffix[s] / suffix[good])
-            gaps = np.bincount(s, terms, len(contexts))
-            heavy = often > bound
+            gaps = np.bincount(s, share * np.log(share * often_suffix[s] / suffix[good]), len(contexts))
             kept = (gaps >= divergence) & ~heavy
             out = [(-1, bucket, int(contexts[i].view(np.int64)), float(gaps[i]), None) for i in np.nonzero(heavy)[0]]
             at = start = 0
@@ -391,7 +452,7 @@ def _take_answers(s: Slice, rows: list[tuple[int, int, bytes]], length: int, tot
     is_heavy = r.often > heavy_bound(total)
     kept[is_heavy] = np.isin(r.context[is_heavy], heavy)
     gram = np.zeros(len(s.tokens), np.int64)
-    before = np.concatenate(([0], s.grams[length - 1][:-1]))  # how often the context of each place occurs
+    before = np.concatenate(([0], s.often(length)[:-1]))  # how often the context of each place occurs
     known = s.sure & (s.place >= length)
     gram[known] = before[known]
     gram[r.at] = counts[r.pair]
@@ -406,11 +467,11 @@ def _take_answers(s: Slice, rows: list[tuple[int, int, bytes]], length: int, tot
 
 def log10_probability(s: Slice, total: int, distinct: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """log10 of the unigram and of the model's probability of each token."""
-    base = (s.grams[0] + 0.1) / (total + 0.1 * (distinct + 1))
+    base = (s.often(1) + 0.1) / (total + 0.1 * (distinct + 1))
     p = base.copy()
     for k, state in enumerate(s.kept, 1):
         at = np.nonzero(state)[0]
-        p[at] = (s.grams[k][at] + alpha * p[at]) / (s.grams[k - 1][at - 1] + alpha)
+        p[at] = (s.often(k + 1, at) + alpha * p[at]) / (s.often(k, at - 1) + alpha)
     return np.log10(base), np.log10(p)
 
 
@@ -418,22 +479,24 @@ _SCORES = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known lo
 
 
 def _answer_kernel(length: int, depth: int, total: int, distinct: int, bits: int, least: int, alpha: float, heavy: np.ndarray):
-    """Slices with the answers of one length to slices with the requests of the next, or to scores after the last."""
+    """Slices with the answers of one length to slices that have taken them in, or to scores after the last length."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in _by_key(batches, 0):
             s = Slice.from_bytes(rows[0][2])
             if length == 0:
-                answers = [_unpack(data) for _, _, data in rows[1:]]
-                s.numbered(*(np.concatenate([a[i] for a in answers]).astype(np.int64) for i in (0, 1)), least)
+                answers, order = [_unpack(data) for _, _, data in rows[1:]], _order(s.words)
+                found = np.empty((2, len(order)), np.int64)
+                found[:, order] = [np.concatenate([a[i] for a in answers]) for i in (0, 1)]
+                s.numbered(*found, least)
             else:
                 _take_answers(s, rows[1:], length, total, bits, least, heavy)
             if length < depth:
-                yield from _asking(number, s, length + 1, total, bits)
+                yield _batch([(number, -1, s.to_bytes())], _ROW_SCHEMA)
                 continue
             base, score = log10_probability(s, total, distinct, alpha)
             piece = np.repeat(np.arange(len(s.size)), s.size)
-            sums = [np.bincount(piece, s.own * x, len(s.size)) for x in (np.ones(len(base)), s.grams[0] > 0, base, score)]
+            sums = [np.bincount(piece, s.own * x, len(s.size)) for x in (np.ones(len(base)), s.often(1) > 0, base, score)]
             doc_id = pa.array(s.doc_id, mask=s.flags & NO_ID == NO_ID)
             columns = [pa.array(s.row_id), doc_id, pa.array(s.flags & HELD_OUT == HELD_OUT), *(pa.array(x.astype(np.int64)) for x in sums[:2]), *(pa.array(x) for x in sums[2:])]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _SCORES.split(", ")])
@@ -464,25 +527,24 @@ def score(docs: DataFrame, depth: int = 5, least: int = 2, divergence: float = 0
 
     flags = F.when(F.col("doc_id").isNull(), NO_ID).when(held_out(), HELD_OUT).otherwise(TRAINS)
     placed = rows.select(F.monotonically_increasing_id().alias("row_id"), F.coalesce("doc_id", F.lit(0).cast("long")), flags, "text")
-    now = materialize(placed.mapInArrow(_encode_kernel(depth, bits), _ROWS), "slices")
+    now = materialize(placed.mapInArrow(_encode_kernel(depth), _ROWS), "slices", BLOBS)
     total = distinct = 0
     heavy = np.zeros(0, np.uint64)
     for length in range(depth + 1):
-        asked = now.where("bucket >= 0").repartition(min(tasks, 1 << bits), "bucket").sortWithinPartitions("bucket")
-        answer = _words_kernel(bits) if length == 0 else _test_kernel(total, least, divergence)
-        answers = materialize(asked.mapInArrow(answer, _ANSWERS), "answers")
+        asked = now.mapInArrow(_ask_kernel(length, total, bits), _ROWS).repartition(min(tasks, 1 << bits), "bucket").sortWithinPartitions("bucket")
+        answer = _words_kernel(bits) if length == 0 else _test_kernel(length, total, least, divergence)
+        answers = materialize(asked.mapInArrow(answer, _ANSWERS), "answers", BLOBS)
         aside = answers.where("slice = -1")
         if length == 0:
             distinct, total = (int(x or 0) for x in aside.agg(F.sum("key"), F.sum("value")).first())
         else:
             over = aside.groupBy("key").agg(F.sum("value").alias("value")).where(F.col("value") >= divergence).select("key").collect()
             heavy = np.array([r.key for r in over], np.int64).view(np.uint64)
-        met = now.where("bucket = -1").select("slice", "bucket", "data").unionByName(answers.where("slice >= 0").select("slice", "bucket", "data"))
+        met = now.unionByName(answers.where("slice >= 0").select("slice", "bucket", "data"))
         met = met.repartition(tasks, "slice").sortWithinPartitions("slice", "bucket")
         kernel = _answer_kernel(length, depth, total, distinct, bits, least, alpha, heavy)
-        after = materialize(met.mapInArrow(kernel, _ROWS if length < depth else _SCORES), "slices")
-        discard(now)
-        discard(answers)
+        after = materialize(met.mapInArrow(kernel, _ROWS if length < depth else _SCORES), "slices", BLOBS)
+        discard(now, answers)
         now = after
     # a long text has several pieces
     sums = now.groupBy("row_id", "doc_id", "held_out").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
