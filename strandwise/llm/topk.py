@@ -6,6 +6,10 @@ keys every vector by its nearest pivot and its distance to it and is range-parti
 run of one pivot, |d(q, p) - d(v, p)| <= d(q, v), so a query starts at its own distance from the pivot, expands an
 annulus on both sides, and stops when the bound exceeds its k-th best.  Scores are exact integers; bounds have a
 margin for rounding.
+
+A query first searches the part of the index that it lies in itself, where its nearest annuli are.  The k-th best score
+found there is the radius with which it goes to those other parts whose distances from their pivots it can reach, all
+queries in one job: parts are dealt to tasks, and a part's queries stream past it.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, scratch_path
+from .common import materialize
 
 #: Products below this are exact in doubles, whatever the order of their sum.
 EXACT = float(1 << 52)
@@ -116,101 +120,150 @@ def search_run(best: _Best, q: np.ndarray, q_id: int, near: float, dist: np.ndar
         step *= 2
 
 
-def _search_kernel(queries: np.ndarray, query_ids: np.ndarray, floors: dict[int, int], pivots: np.ndarray, m: float, k: int):
-    wide = queries.astype(np.float64)
-    reach = (wide**2).sum(1) + m
-    lifted = np.column_stack([wide, np.zeros(len(wide))])
-    gaps = np.sqrt(np.maximum(0.0, (lifted**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * lifted @ pivots.T))
-    # distances come from sums whose error is a few ulps of the largest square
-    slack = 1e-6 * math.sqrt(float(reach.max(initial=1.0)) + m) + 1e-3
-    exact = bool(float(np.sqrt(reach.max(initial=0.0) * max(m, 1.0))) < EXACT)
+_MEETING = "part int, kind int, pivot int, dist double, vec_id long, v array<bigint>, floor long"
+_FOUND = "query_id long, vec_id long, score long"
+
+
+class _Geometry:
+    """Distances and bounds of lifted vectors: ``m`` is the largest squared norm."""
+
+    def __init__(self, pivots: np.ndarray, m: float) -> None:
+        self.pivots, self.m, self.square = pivots, m, (pivots**2).sum(1)
+        # distances come from sums whose error is a few ulps of the largest square
+        self.slack = 1e-6 * math.sqrt(3.0 * m + 1.0) + 1e-3
+        self.exact = 2.0 * m < EXACT
+
+    def gaps(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distance of each query from each pivot, and |q|^2 + M."""
+        wide = queries.astype(np.float64)
+        norms = (wide**2).sum(1)
+        lifted = np.column_stack([wide, np.zeros(len(wide))])
+        return np.sqrt(np.maximum(0.0, norms[:, None] + self.square - 2 * lifted @ self.pivots.T)), norms + self.m
+
+    def radius(self, reach: np.ndarray, floor: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """How far a vector may be that scores ``floor`` at least."""
+        return np.where(known, np.sqrt(np.maximum(0.0, reach - 2.0 * floor)) + self.slack, np.inf)
+
+
+def _meet_kernel(geometry: _Geometry, k: int):
+    """Rows sorted by part and kind: the vectors of a part (kind 0), by pivot and distance, then its queries (kind 1)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [_Best(k) for _ in query_ids]
-        for i, q in enumerate(query_ids.tolist()):
-            if q in floors:  # what another partition found already: worse scores cannot be among the k best
-                best[i].scores, best[i].ids = np.full(k, floors[q], np.int64), np.full(k, np.iinfo(np.int64).max, np.int64)
+        now, held, index = None, [], None
         for batch in batches:
-            if not len(batch):
-                continue
-            pivot, dist = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            ids, whole = batch.column(2).to_numpy(zero_copy_only=False), _matrix(batch.column(3))
-            vectors = whole.astype(np.float64) if exact else whole
-            cuts = [0, *(np.nonzero(np.diff(pivot))[0] + 1).tolist(), len(pivot)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                p = int(pivot[a])
-                for i in range(len(query_ids)):
-                    q = wide[i] if exact else queries[i]
-                    search_run(best[i], q, int(query_ids[i]), gaps[i, p], dist[a:b], ids[a:b], vectors[a:b], slack, float(reach[i]), exact)
-        out = [(q, x, s) for q, b in zip(query_ids.tolist(), best, strict=True) for x, s in zip(b.ids.tolist(), b.scores.tolist(), strict=True) if x != np.iinfo(np.int64).max]
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
+            part, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            cuts = [0, *(np.nonzero((np.diff(part) != 0) | (np.diff(kind) != 0))[0] + 1).tolist(), len(part)] if len(part) else [0]
+            for a, b in zip(cuts, cuts[1:]):
+                rows = batch.slice(a, b - a)
+                if part[a] != now:
+                    now, held, index = part[a], [], None
+                columns = [rows.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)]
+                if kind[a] == 0:
+                    held.append((*columns, _matrix(rows.column(5))))
+                    continue
+                if index is None and held:
+                    index, held = [np.concatenate(x) for x in zip(*held)], []
+                if index is not None:
+                    yield from answer(index, columns[2], _matrix(rows.column(5)), rows.column(6))
+
+    def answer(index: list[np.ndarray], ids: np.ndarray, queries: np.ndarray, floor: pa.Array) -> Iterator[pa.RecordBatch]:
+        pivot, dist, vec_ids, vectors = index
+        known, floors = floor.is_valid().to_numpy(zero_copy_only=False), floor.fill_null(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.nonzero(np.diff(pivot))[0] + 1).tolist(), len(pivot)]
+        gaps, reach = geometry.gaps(queries)
+        radius = geometry.radius(reach, floors.astype(np.float64), known)
+        wide = vectors.astype(np.float64) if geometry.exact else vectors
+        found = []
+        for i, q_id in enumerate(ids.tolist()):
+            best = _Best(k)
+            if known[i]:  # what is found already: worse scores cannot be among the k best
+                best.scores, best.ids = np.full(k, floors[i], np.int64), np.full(k, np.iinfo(np.int64).max, np.int64)
+            q = queries[i].astype(np.float64) if geometry.exact else queries[i]
+            for a, b in zip(cuts, cuts[1:]):
+                near = gaps[i, pivot[a]]
+                if dist[a] - near <= radius[i] and near - dist[b - 1] <= radius[i]:
+                    search_run(best, q, q_id, near, dist[a:b], vec_ids[a:b], wide[a:b], geometry.slack, float(reach[i]), geometry.exact)
+            own = best.ids != np.iinfo(np.int64).max
+            found.append((np.full(own.sum(), q_id), best.ids[own], best.scores[own]))
+        columns = [np.concatenate(x) for x in zip(*found)]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
     return kernel
 
 
-def _floors(queries: np.ndarray, ids: np.ndarray, chosen: np.ndarray, chosen_ids: np.ndarray, k: int) -> dict[int, int]:
-    """The k-th best score of each query among the pivots, where there are k: a floor for its k best of all."""
-    floors = {}
-    for q, i in zip(queries, ids.tolist(), strict=True):
-        scores = np.sort(_dot(chosen[chosen_ids != i], q, False))[::-1]
-        if len(scores) >= k:
-            floors[i] = int(scores[k - 1])
-    return floors
+def _reach_kernel(geometry: _Geometry, parts: np.ndarray, low: np.ndarray, high: np.ndarray, pivot: np.ndarray):
+    """(part, vec_id, v, floor) of queries to a row for each other part that they can reach.  ``parts`` are the parts'
+    runs: each one's pivot, and its least and greatest distance."""
 
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                rows = batch.slice(at, 256)
+                own = rows.column(0).to_numpy(zero_copy_only=False)
+                floor = rows.column(3)
+                gaps, reach = geometry.gaps(_matrix(rows.column(2)))
+                radius = geometry.radius(reach, floor.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64), floor.is_valid().to_numpy(zero_copy_only=False))
+                near = gaps[:, pivot]
+                i, j = np.nonzero((low - near <= radius[:, None]) & (near - high <= radius[:, None]))
+                to = np.unique(np.stack([i, parts[j]]), axis=1)
+                to = to[:, to[1] != own[to[0]]]
+                for a in range(0, to.shape[1], 2048):
+                    take, part = pa.array(to[0, a : a + 2048]), pa.array(to[1, a : a + 2048].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([part, *(rows.column(c).take(take) for c in (1, 2, 3))], ["part", "vec_id", "v", "floor"])
+
+    return kernel
 
-def build(vectors: DataFrame, pivots: int = 64) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray, float]:
-    """The index (pivot, dist, vec_id, v) over all rows, its lifted pivots, their vectors and ids, and M.
 
-    The pivots are a bounded sample: the ``pivots`` rows with the smallest id hashes.  Every row is indexed.  Ranges
-    of (pivot, dist, vec_id) cut a pivot that holds most rows, or one vector that is repeated, into many partitions.
+def _answers(index: DataFrame, queries: DataFrame, geometry: _Geometry, k: int, tasks: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each query in each part that it is sent to (part, vec_id, v, floor)."""
+    zero = [F.lit(None).cast(t).alias(n) for n, t in (("pivot", "int"), ("dist", "double"))]
+    rows = index.select("part", F.lit(0).alias("kind"), "pivot", "dist", "vec_id", "v", F.lit(None).cast("long").alias("floor"))
+    met = rows.unionByName(queries.select("part", F.lit(1).alias("kind"), *zero, "vec_id", "v", "floor"))
+    met = met.repartition(tasks, "part").sortWithinPartitions("part", "kind", "pivot", "dist", "vec_id")
+    return met.mapInArrow(_meet_kernel(geometry, k), _FOUND)
+
+
+def build(vectors: DataFrame, pivots: int = 64, part_bytes: int = 32 << 20) -> tuple[DataFrame, np.ndarray, float, int]:
+    """The index (part, pivot, dist, vec_id, v) over all rows, its lifted pivots, M, and the number of parts.
+
+    The pivots are a bounded sample: the ``pivots`` rows with the smallest id hashes.  Every row is indexed.  Parts are
+    ranges of (pivot, dist, vec_id) of about ``part_bytes``, so a pivot that holds most rows, or one vector that is
+    repeated, is cut into many.
     """
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    m = vectors.agg(F.max(squares)).first()[0] or 0.0
+    count, width, m = vectors.agg(F.count("*"), F.max(F.size("v")), F.max(squares)).first()
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
-    if not chosen:
-        return vectors.select(F.lit(0).alias("pivot"), F.lit(0.0).alias("dist"), "vec_id", "v").limit(0), np.zeros((0, 1)), np.zeros((0, 0), np.int64), np.zeros(0, np.int64), m
-    own, own_ids = np.array([r.v for r in chosen], np.int64), np.array([r.vec_id for r in chosen], np.int64)
-    lifted = _lift(own, m)
+    m, parts = m or 0.0, max(2 * vectors.sparkSession.sparkContext.defaultParallelism, count * 8 * (width or 1) // part_bytes)
+    lifted = _lift(np.array([r.v for r in chosen], np.int64).reshape(len(chosen), -1), m)
     keyed = vectors.mapInArrow(_index_kernel(lifted, m), "pivot int, dist double, vec_id long, v array<bigint>")
-    dealt = keyed.repartitionByRange("pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id")
-    return materialize(dealt, "index"), lifted, own, own_ids, m
+    dealt = keyed.repartitionByRange(parts, "pivot", "dist", "vec_id").withColumn("part", F.spark_partition_id())
+    return materialize(dealt, "index"), lifted, m, parts
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = 64, block: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = 64, part_bytes: int = 32 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector for which ``is_query`` holds, the ``k`` vectors other than
     itself with the largest inner products, all if there are fewer; ties go to the smaller vec_id.
 
     ``vectors`` is what :func:`integer_vectors` returns; shorter vectors are filled up with zeros, and scores beyond a
     long are the nearest long.  Rows that share a vec_id are each a candidate, one of them is the query, and none is a
     candidate for their own id.  An empty table, or no query, gives no rows.
-
-    Queries go to the index in blocks of ``block``, the only thing that is broadcast; each partition returns at
-    most k rows a query.
     """
     spark = vectors.sparkSession
     widths = vectors.agg(F.max(F.size("v")), F.min(F.size("v"))).first()
+    if widths[0] is None:
+        return _best(spark.createDataFrame([], _FOUND), k)
     if widths[0] != widths[1]:
         vectors = vectors.withColumn("v", F.transform(F.array_repeat(F.lit(0), widths[0]), lambda _, i: F.coalesce(F.get("v", i), F.lit(0).cast("long"))))
-    index, lifted, own, own_ids, m = build(vectors, pivots)
-    chosen = materialize(index.where(is_query).select("vec_id", "v").dropDuplicates(["vec_id"]), "queries")
-    total = chosen.count()
-    blocks = max(1, math.ceil(total / block))
-    schema = "query_id long, vec_id long, score long"
-    path, wrote, found = scratch_path(spark, "nearest"), False, spark.createDataFrame([], schema)
-    for b in range(blocks if total else 0):
-        rows = chosen.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        if not rows:
-            continue
-        ids, matrix = np.array([r.vec_id for r in rows], np.int64), np.array([r.v for r in rows], np.int64)
-        kernel = _search_kernel(matrix, ids, _floors(matrix, ids, own, own_ids, k), lifted, m, k)
-        part = _best(index.mapInArrow(kernel, schema), k)
-        if blocks == 1:
-            return part
-        # each block is one job with one append, so neither plans nor retries grow with the number of blocks
-        part.drop("rank").write.mode("append").parquet(path)
-        wrote = True
-    return _best(spark.read.schema(schema).parquet(path) if wrote else found, k)
+    index, lifted, m, parts = build(vectors, pivots, part_bytes)
+    geometry = _Geometry(lifted, m)
+    queries = materialize(index.where(is_query).select("part", "vec_id", "v").dropDuplicates(["vec_id"]), "queries")
+    near = materialize(_answers(index, queries.withColumn("floor", F.lit(None).cast("long")), geometry, k, parts), "near")
+    floors = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    # the parts' bounds: a row for each part and pivot, of which there are as many as parts and pivots together
+    runs = index.groupBy("part", "pivot").agg(F.min("dist").alias("low"), F.max("dist").alias("high")).toPandas()
+    bounds = [runs[c].to_numpy() for c in ("part", "low", "high", "pivot")]
+    sent = queries.join(floors, "vec_id", "left").select("part", "vec_id", "v", "floor").mapInArrow(_reach_kernel(geometry, *bounds), "part int, vec_id long, v array<bigint>, floor long")
+    return _best(near.unionByName(_answers(index, sent, geometry, k, parts)), k)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

@@ -34,10 +34,10 @@ def vectors(n=700, d=12, seed=0):
     return [(i, [float(x) for x in row]) for i, row in enumerate(v)]
 
 
-@pytest.mark.parametrize(("pivots", "block"), [(64, 4096), (3, 5), (1, 1000)])
-def test_against_brute_force(spark, pivots, block):
+@pytest.mark.parametrize(("pivots", "part_bytes"), [(64, 32 << 20), (3, 500), (1, 9000)])
+def test_against_brute_force(spark, pivots, part_bytes):
     rows = vectors()
-    assert run(spark, rows, 50, pivots=pivots, block=block) == brute(rows, 50, 10)
+    assert run(spark, rows, 50, pivots=pivots, part_bytes=part_bytes) == brute(rows, 50, 10)
 
 
 def test_odd_vectors(spark):
