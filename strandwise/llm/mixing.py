@@ -5,6 +5,10 @@ must be placed before slot ceil(i/w); at every slot the released block with the
 weights that add up to 1 this keeps every source within one block of its ideal share at every slot.  Weights are
 multiples of 1/Q, so the schedule repeats after Q slots: it is worked out once for one period, by a fold over the
 slots, and laid over the blocks by a join.
+
+The fold goes by windows of about the square root of the number of sources.  No more blocks than a window has slots are
+placed in it, so only the most urgent of those that wait are looked at slot by slot; the others are sorted once a
+window.
 """
 
 from __future__ import annotations
@@ -13,6 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import join_few, materialize
+
+#: Rows of a schedule that are sent to every task; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 1 << 18
+_INDEX = 1 << 31  # a waiting block is its deadline times this, plus the number of its source
+
 OUTPUT = ["block", "slot", "place", "release", "deadline", "weight"]
 
 
@@ -23,43 +33,54 @@ def temperature_shares(docs: DataFrame, source: Column, exponent: float = 0.5, d
     return mass.select("source", F.greatest(F.lit(1), F.floor(denominator * F.col("mass") / total + 0.5).cast("int")).alias("share"))
 
 
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _place(state: Column, t: Column, jobs: Column) -> Column:
+    """One slot: what is released at t joins those that wait, and the earliest deadline among them is placed."""
+    joined = F.concat(state["near"], F.transform(F.filter(jobs, lambda x: x["release"] == t), lambda x: x["job"]))
+    chosen = lambda near: F.struct(near.alias("near"), F.array_min(near).alias("job"))
+    return _bind(_bind(joined, chosen), lambda x: F.struct(
+        F.array_remove(x["near"], x["job"]).alias("near"), F.concat(state["order"], F.array(x["job"])).alias("order")))
+
+
 def period(shares: DataFrame) -> DataFrame:
     """(source, share, turn, slot, total): the slots of one period; ``turn`` counts a source's blocks from 0.
 
-    One row holds all shares, and the fold makes ``total`` steps over them: the size of this is that of the weights,
-    never that of the data.
+    One row holds all blocks of a period: its size is that of the weights, never that of the data.
     """
-    row = shares.agg(F.array_sort(F.collect_list(F.struct("source", "share"))).alias("s")).where(F.size("s") > 0)
-    row = row.withColumn("total", F.aggregate("s.share", F.lit(0), lambda a, x: a + x))
-
-    def step(state: Column, t: Column) -> Column:
-        total = F.col("total").cast("long")
-        open_ = F.transform(
-            F.arrays_zip(F.col("s.share").alias("share"), state["done"].alias("done")),
-            lambda x, k: F.when(
-                F.floor(x["done"] * total / x["share"]) <= t,
-                F.struct(F.ceil((x["done"] + 1) * total / x["share"]).alias("deadline"), k.alias("k")),
-            ),
-        )
-        first = F.array_min(open_)["k"]
-        # the chosen source is looked up once: an array of one element is mapped over it
-        return F.element_at(
-            F.transform(
-                F.array(first),
-                lambda c: F.struct(
-                    F.transform(state["done"], lambda n, k: n + F.when(k == c, 1).otherwise(0)).alias("done"),
-                    F.concat(state["order"], F.array(c)).alias("order"),
-                ),
-            ),
-            1,
-        )
-
-    start = F.struct(F.transform("s", lambda _: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("order"))
-    folded = row.select("s", "total", F.aggregate(F.sequence(F.lit(0), F.col("total") - 1), start, step)["order"].alias("order"))
-    slots = folded.select("s", "total", F.posexplode("order").alias("slot", "k"))
-    slots = slots.select(F.col("s")[F.col("k")]["source"].alias("source"), F.col("s")[F.col("k")]["share"].alias("share"), "slot", "total")
+    placed = shares.agg(F.array_sort(F.collect_list(F.struct("source", "share"))).alias("s"), F.sum("share").cast("long").alias("total"))
+    known = materialize(placed.select("total", F.posexplode("s").alias("k", "x")).select("total", "k", "x.source", "x.share"), "shares")
+    count = known.count()
+    width = max(8, int(count**0.5))
+    n, w = F.col("total"), F.col("share")
+    jobs = known.select("total", "k", "share", F.explode(F.sequence(F.lit(0).cast("long"), w.cast("long") - 1)).alias("i"))
+    job = F.ceil((F.col("i") + 1) * n / w) * _INDEX + F.col("k")
+    jobs = jobs.select("total", F.floor(F.col("i") * n / w).alias("release"), job.alias("job"))
+    windows = jobs.groupBy("total", F.floor(F.col("release") / width).alias("window")).agg(F.collect_list(F.struct("release", "job")).alias("jobs"))
+    # a window in which nothing is released is one all the same
+    every = known.select("total").distinct().select("total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / width))).alias("window"))
+    windows = every.join(windows, ["total", "window"], "left").withColumn("jobs", F.coalesce("jobs", F.array().cast("array<struct<release:bigint,job:bigint>>")))
+    row = windows.groupBy("total").agg(F.array_sort(F.collect_list(F.struct("window", "jobs"))).alias("w"))
+
+    def run(state: Column, x: Column) -> Column:
+        first = x["window"] * width
+        slots = F.sequence(first, F.least(first + width, n) - 1)
+        start = lambda waiting: F.struct(F.slice(waiting, 1, width).alias("near"), F.array().cast("array<bigint>").alias("order"))
+        done = lambda waiting: _bind(F.aggregate(slots, start(waiting), lambda s, t: _place(s, t, x["jobs"])), lambda s: F.struct(
+            F.concat(s["near"], F.slice(waiting, width + 1, F.greatest(F.lit(1), F.size(waiting)))).alias("waiting"),
+            F.concat(state["order"], F.array(s["order"])).alias("order")))
+        return _bind(F.sort_array(state["waiting"]), done)
+
+    start = F.struct(F.array().cast("array<bigint>").alias("waiting"), F.array().cast("array<array<bigint>>").alias("order"))
+    folded = row.select(F.posexplode(F.aggregate("w", start, run)["order"]).alias("window", "jobs"))
+    slots = folded.select("window", F.posexplode("jobs").alias("at", "job"))
+    slots = slots.select((F.col("window") * width + F.col("at")).alias("slot"), (F.col("job") % _INDEX).cast("int").alias("k"))
+    named = join_few(slots, known, ["k"], F.col("slot"), BROADCAST_ROWS)
     turn = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1
-    return slots.withColumn("turn", turn)
+    return named.select("source", "share", "slot", "total").withColumn("turn", turn)
 
 
 def ranked(rows: DataFrame, salt_digits: int = 3) -> DataFrame:
@@ -99,12 +120,11 @@ def mix(
         given = shares.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("source")).agg(F.max("share").cast("int").alias("share"))
         seen = rows.select(F.col("_source").alias("source")).distinct()
         wanted = given.where("share > 0").join(seen, "source", "full").select("source", F.coalesce("share", F.lit(1)).alias("share"))
-    cycle = period(wanted).withColumnRenamed("source", "_source")
+    cycle = materialize(period(wanted).withColumnRenamed("source", "_source"), "cycle")
     placed = ranked(rows).withColumn("_block", F.floor(F.col("_rank") / block_docs)).withColumn("place", (F.col("_rank") % block_docs).cast("int"))
-    # the period is as large as the weights' denominator, so it is safe to send to every task
     lengths = cycle.select("_source", "share", "total").distinct()
-    placed = placed.join(F.broadcast(lengths), "_source").withColumn("turn", F.col("_block") % F.col("share"))
-    placed = placed.join(F.broadcast(cycle.select("_source", "turn", F.col("slot").alias("_slot"))), ["_source", "turn"])
+    placed = join_few(placed, lengths, ["_source"], F.col("_rank"), BROADCAST_ROWS).withColumn("turn", F.col("_block") % F.col("share"))
+    placed = join_few(placed, cycle.select("_source", "turn", F.col("slot").alias("_slot")), ["_source", "turn"], F.col("_rank"), BROADCAST_ROWS)
     done, total, share = F.col("_block"), F.col("total").cast("long"), F.col("share")
     return placed.select(
         "_row.*",

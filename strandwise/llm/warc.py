@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import join_few, materialize, scratch_path
 
 # Fixed values of the seekable Zstandard format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -35,7 +35,6 @@ READ = "page_id long, url string, record_type string, payload_bytes long, payloa
 
 #: Repeated payloads whose table is sent to every task; beyond that many, rows are shuffled.
 BROADCAST_ROWS = 200_000
-SALTS = 16
 
 
 class Damaged(ValueError):
@@ -247,15 +246,6 @@ def read_bundles(manifest: DataFrame, folder: str, with_payload: bool = True) ->
     return frames.mapInArrow(_read_kernel(folder, with_payload), READ)
 
 
-def _join_few(rows: DataFrame, few: DataFrame, key: str, spread: str, bound: int) -> DataFrame:
-    """``rows`` left-joined with ``few``, which has one row a key: broadcast if it has at most ``bound`` rows, else
-    dealt in salted shares, so a key that a third of all rows have is not one task."""
-    if few.count() <= bound:
-        return rows.join(F.broadcast(few), key, "left")
-    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
-
-
 def with_revisits(pages: DataFrame, payload: Column, min_bytes: int = 0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """RECORDS rows of ``pages`` (page_id, url): among equal payloads of at least ``min_bytes`` the rows with the
     smallest page_id are responses and the others revisit it, without their payload; smaller payloads are all responses.
@@ -270,7 +260,7 @@ def with_revisits(pages: DataFrame, payload: Column, min_bytes: int = 0, broadca
     first = known.groupBy("sha1").agg(F.min(F.struct("page_id", "url")).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     first = materialize(first.select("sha1", F.col("_first.page_id").alias("first_id"), F.col("_first.url").alias("first_url")), "repeated")
     again = F.coalesce((F.col("page_id") > F.col("first_id")) & (F.length("payload") >= min_bytes), F.lit(False))
-    return _join_few(rows, first, "sha1", "page_id", broadcast_rows).select(
+    return join_few(rows, first, ["sha1"], F.col("page_id"), broadcast_rows).select(
         "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "sha1",
         F.when(again, F.col("first_id")).alias("refers_to"),
         F.when(again, F.col("first_url")).alias("refers_to_url"),
@@ -284,7 +274,7 @@ def with_referred(read: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Data
     asked = read.where("record_type = 'revisit'").select("payload_digest").distinct()
     sizes = read.where("record_type = 'response'").select("payload_digest", "page_id", "payload_bytes").join(asked, "payload_digest", "left_semi")
     sizes = sizes.groupBy("payload_digest").agg(F.min("page_id").alias("_page"), F.max("payload_bytes").alias("_bytes"))
-    met = _join_few(read, materialize(sizes, "sizes"), "payload_digest", "page_id", broadcast_rows)
+    met = join_few(read, materialize(sizes, "sizes"), ["payload_digest"], F.col("page_id"), broadcast_rows)
     fits = F.coalesce(F.col("_page") == F.col("refers_to"), F.lit(False))
     missing = F.raise_error(F.concat(F.lit("revisit without its response: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("long")
     size = F.when(F.col("record_type") == "response", F.col("payload_bytes")).when(fits, F.col("_bytes")).otherwise(missing)

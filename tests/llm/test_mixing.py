@@ -12,7 +12,7 @@ def frame(spark, sizes):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-@pytest.mark.parametrize("shares", [{"a": 9, "b": 1}, {"a": 1, "b": 1, "c": 1}, {"a": 50, "b": 31, "c": 17, "d": 2}, {"a": 1}])
+@pytest.mark.parametrize("shares", [{"a": 9, "b": 1}, {"a": 1, "b": 1, "c": 1}, {"a": 50, "b": 31, "c": 17, "d": 2}, {"a": 1}, {f"s{k}": 1 + k * k % 11 for k in range(70)}])
 def test_less_than_one_block_deviation(spark, shares):
     total = sum(shares.values())
     cycle = mixing.period(spark.createDataFrame(list(shares.items()), "source string, share int")).collect()
@@ -26,6 +26,37 @@ def test_less_than_one_block_deviation(spark, shares):
     assert done == shares
 
 
+def earliest_deadline_first(shares):
+    total, done, order = sum(shares), [0] * len(shares), []
+    for t in range(total):
+        waiting = [(-(-(n + 1) * total // s), k) for k, (n, s) in enumerate(zip(done, shares)) if n * total // s <= t]
+        order.append(min(waiting)[1])
+        done[order[-1]] += 1
+    return order
+
+
+@pytest.mark.parametrize("shares", [[5, 1, 1, 7, 2], [1] * 30, [1 + k * k % 13 for k in range(150)], [200] + [1] * 90])
+def test_order_is_that_of_the_earliest_deadlines(spark, shares):
+    names = [f"{k:04d}" for k in range(len(shares))]
+    cycle = mixing.period(spark.createDataFrame(list(zip(names, shares)), "source string, share int")).collect()
+    assert [int(r.source) for r in sorted(cycle, key=lambda r: r.slot)] == earliest_deadline_first(shares)
+
+
+def test_very_many_sources(spark):
+    """A row or two for each of 20,000 sources, and one that holds a third of all rows."""
+    rows = spark.range(40_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'host' || id % 20000 END AS source")
+    got = mixing.mix(rows)
+    assert got.count() == 40_000 and got.where("slot < release or slot >= deadline").count() == 0
+    assert got.select("slot", "place").distinct().count() == 40_000
+
+
+def test_schedules_beyond_the_broadcast_bound_are_joined_by_a_shuffle(spark, monkeypatch):
+    sizes = {"a": 301, "b": 40, "c": 7, None: 5}
+    want = sorted(map(tuple, mixing.mix(frame(spark, sizes), block_docs=4, denominator=50).collect()), key=str)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 1)
+    assert sorted(map(tuple, mixing.mix(frame(spark, sizes), block_docs=4, denominator=50).collect()), key=str) == want
+
+
 def test_every_row_is_placed_in_its_window(spark):
     sizes = {"a": 301, "b": 40, "c": 7, None: 5}
     got = mixing.mix(frame(spark, sizes), block_docs=4, denominator=50).collect()
