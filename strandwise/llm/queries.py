@@ -71,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _LICENSE_TEMPLATES = ", ".join(
-    f"({i}, '{k}', '{s}', [{', '.join(repr(x) for x in licenses.template_bigrams(t))}])" for i, k, s, t in licenses.template_rows()
+    f"({i}, '{k}', '{s}', {len(licenses.template_words(t))}, [{', '.join(repr(x) for x in licenses.template_bigrams(t))}])" for i, k, s, t in licenses.template_rows()
 )
 
 ORACLE_SQL: dict[str, str] = {
@@ -130,7 +130,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM blocks d JOIN cycle c ON coalesce(d.source, '') = c.source AND c.turn = b % c.share
     """,
     "op10_license_scan": f"""
-        WITH known(template, license, scope, grams) AS (VALUES {_LICENSE_TEMPLATES}),
+        WITH known(template, license, scope, n, grams) AS (VALUES {_LICENSE_TEMPLATES}),
         units AS (
             SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, 'line' AS scope, lines[i] AS unit
             FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS u(i)
@@ -145,8 +145,27 @@ ORACLE_SQL: dict[str, str] = {
                           2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
                    FROM grams g JOIN known k ON g.scope = k.scope
                        AND len(g) BETWEEN len(grams) * 0.8 / 1.2 AND len(grams) * 1.2 / 0.8)
+        texts AS (SELECT doc_id, list_transform(range(2, len(w) + 1), lambda i: w[i - 1] || ' ' || w[i]) AS g, len(w) AS words
+                  FROM words WHERE scope = 'text'),
+        starts AS (
+            SELECT doc_id, template, license, n, grams, g, unnest(list_distinct(list_append(range(0, words - n + 1, greatest(1, n // 8)), words - n))) AS start
+            FROM texts JOIN known ON scope = 'text' AND words > n
+        ),
+        tried AS (
+            SELECT doc_id, template, license, n, start, len(list_distinct(g[start + 1 : start + n - 1])) AS own, len(grams) AS size,
+                   len(list_intersect(list_distinct(g[start + 1 : start + n - 1]), grams)) AS shared
+            FROM starts
+        ),
+        inside AS (
+            SELECT doc_id, template, license, n, start, 2.0 * shared / (own + size) AS dice FROM tried WHERE 2.0 * shared / (own + size) >= 0.8
+            QUALIFY row_number() OVER (PARTITION BY doc_id, template ORDER BY dice DESC, start) = 1
+        )
         SELECT doc_id, line_no, scope, license, round(CAST(dice AS DOUBLE), 6) AS dice FROM scored WHERE dice >= 0.8
         QUALIFY row_number() OVER (PARTITION BY doc_id, line_no, scope ORDER BY dice DESC, template) = 1
+        UNION ALL
+        SELECT doc_id, CAST(start AS INTEGER), 'window', license, round(CAST(dice AS DOUBLE), 6) FROM inside a
+        WHERE NOT EXISTS (SELECT 1 FROM inside b WHERE a.doc_id = b.doc_id AND (b.dice > a.dice OR b.dice = a.dice AND b.template < a.template)
+                          AND b.start < a.start + a.n AND a.start < b.start + b.n)
     """,
     "op7_warc_bundles": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex,
