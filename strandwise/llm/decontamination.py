@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, materialize
 
 WINDOW = 13
 MATCHES = 11
@@ -56,23 +56,29 @@ def overlaps(docs: DataFrame, items: DataFrame, piece: int = 4096, broadcast_row
     count as one; empty tables give no rows.  Texts are cut into pieces of ``piece`` seed starts with a margin, so a
     very long one is never one array of seeds.
 
-    Test seeds are broadcast up to ``broadcast_rows``; a larger test set is joined by a shuffle on the seed.
+    Test seeds are broadcast up to ``broadcast_rows``; seeds of a larger test set are joined by a shuffle on their hash,
+    without their texts, and only pieces with a hit are fetched and compared.
     """
     tests = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), plain_words(F.col("text").cast("string")).alias("item"))
+    tests = tests.where(F.size("item") > min(m[-1] for m in MASKS))  # the others have no seed
     starts = tests.select("item_id", F.posexplode(_seeds(F.col("item"), F.size("item"))).alias("item_at", "seed"))
     known = starts.select("item_id", "item_at", F.explode(_hashes("seed")).alias("hash")).where("hash is not null").distinct()
     small = known.count() <= broadcast_rows
-    hint = F.broadcast if small else (lambda df: df)
 
-    words = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), plain_words(F.col("text").cast("string")).alias("words"))
-    cut = words.select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words"), F.lit(piece))).alias("from"))
+    text = F.col("text").cast("string")
+    words = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), plain_words(text).alias("words"))
+    cut = words.select("doc_id", "key", "words", F.explode(F.sequence(F.lit(0), F.size("words"), F.lit(piece))).alias("from"))
     # a piece starts with the margin before its first seed start
     first = F.greatest(F.lit(0), F.col("from") - _BEFORE)
-    cut = cut.select("doc_id", "from", first.alias("first"), F.slice("words", first + 1, F.col("from") - first + piece + WINDOW).alias("piece"))
-    seeds = cut.select("doc_id", "from", "first", "piece", F.posexplode(_seeds(F.col("piece"), F.lit(piece + WINDOW + _BEFORE))).alias("at", "seed"))
+    cut = cut.select("doc_id", "key", "from", first.alias("first"), F.slice("words", first + 1, F.col("from") - first + piece + WINDOW).alias("piece"))
+    seeds = cut.select("doc_id", "key", "from", "first", "piece", F.posexplode(_seeds(F.col("piece"), F.lit(piece + WINDOW + _BEFORE))).alias("at", "seed"))
     inside = (F.col("first") + F.col("at") >= F.col("from")) & (F.col("first") + F.col("at") < F.col("from") + piece)
-    seeds = seeds.where(inside).select("doc_id", "first", "piece", "at", F.explode(_hashes("seed")).alias("hash"))
-    hits = seeds.join(hint(known), "hash").join(hint(tests), "item_id")
+    seeds = seeds.where(inside).select("doc_id", "key", "from", "first", "piece", "at", F.explode(_hashes("seed")).alias("hash"))
+    if small:
+        hits = seeds.join(F.broadcast(known), "hash").join(F.broadcast(tests), "item_id")
+    else:
+        met = seeds.select("doc_id", "key", "from", "at", "hash").join(known, "hash").drop("hash").distinct()
+        hits = met.join(tests, "item_id").join(cut.distinct(), ["doc_id", "key", "from"])
     checked = hits.select(
         "doc_id", "item_id", (F.col("first") + F.col("at")).alias("word"), _equal_words(F.col("piece"), F.col("at"), F.col("item"), F.col("item_at")).alias("matched")
     )
@@ -80,7 +86,10 @@ def overlaps(docs: DataFrame, items: DataFrame, piece: int = 4096, broadcast_row
     return found.agg(F.max("matched").alias("matched"), F.min("word").alias("first_word"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that overlap with no test item, all columns kept.  Rows without a doc_id stay."""
-    leaks = overlaps(docs, items).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"].cast("long") == F.col("_leak"), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, broadcast_rows: int = 1 << 20) -> DataFrame:
+    """The rows of ``docs`` that overlap with no test item, all columns kept.  Rows without a doc_id stay.
+
+    The ids that go are broadcast up to ``broadcast_rows``, so texts are shuffled beyond that only."""
+    leaks = materialize(overlaps(docs, items).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    hint = F.broadcast if leaks.count() <= broadcast_rows else (lambda df: df)
+    return docs.join(hint(leaks), docs["doc_id"].cast("long") == F.col("_leak"), "left_anti")
