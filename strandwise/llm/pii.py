@@ -127,11 +127,12 @@ def _shape(match: Column) -> Column:
     )
 
 
-def base_mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, email, ip, card, phone, other) per row: arrays of mentions; ``other`` holds candidates that touch
-    no base span.  ``key`` stands for the id and the text."""
+def base_mentions(docs: DataFrame, with_row: bool = False) -> DataFrame:
+    """(doc_id, key, email, ip, card, phone, all) per row, written: arrays of mentions; ``all`` holds candidates of any
+    form.  ``key`` stands for the id and the text.  ``with_row`` adds the row of docs as ``row``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    row = [F.struct(*docs.columns).alias("row")] if with_row else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *row)
     none = F.array().cast(_MENTION)
     found = rows.select(
         "doc_id",
@@ -141,9 +142,14 @@ def base_mentions(docs: DataFrame) -> DataFrame:
             for k in KINDS
         ),
         F.when(F.col("text").rlike("[0-9]{2}|@"), mentions(F.col("text"), CANDIDATE)).otherwise(none).alias("all"),
+        *(["row"] if with_row else []),
     )
     # written before the arrays are used again, or Catalyst would copy their expressions into each use
-    found = materialize(found, "mentions")
+    return materialize(found, "mentions")
+
+
+def with_other(found: DataFrame) -> DataFrame:
+    """(doc_id, key, email, ip, card, phone, other): ``other`` are the candidates that touch no base span."""
     taken = F.concat(*(F.col(k) for k in KINDS))
     free = F.filter("all", lambda c: ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     return found.select("doc_id", "key", *KINDS, free.alias("other"))
@@ -197,6 +203,22 @@ def discover(
     return all_.where("seed = 0").join(taken, ["kind", "instance"]).select("doc_id", "key", "kind", "start", "end")
 
 
+_SPANS = "array<struct<rank:int,kind:string,start:bigint,end:bigint>>"
+
+
+def _with_spans(found: DataFrame, docs: DataFrame, broadcast_spans: int = 1 << 19, **options) -> DataFrame:
+    """``found`` with ``base`` and ``spans``.  Discovered spans are broadcast if there are ``broadcast_spans`` at most, so
+    only beyond that are rows shuffled."""
+    more = discover(docs, materialize(with_other(found), "base"), **options)
+    rank = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")).cast("int")
+    more = more.groupBy("key").agg(F.collect_set(F.struct(rank.alias("rank"), "kind", F.col("start"), F.col("end"))).alias("more"))
+    more = materialize(more, "more")
+    few = (more.agg(F.sum(F.size("more"))).first()[0] or 0) <= broadcast_spans
+    base = F.concat(*(F.transform(k, _as_span(i + 1, k)) for i, k in enumerate(KINDS)))
+    joined = found.withColumn("base", base).join(F.broadcast(more) if few else more, "key", "left")
+    return joined.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPANS)))))
+
+
 def find(docs: DataFrame, rounds: int = 3, support: int = 3, pattern_trust: float = 0.5, trust: float = 0.8) -> DataFrame:
     """(doc_id, key, base, spans) per row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -205,13 +227,8 @@ def find(docs: DataFrame, rounds: int = 3, support: int = 3, pattern_trust: floa
     none; rows with a null or repeated doc_id are kept and hold the spans of their own text; an empty table gives no
     rows.
     """
-    found = materialize(base_mentions(docs), "base")
-    more = discover(docs, found, rounds, support, pattern_trust, trust)
-    rank = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")).cast("int")
-    more = more.groupBy("key").agg(F.collect_set(F.struct(rank.alias("rank"), "kind", F.col("start"), F.col("end"))).alias("more"))
-    base = F.concat(*(F.transform(k, _as_span(i + 1, k)) for i, k in enumerate(KINDS)))
-    joined = found.select("doc_id", "key", base.alias("base")).join(more, "key", "left")
-    return joined.select("doc_id", "key", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<rank:int,kind:string,start:bigint,end:bigint>>")))).alias("spans"))
+    options = {"rounds": rounds, "support": support, "pattern_trust": pattern_trust, "trust": trust}
+    return _with_spans(base_mentions(docs), docs, **options).select("doc_id", "key", "base", "spans")
 
 
 def as_text(spans: Column) -> Column:
@@ -222,11 +239,12 @@ def as_text(spans: Column) -> Column:
 def redact(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in angle brackets; all columns are kept.  Spans that
     overlap are replaced once, by the kind of the one that starts first."""
-    spans = find(docs, **options).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("_spans"))
-    by_start = F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("order"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    found = _with_spans(base_mentions(docs, with_row=True), docs, **options)
+    by_start = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("order"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    text = F.col("row.text").cast("string")
 
     def step(state: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), (state["at"] + 1).cast("int"), (x["start"] - state["at"]).cast("int"))
+        gap = F.substring(text, (state["at"] + 1).cast("int"), (x["start"] - state["at"]).cast("int"))
         apart = x["start"] >= state["at"]
         return F.struct(
             F.greatest(state["at"], x["end"]).alias("at"),
@@ -234,9 +252,6 @@ def redact(docs: DataFrame, **options) -> DataFrame:
         )
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
-    masked = F.aggregate(by_start, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.char_length("text"))))
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.withColumn("_key", key).join(spans.withColumnRenamed("key", "_key"), "_key", "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNotNull(), masked).otherwise(F.col("text"))).select(*docs.columns)
-
-
+    masked = F.aggregate(by_start, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.char_length(text))))
+    columns = [F.when(F.size("spans") > 0, masked).otherwise(F.col("row.text")).alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return found.select(*columns)
