@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .common import materialize, word_chunks
 
@@ -158,7 +159,7 @@ def held_out(fold: int = 2, folds: int = 4) -> Column:
 
 def _train(rows: DataFrame, labels: DataFrame, label: str) -> Discriminant | float:
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).where("label is not null")
-    return fit(rows.where(~held_out()).join(marks, "doc_id"), "label")
+    return fit(rows.withColumn("doc_id", F.col("doc_id").cast("long")).where(~held_out()).join(marks, "doc_id"), "label")
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7) -> DataFrame:
@@ -175,26 +176,38 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def _keep_kernel(model: Discriminant | float, text: int, threshold: float):
+def _with_features_kernel(text: int, name: str):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if isinstance(model, Discriminant):
-                x = np.array([statistics((t.as_py() or "").encode()) for t in batch.column(text)], np.float64).reshape(-1, len(FEATURES))
-                score = 1 / (1 + np.exp(-np.clip(model.log_odds(x), -700, 700)))
-            else:
-                score = np.full(len(batch), model)
-            yield batch.filter(pa.array(score >= threshold))
+            rows = [statistics((t.as_py() or "").encode()) for t in batch.column(text)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float64()))], [*batch.schema.names, name])
 
     return kernel
 
 
+def _log_odds(model: Discriminant, x: str) -> Column:
+    """What :meth:`Discriminant.log_odds` gives, of an array column."""
+    far = []
+    for mean, whiten in zip(model.means, model.whiten, strict=True):
+        apart = [F.get(x, i) - float(m) for i, m in enumerate(mean)]
+        rows = [sum((apart[j] * float(w) for j, w in enumerate(row) if w), F.lit(0.0)) for row in whiten]
+        far.append(sum((r * r for r in rows), F.lit(0.0)))
+    return F.lit(float(model.bias)) + 0.5 * (far[0] - far[1])
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``, all columns kept; see :func:`classify`.  Without labels
     of both classes nothing is known against any row, and all are kept.
 
-    Rows are scored where they are read, so no text is shuffled and repeated or null ids need no care.
+    Statistics are taken once, and written beside the rows; rows are scored where they are read, so no text is shuffled
+    and repeated or null ids need no care.
     """
-    model = _train(materialize(features(docs), "features"), labels, label)
+    name = "_features"
+    while name in docs.columns:
+        name += "_"
+    kernel = _with_features_kernel(docs.columns.index("text"), name)
+    rows = materialize(docs.mapInArrow(kernel, StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))])), "features")
+    model = _train(rows.select("doc_id", *(F.get(name, i).alias(f) for i, f in enumerate(FEATURES))), labels, label)
     if not isinstance(model, Discriminant):
         return docs
-    return docs.mapInArrow(_keep_kernel(model, docs.columns.index("text"), threshold), docs.schema)
+    return rows.where(_log_odds(model, name) >= math.log(threshold / (1 - threshold))).select(*docs.columns)

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, word_chunks
+from .common import keep_first, materialize, row_key, word_chunks
 from .components import components
 
 SEGMENTS_A_HALF = 16
@@ -64,11 +64,6 @@ def _fingerprint_kernel(width: int, seed: int):
     return kernel
 
 
-def row_key() -> Column:
-    """A hash of a row's id and text: what tells rows apart whose id is null or repeated."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-
-
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, key, fp) per document; fp is the fingerprint as a signed long, key the row's key."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("key"))
@@ -260,7 +255,4 @@ def keep_one(docs: DataFrame, width: int = 4, seed: int = 42, distance: int = 4)
     """One row of ``docs`` for each component of near-duplicates, all columns kept: the row with the smallest doc_id
     (null ids last), and of rows that repeat both id and text any one."""
     prints, rooted = _rooted(docs, width, seed, distance)
-    order = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("key"))
-    first = prints.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("first"))
-    kept = first.select(F.col("first.key").alias("_key")).distinct()
-    return docs.withColumn("_key", row_key()).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    return keep_first(docs, prints.join(rooted.select("fp", "root"), "fp").select("doc_id", "key", "root"))
