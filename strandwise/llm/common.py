@@ -112,6 +112,13 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def keep_first(docs: DataFrame, members: DataFrame, bound: int = 1 << 20) -> DataFrame:
     """One row of ``docs`` for each root of ``members`` (doc_id, key, root; one row a row of docs): that with the
     smallest doc_id (null ids last), and of rows that repeat both id and text any one.
@@ -124,13 +131,15 @@ def keep_first(docs: DataFrame, members: DataFrame, bound: int = 1 << 20) -> Dat
     placed = join_few(members, groups, ["root"], F.col("key"), bound).where(F.col("kept").isNotNull())
     # a kept key that occurs again is that of a repeated row
     marks = placed.groupBy("key", "kept").agg(F.count("*").alias("n")).select("key", (F.col("key") != F.col("kept")).alias("_goes"), "n")
-    marks = materialize(marks.where(F.col("_goes") | (F.col("n") > 1)).select(F.col("key").alias("_key"), "_goes"), "marks")
+    key_name, goes_name = free_name(docs, "_key"), free_name(docs, "_goes")
+    goes = F.col(goes_name)
+    marks = materialize(marks.where(F.col("_goes") | (F.col("n") > 1)).select(F.col("key").alias(key_name), F.col("_goes").alias(goes_name)), "marks")
     hint = F.broadcast if marks.count() <= bound else (lambda df: df)
-    met = docs.withColumn("_key", row_key()).join(hint(marks), "_key", "left")
-    once = met.where(F.col("_goes").isNull()).select(*docs.columns)
-    if marks.where(~F.col("_goes")).isEmpty():
+    met = docs.withColumn(key_name, row_key()).join(hint(marks), key_name, "left")
+    once = met.where(goes.isNull()).select(*docs.columns)
+    if marks.where(~goes).isEmpty():
         return once
-    return once.unionByName(met.where(~F.col("_goes")).dropDuplicates(["_key"]).select(*docs.columns))
+    return once.unionByName(met.where(~goes).dropDuplicates([key_name]).select(*docs.columns))
 
 
 def lower_ascii(text: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, free_name, materialize
 
 WINDOW = 13
 MATCHES = 11
@@ -90,6 +90,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, broadcast_rows: int = 1 <<
     """The rows of ``docs`` that overlap with no test item, all columns kept.  Rows without a doc_id stay.
 
     The ids that go are broadcast up to ``broadcast_rows``, so texts are shuffled beyond that only."""
-    leaks = materialize(overlaps(docs, items).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    leak = free_name(docs, "_leak")
+    leaks = materialize(overlaps(docs, items).select(F.col("doc_id").alias(leak)).distinct(), "leaks")
     hint = F.broadcast if leaks.count() <= broadcast_rows else (lambda df: df)
-    return docs.join(hint(leaks), docs["doc_id"].cast("long") == F.col("_leak"), "left_anti")
+    return docs.join(hint(leaks), F.col("doc_id").cast("long") == F.col(leak), "left_anti")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import materialize, word_chunks
+from .common import free_name, materialize, word_chunks
 
 FEATURES = [
     "words", "word_length", "upper", "digits", "symbols", "bars", "distinct", "top_word",
@@ -185,14 +185,16 @@ def _with_features_kernel(text: int, name: str):
     return kernel
 
 
-def _log_odds(model: Discriminant, x: str) -> Column:
-    """What :meth:`Discriminant.log_odds` gives, of an array column."""
-    far = []
-    for mean, whiten in zip(model.means, model.whiten, strict=True):
-        apart = [F.get(x, i) - float(m) for i, m in enumerate(mean)]
-        rows = [sum((apart[j] * float(w) for j, w in enumerate(row) if w), F.lit(0.0)) for row in whiten]
-        far.append(sum((r * r for r in rows), F.lit(0.0)))
-    return F.lit(float(model.bias)) + 0.5 * (far[0] - far[1])
+def _keep_kernel(model: Discriminant, features: int, least: float):
+    """Rows whose log odds reach ``least``, without their statistics."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(features).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+            rows = pa.RecordBatch.from_arrays(batch.columns[:features], batch.schema.names[:features])
+            yield rows.filter(pa.array(model.log_odds(x) >= least))
+
+    return kernel
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7) -> DataFrame:
@@ -202,12 +204,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", thresh
     Statistics are taken once, and written beside the rows; rows are scored where they are read, so no text is shuffled
     and repeated or null ids need no care.
     """
-    name = "_features"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "_features")
     kernel = _with_features_kernel(docs.columns.index("text"), name)
     rows = materialize(docs.mapInArrow(kernel, StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))])), "features")
     model = _train(rows.select("doc_id", *(F.get(name, i).alias(f) for i, f in enumerate(FEATURES))), labels, label)
     if not isinstance(model, Discriminant):
         return docs
-    return rows.where(_log_odds(model, name) >= math.log(threshold / (1 - threshold))).select(*docs.columns)
+    return rows.mapInArrow(_keep_kernel(model, len(docs.columns), math.log(threshold / (1 - threshold))), docs.schema)

@@ -522,8 +522,9 @@ def score(docs: DataFrame, depth: int = 5, least: int = 2, divergence: float = 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(3, (size // 6 // BUCKET).bit_length())
-    # a task has some 256 MB of text, or a share of a small input
-    tasks = max(3 * spark.sparkContext.defaultParallelism, size >> 28)
+    # a task has some 256 MB of text, or a share of a small input, and a slice at least
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(min(3 * cores, max(cores, size // (3 * SLICE))), size >> 28)
 
     flags = F.when(F.col("doc_id").isNull(), NO_ID).when(held_out(), HELD_OUT).otherwise(TRAINS)
     placed = rows.select(F.monotonically_increasing_id().alias("row_id"), F.coalesce("doc_id", F.lit(0).cast("long")), flags, "text")
