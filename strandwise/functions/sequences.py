@@ -123,6 +123,18 @@ def score_bucket(score: Column) -> Column:
     return F.when(score < 40, "<40").when(score < 50, "40-50").when(score < 80, "50-80").when(score < 200, "80-200").otherwise(">=200")
 
 
+def run_stamp(time: Column) -> Column:
+    """The name of a run by its start: YYYYmmdd_HHMMSS."""
+    return F.date_format(time, "yyyyMMdd_HHmmss")
+
+
+def duration_text(seconds: Column) -> Column:
+    """Whole seconds as H:MM:SS."""
+    s = seconds.cast("long")
+    two = lambda c: F.lpad(c.cast("long").cast("string"), 2, "0")
+    return F.concat_ws(":", F.floor(s / 3600).cast("string"), two(F.floor(s / 60) % 60), two(s % 60))
+
+
 def oriented(start: Column, end: Column) -> tuple[Column, Column, Column]:
     """Start, end and direction of a feature whose ends may be swapped."""
     return F.least(start, end), F.greatest(start, end), F.when(start > end, "-").otherwise("+")
@@ -189,41 +201,56 @@ def wrapped(text: Column, width: int = 70) -> Column:
 
 
 def align_local(a: str, b: str, match: float = 2.0, mismatch: float = -1.0, gap_open: float = -1.0, gap_extend: float = -0.5) -> tuple[float, float, float, float]:
-    """Score, identity and both coverages (percent, two decimals) of the best local alignment with affine gaps."""
+    """Score, identity and both coverages (percent, two decimals) of the best local alignment with affine gaps; of equal
+    ones the first that ends, letters of ``a`` before those of ``b``; a pair of letters goes before a gap in ``b``, and
+    that before one in ``a``.
+
+    Row by row, in memory linear in ``b``: each cell carries where its alignment begins, its columns and its equal
+    letters, so there is no way back to walk.  A gap along the row is a running maximum, as extending one is never
+    worse than closing and opening another.
+    """
     if not a or not b:
         return 0.0, 0.0, 0.0, 0.0
-    x, y = np.frombuffer(a.encode("latin-1", "replace"), np.uint8), np.frombuffer(b.encode("latin-1", "replace"), np.uint8)
+    x, y = (np.frombuffer(s.encode("latin-1", "replace"), np.uint8) for s in (a, b))
     n, m = len(x), len(y)
-    h, e, f = np.zeros((n + 1, m + 1)), np.full((n + 1, m + 1), -np.inf), np.full((n + 1, m + 1), -np.inf)
-    back = np.zeros((n + 1, m + 1), np.int8)
+    places = np.arange(m + 1)
+    h, e = np.zeros(m + 1), np.full(m + 1, -np.inf)
+    zero = np.zeros(m + 1, np.int64)
+    hs, es = (np.stack([zero, places, zero, zero]) for _ in range(2))  # first row, first column, equal letters, columns
+    best, found = 0.0, None
     for i in range(1, n + 1):
-        e[i] = np.maximum(h[i - 1] + gap_open, e[i - 1] + gap_extend)
-        diagonal = h[i - 1, :-1] + np.where(y == x[i - 1], match, mismatch)
-        for j in range(1, m + 1):
-            f[i, j] = max(h[i, j - 1] + gap_open, f[i, j - 1] + gap_extend)
-            best = max(0.0, diagonal[j - 1], e[i, j], f[i, j])
-            h[i, j] = best
-            back[i, j] = 0 if best == 0.0 else 1 if best == diagonal[j - 1] else 2 if best == e[i, j] else 3
-    i, j = map(int, np.unravel_index(h.argmax(), h.shape))
-    score, same, columns, ei, ej = float(h[i, j]), 0, 0, i, j
-    state = int(back[i, j])
-    while state:
-        columns += 1
-        if state == 1:
-            same += int(x[i - 1] == y[j - 1])
-            i, j = i - 1, j - 1
-            state = int(back[i, j])
-        elif state == 2:
-            opened = h[i - 1, j] + gap_open >= e[i - 1, j] + gap_extend
-            i -= 1
-            state = int(back[i, j]) if opened else 2
-        else:
-            opened = h[i, j - 1] + gap_open >= f[i, j - 1] + gap_extend
-            j -= 1
-            state = int(back[i, j]) if opened else 3
-    if not columns:
+        opens = h + gap_open >= e + gap_extend
+        e = np.where(opens, h + gap_open, e + gap_extend)
+        es = np.where(opens, hs, es)
+        es[3] += 1
+        e[0] = -np.inf
+        same = y == x[i - 1]
+        pair = np.concatenate(([-np.inf], h[:-1] + np.where(same, match, mismatch)))
+        ps = np.concatenate((hs[:, :1], hs[:, :-1]), axis=1)
+        ps[2, 1:] += same
+        ps[3] += 1
+        body = np.maximum(np.maximum(pair, e), 0.0)
+        body[0] = 0.0
+        bs = np.where(pair >= e, ps, es)
+        # a gap in a from cell k costs gap_open and gap_extend for each further column
+        lead = body + gap_open - gap_extend * (places + 1)
+        reach = np.maximum.accumulate(lead)
+        source = np.maximum.accumulate(np.where(lead >= reach, places, 0))
+        f = np.concatenate(([-np.inf], reach[:-1] + gap_extend * places[1:]))
+        source = np.concatenate(([0], source[:-1]))
+        gapped = f > body
+        h = np.where(gapped, f, body)
+        hs = np.where(gapped, bs[:, source], bs)
+        hs[3] += np.where(gapped, places - source, 0)
+        empty = h <= 0
+        hs[:, empty] = np.stack([np.full(m + 1, i), places, zero, zero])[:, empty]
+        at = int(h.argmax())
+        if h[at] > best:
+            best, found = float(h[at]), (i, at, *hs[:, at].tolist())
+    if found is None:
         return 0.0, 0.0, 0.0, 0.0
-    return score, round(same / columns * 100, 2), round((ei - i) / n * 100, 2), round((ej - j) / m * 100, 2)
+    end_a, end_b, start_a, start_b, equal, columns = found
+    return best, round(equal / columns * 100, 2), round((end_a - start_a) / n * 100, 2), round((end_b - start_b) / m * 100, 2)
 
 
 def local_alignment(a: Column, b: Column) -> Column:
@@ -266,39 +293,26 @@ def orfs(rows: DataFrame, name: str = "name", seq: str = "seq", least: int = 200
     return found.select(name, "o.*", F.concat(F.lit("ORF"), (F.col("k") + 1).cast("string")).alias("orf_name"))
 
 
-def poly_tail_end(seq: str, patterns: tuple[str, ...] = ("A",), least: int = 10) -> int | None:
-    """Where a run of a pattern in the last two fifths of a sequence ends, patterns in order of priority.
+def _tail_place(tail: Column, pattern: str, least: int) -> tuple[Column, int]:
+    """Where a reversed tail first holds a run of the pattern (from 1; 0: nowhere), and how far behind its first letter
+    the run's value is.
 
-    The scan goes from the end to the front.  A run of a single letter may hold one other letter, which counts, where
-    5 or more but fewer than ``least`` letters precede it; the run must be ended by another letter inside the scanned
-    part, and the value is the index of its last letter.  Longer patterns need ``least`` repeats, without
-    interruption; the value is where the front one of these ends.
+    A run of one letter has ``least`` of them, or 5 and more, one other letter and as many again as make ``least`` with
+    it; another letter must follow.  A longer pattern is repeated ``least`` times.
     """
-    text = seq.upper()
-    front = len(text) - int(len(text) // 2.5)
-    for pattern in patterns:
-        k = len(pattern)
-        run, broken, i = 0, False, len(text) - k
-        while i >= front:
-            if text[i : i + k] == pattern:
-                run += 1
-                if k > 1 and run >= least:
-                    return i + k
-                i -= k
-                continue
-            if k == 1 and not broken and 5 <= run < least:
-                broken, run = True, run + 1
-            elif k == 1 and run >= least:
-                return i + run
-            else:
-                run, broken = 0, False
-            i -= 1
-    return None
+    if len(pattern) > 1:
+        return F.regexp_instr(tail, F.lit(f"(?:{pattern[::-1]}){{{least}}}")), (least - 1) * len(pattern) - 1
+    broken = [f"{pattern}{{{n}}}[^{pattern}]{pattern}{{{least - 1 - n},}}" for n in range(5, least)]
+    return F.regexp_instr(tail, F.lit(f"(?:{'|'.join([f'{pattern}{{{least},}}', *broken])})(?=[^{pattern}])")), 0
 
 
 def poly_tail(seq: Column, patterns: tuple[str, ...] = ("A",), least: int = 10) -> Column:
-    @F.pandas_udf("int")
-    def kernel(x: pd.Series) -> pd.Series:
-        return x.map(lambda s: poly_tail_end(s or "", patterns, least)).astype("Int32")
-
-    return kernel(seq)
+    """Where the run of a pattern ends that is nearest to the end in the last two fifths of a sequence; patterns in order
+    of priority, null without any.  For a single letter that is the index of the run's last letter, for a longer pattern
+    the exclusive end of the front one of ``least`` repeats."""
+    tail = F.reverse(F.upper(F.right(seq, F.floor(F.length(seq) / 2.5).cast("int"))))
+    ends = []
+    for pattern in patterns:
+        place, back = _tail_place(tail, pattern.upper(), least)
+        ends.append(F.when(place > 0, F.length(seq) - place - back))
+    return F.coalesce(*ends).cast("int")

@@ -134,13 +134,17 @@ def _frames(window: int, extra: int = 0):
     return w.rowsBetween(0, window - 1), w.rowsBetween(-(window - 1 + extra), 0)
 
 
-def crop_divergence(parts: DataFrame, counts: DataFrame, threshold: float, window: int, extra_right: int = 1) -> DataFrame:
+def crop_divergence(parts: DataFrame, counts: DataFrame, threshold: float | DataFrame, window: int, extra_right: int = 1) -> DataFrame:
     """(msa_id, seq_id, start, end): first and last column of the outermost windows whose shares of the sequence's own
     letters add up to more than the threshold; the right window is ``extra_right`` columns longer.  Sequences without
-    such a window have start and end 0.  Gaps and other letters have no share."""
+    such a window have start and end 0.  Gaps and other letters have no share.  A table (msa_id, limit) gives each
+    alignment a threshold of its own."""
     met = parts.join(proportions(counts), ["msa_id", "col"])
     own = F.when(F.col("base") == "a", F.col("p_a")).when(F.col("base") == "c", F.col("p_c")).when(F.col("base") == "g", F.col("p_g")).when(F.col("base") == "t", F.col("p_t"))
-    return _crop(met.withColumn("_v", F.coalesce(own, F.lit(0.0))), window, extra_right, lambda s, n: s > threshold)
+    rows = met.withColumn("_v", F.coalesce(own, F.lit(0.0)))
+    if isinstance(threshold, DataFrame):
+        rows, threshold = rows.join(threshold.select("msa_id", F.col("limit").alias("_limit")), "msa_id"), F.col("_limit")
+    return _crop(rows, window, extra_right, lambda s, n: s > threshold)
 
 
 def crop_gaps(parts: DataFrame, threshold: float, window: int) -> DataFrame:

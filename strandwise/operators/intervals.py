@@ -1,7 +1,8 @@
 """Interval algebra: half-open [start, end) unless a name says otherwise.
 
-Merging works in two levels: intervals are merged inside fixed-width bins first, then the few islands that remain are
-merged along each sequence, so a sequence that holds most intervals is not sorted by one task.
+What runs along a sequence (merging, depth, containment, what lies before) is worked out inside fixed-width bins, with
+what earlier bins pass on: their greatest end, their sum, their last row.  Only the bins themselves, a row each, are
+put in order along a whole sequence, so a sequence that holds most intervals is not sorted by one task.
 """
 
 from __future__ import annotations
@@ -16,24 +17,59 @@ def normalised(df: DataFrame, start: str = "start", end: str = "end") -> DataFra
     return df.withColumns({start: F.least(start, end), end: F.greatest(start, end)})
 
 
-def _islands(df: DataFrame, keys: list[str], touch: bool) -> DataFrame:
-    """Number the islands of ``df`` (keys, start, end) along each key by the running maximum of the ends."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = (F.col("start") > F.col("_reach")) if touch else (F.col("start") >= F.col("_reach"))
-    marked = df.withColumn("_reach", reach).withColumn("_fresh", F.when(F.col("_reach").isNull() | fresh, 1).otherwise(0))
-    return marked.withColumn("island", F.sum("_fresh").over(w)).drop("_reach", "_fresh")
+BIN = 1 << 20
+_BEFORE = (Window.unboundedPreceding, -1)
 
 
-def merge(df: DataFrame, keys: list[str], touch: bool = True, bin_width: int = 1 << 20) -> DataFrame:
+def _binned(df: DataFrame, at: str, width: int) -> DataFrame:
+    return df.withColumn("_bin", F.floor(F.col(at) / width))
+
+
+def _order(keys: list[str], *by: str):
+    """The order of rows inside a bin."""
+    return Window.partitionBy(*keys, "_bin").orderBy(*by)
+
+
+def _passed_on(rows: DataFrame, keys: list[str], facts: dict[str, Column], passed: dict[str, Column]) -> DataFrame:
+    """``rows`` with the columns ``passed`` of their bin: window expressions along a key's bins over their ``facts``."""
+    bins = rows.groupBy(*keys, "_bin").agg(*(c.alias(n) for n, c in facts.items()))
+    bins = bins.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_bin").alias("_b"), *(c.alias(n) for n, c in passed.items()))
+    same = F.col("_bin") == F.col("_b")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(bins, same).drop("_b", *(f"_k{i}" for i in range(len(keys))))
+
+
+def _bins_of(keys: list[str]):
+    return Window.partitionBy(*keys).orderBy("_bin")
+
+
+def islands(df: DataFrame, keys: list[str], touch: bool = True, bin_width: int = BIN) -> DataFrame:
+    """``df`` (keys, start, end, ...) with ``island``, the start of the island of its key that an interval belongs to."""
+    w = _order(keys, "start", "end")
+    rows = _passed_on(_binned(df, "start", bin_width), keys, {"_max": F.max("end")}, {"_far": F.max("_max").over(_bins_of(keys).rowsBetween(*_BEFORE))})
+    reach = F.greatest("_far", F.max("end").over(w.rowsBetween(*_BEFORE)))
+    rows = rows.withColumn("_reach", reach)
+    fresh = F.col("_reach").isNull() | ((F.col("start") > F.col("_reach")) if touch else (F.col("start") >= F.col("_reach")))
+    rows = rows.withColumn("_fresh", F.when(fresh, F.col("start"))).withColumn("_open", F.max("_fresh").over(w))
+    rows = _passed_on(rows, keys, {"_last": F.max("_fresh")}, {"_since": F.max("_last").over(_bins_of(keys).rowsBetween(*_BEFORE))})
+    return rows.withColumn("island", F.coalesce("_open", "_since")).drop("_bin", "_far", "_reach", "_fresh", "_open", "_since")
+
+
+def _with_previous(df: DataFrame, keys: list[str], value: str, bin_width: int = BIN) -> DataFrame:
+    """Adds ``_before``: the ``value`` of the row of the same key that comes before, by start and end."""
+    rows = _passed_on(
+        _binned(df, "start", bin_width), keys, {"_l": F.max_by(value, F.struct("start", "end"))}, {"_last": F.last("_l", ignorenulls=True).over(_bins_of(keys).rowsBetween(*_BEFORE))}
+    )
+    return rows.withColumn("_before", F.coalesce(F.lag(value).over(_order(keys, "start", "end")), F.col("_last"))).drop("_bin", "_last")
+
+
+def merge(df: DataFrame, keys: list[str], touch: bool = True, bin_width: int = BIN) -> DataFrame:
     """(keys, start, end, n): the union of the intervals of each key; ``n`` counts members.  ``touch`` joins intervals
     that only meet.  Rows with a null bound are left out; an empty table gives no rows."""
-    rows = df.where("start is not null and end is not null").select(*keys, "start", "end", F.lit(1).cast("long").alias("n"))
-    for part in ([*keys, "_bin"], keys):
-        binned = rows.withColumn("_bin", F.floor(F.col("start") / bin_width)) if "_bin" in part else rows
-        islands = _islands(binned, part, touch).groupBy(*part, "island")
-        rows = islands.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).select(*keys, "start", "end", "n")
-    return rows
+    rows = islands(df.where("start is not null and end is not null").select(*keys, "start", "end"), keys, touch, bin_width)
+    merged = rows.groupBy(*keys, "island").agg(F.max("end").alias("end"), F.count("*").alias("n"))
+    return merged.select(*keys, F.col("island").alias("start"), "end", "n")
 
 
 def union_length(df: DataFrame, keys: list[str], **options) -> DataFrame:
@@ -48,45 +84,44 @@ def hit_union_length(hits: DataFrame, keys: list[str], min_identity: float = 80,
 
 
 def merge_collect(df: DataFrame, keys: list[str], payload: str = "type") -> DataFrame:
-    """(keys, start, end, types, distinct_types, starts, ends): merged islands with their members, in order."""
-    islands = _islands(df, keys, True)
+    """(keys, start, end, types, distinct_types, starts, ends): merged islands with their members, in order.  A row holds
+    all members of its island."""
+    rows = islands(df, keys)
     members = F.array_sort(F.collect_list(F.struct("start", "end", F.col(payload).alias("type"))))
-    merged = islands.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), members.alias("m"))
+    merged = rows.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), members.alias("m"))
     return merged.select(
         *keys, "start", "end", F.col("m.type").alias("types"), F.array_sort(F.array_distinct("m.type")).alias("distinct_types"),
         F.col("m.start").alias("starts"), F.col("m.end").alias("ends"),
     )
 
 
-def drop_contained(df: DataFrame, keys: list[str], keep_one_of_equal: bool = False) -> DataFrame:
+def drop_contained(df: DataFrame, keys: list[str], keep_one_of_equal: bool = False, bin_width: int = BIN) -> DataFrame:
     """Intervals that no other interval of their key contains.  Equal intervals contain each other, so both go unless
     ``keep_one_of_equal``.
 
     An interval is contained if an earlier start reaches its end or a later row with the same start does: both are
     running maxima over one order, with no join of a key's intervals with themselves.
     """
-    by = Window.partitionBy(*keys)
     counted = df.groupBy(*keys, "start", "end").agg(F.count("*").alias("_copies")) if keep_one_of_equal else df.withColumn("_copies", F.count("*").over(Window.partitionBy(*keys, "start", "end")))
-    before = F.max("end").over(by.orderBy("start").rangeBetween(Window.unboundedPreceding, -1))
-    same = F.max("end").over(Window.partitionBy(*keys, "start"))
-    marked = counted.withColumn("_before", before).withColumn("_same", same)
-    inside = (F.coalesce(F.col("_before"), F.col("end") - 1) >= F.col("end")) | (F.col("_same") > F.col("end"))
+    rows = _passed_on(_binned(counted, "start", bin_width), keys, {"_max": F.max("end")}, {"_far": F.max("_max").over(_bins_of(keys).rowsBetween(*_BEFORE))})
+    before = F.greatest("_far", F.max("end").over(_order(keys, "start").rangeBetween(*_BEFORE)))
+    same = F.max("end").over(Window.partitionBy(*keys, "_bin", "start"))
+    marked = rows.withColumn("_reach", before).withColumn("_same", same)
+    inside = (F.coalesce(F.col("_reach"), F.col("end") - 1) >= F.col("end")) | (F.col("_same") > F.col("end"))
     alone = F.lit(True) if keep_one_of_equal else F.col("_copies") == 1
-    return marked.where(~inside & alone).drop("_copies", "_before", "_same")
+    return marked.where(~inside & alone).drop("_copies", "_reach", "_same", "_bin", "_far")
 
 
 def chain_starts(df: DataFrame, keys: list[str]) -> DataFrame:
     """Of intervals without containment: each but the first of its key starts one past the end before it."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    return df.withColumn("start", F.coalesce(F.lag("end").over(w) + 1, F.col("start")))
+    return _with_previous(df, keys, "end").withColumn("start", F.coalesce(F.col("_before") + 1, F.col("start"))).drop("_before").select(*df.columns)
 
 
 def complement(df: DataFrame, lengths: DataFrame, key: str = "chrom") -> DataFrame:
     """(key, start, end): what the intervals leave free in [0, length); sequences without intervals are free whole."""
     merged = merge(df, [key]).select(key, "start", "end")
     edge = lengths.select(key, F.col("length").alias("start"), F.col("length").alias("end"))
-    w = Window.partitionBy(key).orderBy("start", "end")
-    gaps = merged.unionByName(edge).withColumn("_before", F.coalesce(F.lag("end").over(w), F.lit(0)))
+    gaps = _with_previous(merged.unionByName(edge), [key], "end").withColumn("_before", F.coalesce("_before", F.lit(0)))
     return gaps.where(F.col("_before") < F.col("start")).select(key, F.col("_before").alias("start"), F.col("start").alias("end"))
 
 
@@ -166,13 +201,18 @@ def fetch(df: DataFrame, genome: DataFrame, tile: int = 1 << 16, drop_other: boo
     return joined.withColumn("seq", F.regexp_replace(seq, "[^ACGTacgt]", "") if drop_other else seq)
 
 
-def depth_runs(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", weight: Column | None = None) -> DataFrame:
+def depth_runs(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", weight: Column | None = None, bin_width: int = BIN) -> DataFrame:
     """(keys, start, end, depth): maximal runs of constant positive depth of half-open intervals."""
     w = F.lit(1) if weight is None else weight
     edges = df.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("pos"), w.alias("d")), F.struct(F.col(end).alias("pos"), (-w).alias("d")))).alias("e"))
     steps = edges.groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d")).where("d <> 0")
-    order = Window.partitionBy(*keys).orderBy("pos")
-    runs = steps.withColumn("depth", F.sum("d").over(order)).withColumn("next", F.lead("pos").over(order))
+    along = _bins_of(keys)
+    steps = _passed_on(
+        _binned(steps, "pos", bin_width), keys, {"_sum": F.sum("d"), "_first": F.min("pos")}, {"_so_far": F.sum("_sum").over(along.rowsBetween(*_BEFORE)), "_next": F.lead("_first").over(along)}
+    )
+    order = _order(keys, "pos")
+    depth = F.sum("d").over(order) + F.coalesce("_so_far", F.lit(0))
+    runs = steps.withColumn("depth", depth).withColumn("next", F.coalesce(F.lead("pos").over(order), F.col("_next")))
     return runs.where("depth > 0").select(*keys, F.col("pos").alias("start"), F.col("next").alias("end"), "depth")
 
 

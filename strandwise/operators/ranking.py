@@ -107,3 +107,23 @@ def completed(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def add_facts(rows: DataFrame, facts: DataFrame, key: str, defaults: dict) -> DataFrame:
     """Left join on ``key`` with defaults for what is missing."""
     return rows.join(facts, key, "left").na.fill(defaults)
+
+
+def ordered_union(parts: list[DataFrame], value: str, order: str) -> DataFrame:
+    """(value, place): the distinct values of the parts, placed by the first part that has them and the order in it."""
+    rows = None
+    for i, part in enumerate(parts):
+        one = part.select(value, F.lit(i).alias("_part"), F.col(order).alias("_order"))
+        rows = one if rows is None else rows.unionByName(one)
+    first = rows.groupBy(value).agg(F.min(F.struct("_part", "_order")).alias("_first"))
+    return placed(first.select(value, "_first.*"), "_part", ["_order"]).select(value, (F.col("place") + 1).alias("place"))
+
+
+def placed(df: DataFrame, part: str, order: list[str]) -> DataFrame:
+    """Adds ``place`` (from 0) in the order of ``part``, then ``order``: parts are ranked apart and offset by the counts
+    of the parts before them, so the order of everything is no single task."""
+    counts = df.groupBy(part).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(part, F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return df.withColumn("_k", inside).join(offsets, part).withColumn("place", F.col("_before") + F.col("_k") - 1).drop("_k", "_before")

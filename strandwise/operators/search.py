@@ -17,20 +17,37 @@ def _grams(seq: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.substring(seq, i, F.lit(k)))
 
 
-def search_approximate(queries: DataFrame, subjects: DataFrame, k: int = 11, gap: int = 40, least: int = 50, frequent: int = 10_000, pad: int = 4) -> DataFrame:
+def _seeds(q: DataFrame, s: DataFrame, own: bool, hot: int = 10_000, salts: int = 16) -> DataFrame:
+    """Places of equal k-mers.  A k-mer that occurs over ``hot`` times in the subjects is dealt in salted shares, so it is
+    not one task.  ``own``: a sequence meets itself only, so how often others hold a k-mer plays no part."""
+    if own:
+        return q.join(s, (q["gram"] == s["gram"]) & (q["name"] == s["chrom"])).drop(s["gram"])
+    often = s.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("gram", F.lit(True).alias("_hot"))
+    spread = s.join(often, "gram", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("chrom", "spos"), F.lit(salts))).otherwise(0)).drop("_hot")
+    zero = F.lit(0).cast("long")
+    copies = F.when(F.col("_hot"), F.sequence(zero, zero + salts - 1)).otherwise(F.array(zero))
+    return q.join(often, "gram", "left").withColumn("_salt", F.explode(copies)).drop("_hot").join(spread, ["gram", "_salt"]).drop("_salt")
+
+
+def search_approximate(
+    queries: DataFrame, subjects: DataFrame, k: int = 11, gap: int = 40, least: int = 50, frequent: int | None = None, own: bool = False
+) -> DataFrame:
     """Hits (HIT_COLUMNS) of queries (name, seq) in subjects (chrom, seq): ungapped stretches of one diagonal.
 
     Both sides' k-mers meet in an equi-join; seeds of one query, subject, strand and diagonal that are at most ``gap``
-    apart are one stretch, whose identity is counted over its letters.  A k-mer that occurs over ``frequent`` times in
-    the subjects seeds nothing, as search tools mask such words, so no seed is hot.  Approximate: no gaps.
+    apart are one stretch, whose identity is counted over its letters.  All k-mers seed, those of high-copy families in
+    salted shares; ``frequent`` masks those that occur more often in the subjects, as search tools can.  ``own`` compares
+    each sequence with itself only.  Approximate: no gaps.
     """
     both = queries.select("name", F.upper("seq").alias("seq"), F.lit("plus").alias("sstrand")).unionByName(
         queries.select("name", reverse_complement(F.upper("seq")).alias("seq"), F.lit("minus").alias("sstrand"))
     )
     q = both.where(F.length("seq") >= k).select("name", "sstrand", F.posexplode(_grams(F.col("seq"), k)).alias("qpos", "gram"))
     s = subjects.where(F.length("seq") >= k).select("chrom", F.posexplode(_grams(F.upper("seq"), k)).alias("spos", "gram"))
-    often = s.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > frequent).select("gram")
-    seeds = q.join(s.join(often, "gram", "left_anti"), "gram").withColumn("diagonal", F.col("spos") - F.col("qpos"))
+    if frequent is not None:
+        masked = s.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > frequent).select("gram")
+        s = s.join(masked, "gram", "left_anti")
+    seeds = _seeds(q, s, own).withColumn("diagonal", F.col("spos") - F.col("qpos"))
     w = Window.partitionBy("name", "sstrand", "chrom", "diagonal").orderBy("qpos")
     fresh = F.coalesce(F.col("qpos") - F.lag("qpos").over(w) > gap, F.lit(True)).cast("int")
     runs = seeds.withColumn("_f", fresh).withColumn("run", F.sum("_f").over(w))
@@ -48,9 +65,9 @@ def search_approximate(queries: DataFrame, subjects: DataFrame, k: int = 11, gap
     )
 
 
-def self_search_approximate(seqs: DataFrame, k: int = 11, least: int = 50, frequent: int = 10_000) -> DataFrame:
+def self_search_approximate(seqs: DataFrame, k: int = 11, least: int = 50) -> DataFrame:
     """Hits of each sequence with itself, the trivial one left out, each direct pair once."""
-    found = search_approximate(seqs, seqs.select(F.col("name").alias("chrom"), "seq"), k, least=least, frequent=frequent).where(F.col("qseqid") == F.col("sseqid"))
+    found = search_approximate(seqs, seqs.select(F.col("name").alias("chrom"), "seq"), k, least=least, own=True)
     rows = found.where((F.col("sstrand") == "minus") | (F.col("qstart") < F.col("sstart")))
     order = F.row_number().over(Window.partitionBy("qseqid").orderBy("qstart", "sstart", "send"))
     return rows.withColumn("ordinal", order.cast("long")).withColumnRenamed("qseqid", "query")

@@ -291,7 +291,7 @@ def feature_tracks(spark, sf_dir):
 @query()
 def greedy_clusters_approximate(spark, sf_dir):
     rows = V.msa(spark, sf_dir).select(F.col("seq_id").cast("string").alias("name"), F.replace(F.col("seq"), F.lit("-"), F.lit("")).alias("seq"))
-    return L.greedy_clusters_approximate(rows, k=6, share=0.3)
+    return L.greedy_clusters_approximate(rows, k=4, share=0.3)
 
 
 @query()
@@ -307,6 +307,12 @@ def orf_scan(spark, sf_dir):
     return S.orfs(rows, least=60)
 
 
-@query()
+@query(
+    f"""WITH {V.MSA}, s AS (SELECT seq_id, reverse(upper(right(seq, CAST(floor(length(seq) / 2.5) AS BIGINT)))) AS tail, length(seq) AS n
+            FROM (SELECT seq_id, string_agg(base, '' ORDER BY col) AS seq FROM cells GROUP BY seq_id)),
+        f AS (SELECT seq_id, n, regexp_extract(tail, '^(.*?)(A{{4,}})[^A]', 2) <> '' AS one, length(regexp_extract(tail, '^(.*?)(A{{4,}})[^A]', 1)) AS p,
+                     regexp_extract(tail, '^(.*?)((GC){{4}})', 2) <> '' AS two, length(regexp_extract(tail, '^(.*?)((GC){{4}})', 1)) AS q FROM s)
+        SELECT seq_id, CAST(CASE WHEN one THEN n - p - 1 WHEN two THEN n - q - 6 ELSE -1 END AS INTEGER) AS tail_end FROM f"""
+)
 def poly_tails(spark, sf_dir):
     return V.msa(spark, sf_dir).select("seq_id", F.coalesce(S.poly_tail(F.col("seq"), ("A", "CG"), 4), F.lit(-1)).alias("tail_end"))

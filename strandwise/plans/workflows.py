@@ -55,22 +55,12 @@ def clean_alignment(msa: DataFrame, window: int = 40, share: float = 0.8, gap: f
     counts = A.column_counts(parts)
     mean = A.crop_threshold(parts, counts, window).select("msa_id", F.least("left", "right").alias("_mean"))
     limit = F.when(F.col("_mean") < share * window, F.floor("_mean") - 3).otherwise(0.7 * window)
-    limits = mean.select("msa_id", limit.alias("_limit"))
-    cropped = A.apply_crop(parts, _crop_by(parts, counts, limits, window))
+    limits = mean.select("msa_id", limit.alias("limit"))
+    cropped = A.apply_crop(parts, A.crop_divergence(parts, counts, limits, window))
     kept = A.gap_filter(A.column_counts(cropped), gap)
     return A.assemble(A.keep_columns(cropped, kept)), A.with_sentinel(kept)
 
 
-def _crop_by(parts: DataFrame, counts: DataFrame, limits: DataFrame, window: int) -> DataFrame:
-    """Divergence crops with a threshold for each alignment: shares are scaled so that the threshold is 1."""
-    crop = None
-    for value in [r[0] for r in limits.select("_limit").distinct().collect()]:
-        ids = limits.where(F.col("_limit") == value).select("msa_id")
-        one = A.crop_divergence(parts.join(ids, "msa_id", "left_semi"), counts, float(value), window)
-        crop = one if crop is None else crop.unionByName(one)
-    return crop if crop is not None else A.crop_divergence(parts, counts, 0.0, window)
-
-
 def merge_library(members: DataFrame, second: DataFrame) -> DataFrame:
     """One representative for each cluster of the first round, and for what had none those of a second clustering
     (name, cluster)."""

@@ -204,7 +204,7 @@ def headers_to_bed(headers: DataFrame) -> DataFrame:
     p = r"^(.*):(\d+)-(\d+)\(([+-])\)"
     part = lambda k: F.regexp_extract("header", p, k)
     rows = headers.where(F.col("header").rlike(p))
-    return rows.select(part(1).alias("chrom"), part(2).cast("long").alias("start"), part(3).cast("long").alias("end"), F.lit(".").alias("name"), F.lit("0").alias("score"), part(4).alias("strand")).distinct()
+    return rows.select(part(1).alias("chrom"), part(2).try_cast("long").alias("start"), part(3).try_cast("long").alias("end"), F.lit(".").alias("name"), F.lit("0").alias("score"), part(4).alias("strand")).distinct()
 
 
 def kmer_index(sequences: DataFrame, k: int = 11) -> DataFrame:

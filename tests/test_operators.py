@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,10 +62,11 @@ def test_cross_lengths_add_up(spark):
     assert I.cross_lengths(*parts, lengths).agg(F.sum("length")).first()[0] == 1000
 
 
+@pytest.mark.parametrize("width", [9, I.BIN])
 @pytest.mark.parametrize("keep", [False, True])
-def test_contained(spark, keep):
+def test_contained(spark, keep, width):
     rows = [*intervals(7, 80), ("a", 1, 900, "x"), ("b", 1, 5, "x"), ("b", 1, 5, "y")]
-    got = {(r.chrom, r.start, r.end) for r in I.drop_contained(spark.createDataFrame(rows, IV), ["chrom"], keep).collect()}
+    got = {(r.chrom, r.start, r.end) for r in I.drop_contained(spark.createDataFrame(rows, IV), ["chrom"], keep, width).collect()}
     want = set()
     distinct = sorted({(k, s, e) for k, s, e, _ in rows})
     for k, s, e in distinct:
@@ -74,9 +77,35 @@ def test_contained(spark, keep):
     assert got == want
 
 
-def test_depth(spark):
+@pytest.mark.parametrize("touch", [False, True])
+@pytest.mark.parametrize("width", [5, 40, I.BIN])
+def test_islands_that_cross_bins(spark, touch, width):
+    """A long interval over many bins, bins without a start, a null key, intervals that only meet."""
+    rows = [*intervals(10, 60), ("a", 100, 260, "x"), (None, 3, 9, "x"), (None, 9, 12, "x"), ("c", 0, 50, "x"), ("c", 50, 51, "x"), ("c", 300, 301, "x")]
+    got = {(r.chrom, r.start, r.end, r.n) for r in I.merge(spark.createDataFrame(rows, IV), ["chrom"], touch, width).collect()}
+    want = set()
+    for key in {r[0] for r in rows}:
+        open_ = None
+        for s, e in sorted((s, e) for k, s, e, _ in rows if k == key):
+            if open_ is None or s > open_[1] or not touch and s == open_[1]:
+                want |= {(key, *open_)} if open_ else set()
+                open_ = (s, e, 1)
+            else:
+                open_ = (open_[0], max(open_[1], e), open_[2] + 1)
+        want.add((key, *open_))
+    assert got == want
+
+
+def test_what_comes_before_across_bins(spark):
+    rows = [("a", 3, 8), ("a", 90, 95), ("a", 96, 99), ("a", 500, 505), ("b", 7, 9)]
+    got = {(r.chrom, r.start): r._before for r in I._with_previous(spark.createDataFrame(rows, "chrom string, start long, end long"), ["chrom"], "end", 10).collect()}
+    assert got == {("a", 3): None, ("a", 90): 8, ("a", 96): 95, ("a", 500): 99, ("b", 7): None}
+
+
+@pytest.mark.parametrize("width", [11, I.BIN])
+def test_depth(spark, width):
     rows = intervals(8)
-    runs = I.depth_runs(spark.createDataFrame(rows, IV), ["chrom"]).collect()
+    runs = I.depth_runs(spark.createDataFrame(rows, IV), ["chrom"], bin_width=width).collect()
     for c in "ab":
         for p in range(0, 430, 3):
             assert sum(r.depth for r in runs if r.chrom == c and r.start <= p < r.end) == sum(k == c and s <= p < e for k, s, e, _ in rows)
@@ -152,6 +181,42 @@ def test_greedy_clusters(spark):
     assert got == {"s": ("s", "+"), "s2": ("s", "+"), "r": ("s", "-"), "t": ("t", "+"), "tiny": ("tiny", "+")}
 
 
+def test_greedy_clusters_go_on_until_all_are_settled(spark):
+    """A chain in which each sequence resembles its neighbours only: many rounds."""
+    rng = random.Random(8)
+    parts = ["".join(rng.choice("ACGT") for _ in range(40)) for _ in range(8)]
+    rows = [(f"s{i:02d}", parts[i] + parts[i + 1] + "A" * (15 - i)) for i in range(7)]
+    got = {r.name: r.cluster for r in L.greedy_clusters_approximate(spark.createDataFrame(rows, "name string, seq string"), share=0.3).collect()}
+    heads = set()
+    for i, (name, _) in enumerate(rows):  # longest first: joins the one before it if that is a head
+        want = rows[i - 1][0] if i and rows[i - 1][0] in heads else name
+        heads |= {name} if want == name else set()
+        assert got[name] == want
+
+
+def test_principal_components(spark):
+    rng = random.Random(3)
+    points = [(rng.gauss(0, 5), rng.gauss(0, 1)) for _ in range(12)]
+    pairs = [(i, j, math.dist(points[i], points[j])) for i in range(12) for j in range(i + 1, 12)]
+    got = {r.id: r.components for r in L.principal_components(spark.createDataFrame([(i,) for i in range(12)], "id int"), spark.createDataFrame(pairs, "a int, b int, d double")).collect()}
+    table = np.zeros((12, 12))
+    for i, j, d in pairs:
+        table[i, j] = table[j, i] = d
+    values, axes = np.linalg.eigh(np.cov(table.T))
+    axes = axes[:, np.argsort(-values)[:2]]
+    axes *= np.where(axes.max(0) >= -axes.min(0), 1, -1)
+    assert np.allclose(np.array([got[i] for i in range(12)]), table @ axes)
+
+
+def test_intermediate_tables_need_a_shared_folder_off_one_machine(spark, monkeypatch):
+    class Elsewhere:
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "x"})
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        L.shared_folder(Elsewhere)
+
+
 def test_rank_by_share_is_the_plain_rank(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice([0.0, rng.random(), 0.5])) for i in range(200)]

@@ -62,16 +62,54 @@ def test_orfs(seq):
     assert sorted(S.find_orfs(seq, 9)) == brute_orfs(seq, 9)
 
 
-@pytest.mark.parametrize(
-    ("seq", "patterns", "least", "want"),
-    [
-        ("C" * 40 + "A" * 12, ("A",), 10, 51), ("C" * 40 + "A" * 12 + "GG", ("A",), 10, 51), ("C" * 40 + "A" * 5 + "G" + "A" * 5, ("A",), 10, 50),
-        ("C" * 40 + "A" * 5 + "G" + "A" * 3, ("A",), 10, None), ("A" * 12 + "C" * 60, ("A",), 10, None), ("C" * 60 + "TA" * 10, ("TA",), 10, 62),
-        ("C" * 60 + "TA" * 12, ("TA",), 10, 66), ("C" * 60 + "T" * 11 + "A" * 11, ("T", "A"), 10, 70), ("A" * 60, ("A",), 10, None), ("", ("A",), 10, None),
-    ],
-)
-def test_poly_tail(seq, patterns, least, want):
-    assert S.poly_tail_end(seq, patterns, least) == want
+TAILS = [
+    ("C" * 40 + "A" * 12, ("A",), 10, 51), ("C" * 40 + "A" * 12 + "GG", ("A",), 10, 51), ("C" * 40 + "A" * 5 + "G" + "A" * 5, ("A",), 10, 50),
+    ("C" * 40 + "A" * 5 + "G" + "A" * 3, ("A",), 10, None), ("A" * 12 + "C" * 60, ("A",), 10, None), ("C" * 60 + "TA" * 10, ("TA",), 10, 62),
+    ("C" * 60 + "TA" * 12, ("TA",), 10, 66), ("C" * 60 + "T" * 11 + "A" * 11, ("T", "A"), 10, 70), ("A" * 60, ("A",), 10, None), ("", ("A",), 10, None), (None, ("A",), 10, None),
+]
+
+
+def test_poly_tail(spark):
+    for patterns, least in {(p, n) for _, p, n, _ in TAILS}:
+        mine = [(s, w) for s, p, n, w in TAILS if (p, n) == (patterns, least)]
+        rows = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(mine)], "i int, s string")
+        got = {r.i: r.t for r in rows.select("i", S.poly_tail(F.col("s"), patterns, least).alias("t")).collect()}
+        assert got == {i: w for i, (_, w) in enumerate(mine)}
+
+
+def runs_of_a(seq, least):
+    """The nearest run to the end, by trying every place."""
+    front = len(seq) - int(len(seq) // 2.5)
+    for last in range(len(seq) - 1, front - 1, -1):
+        if seq[last] != "A":
+            continue
+        for first in range(last, front, -1):
+            run, other = seq[first : last + 1], [k for k, c in enumerate(reversed(seq[first : last + 1])) if c != "A"]
+            whole = not other or len(other) == 1 and 5 <= other[0] < least
+            if whole and len(run) >= least and seq[first - 1] != "A":
+                return last
+    return None
+
+
+def test_poly_tail_against_every_place(spark):
+    rng = random.Random(6)
+    seqs = ["".join(rng.choices("ACG", (14, 1, 1), k=rng.randint(0, 70))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(seqs)), "i int, s string")
+    got = {r.i: r.t for r in rows.select("i", S.poly_tail(F.col("s"), ("A",), 10).alias("t")).collect()}
+    assert got == {i: runs_of_a(s, 10) for i, s in enumerate(seqs)} and sum(t is not None for t in got.values()) > 30
+
+
+def test_long_sequences_align_in_little_memory():
+    import tracemalloc
+
+    rng = random.Random(3)
+    a = "".join(rng.choice("ACGT") for _ in range(3000))
+    b = a[500:1500] + a[1510:2600]
+    tracemalloc.start()
+    score, identity, left, right = S.align_local(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+    assert right == 100.0 and identity > 99 and score == 2 * len(b) - 1 - 9 * 0.5
 
 
 def test_columns(spark):

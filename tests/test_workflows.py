@@ -32,6 +32,20 @@ def test_self_search(spark):
     assert [(r["query"], r.qstart, r.qend, r.sstart, r.send, r.ordinal) for r in rows] == [("x", 1, 200, 301, 500, 1)]
 
 
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_frequent_seeds_lose_nothing(spark, monkeypatch, hot):
+    """A unit that the subjects hold many times, with its k-mers dealt in salted shares."""
+    real = S._seeds
+    monkeypatch.setattr(S, "_seeds", lambda q, s, own: real(q, s, own, hot))
+    rng = random.Random(9)
+    unit = dna(rng, 80)
+    subjects = [(f"c{i}", dna(rng, 20) + unit + dna(rng, 20) + unit) for i in range(6)]
+    rows = S.search_approximate(spark.createDataFrame([("u", unit)], "name string, seq string"), spark.createDataFrame(subjects, "chrom string, seq string"), least=80)
+    assert {(r.sseqid, r.sstart, r.send, r.pident) for r in rows.collect()} >= {(f"c{i}", a, a + 79, 100.0) for i in range(6) for a in (21, 121)}
+    few = S.search_approximate(spark.createDataFrame([("u", unit)], "name string, seq string"), spark.createDataFrame(subjects, "chrom string, seq string"), least=80, frequent=3)
+    assert few.collect() == []
+
+
 def test_centre_star_keeps_sequences():
     rng = random.Random(3)
     base = dna(rng, 60).lower()
