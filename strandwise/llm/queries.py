@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, mixing, pii, quality, simhash, suffixdedup, suffixtree, topk, warc
+from . import decontamination, fillmiddle, licenses, mixing, pii, quality, ruleledger, simhash, suffixdedup, suffixtree, topk, warc
 from .common import table
 
 
@@ -57,6 +57,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "line_no", "scope", "license", F.round("dice", 6).alias("dice"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fillmiddle.transform(table(spark, sf_dir, "documents"))
+    digests = [F.sha2(F.encode(x, "utf-8"), 256).alias(name) for x, name in ((F.col("output"), "output_sha256"), (fillmiddle.restore(F.col("output"), F.col("form")), "restored_sha256"))]
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = ruleledger.verdicts(ruleledger.ledger(table(spark, sf_dir, "documents")), ruleledger.POLICIES["2026-strict"])
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures"]
+    return judged.select(*first, *(c for c in judged.columns if c not in first))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivot_topk": op1_pivot_topk,
     "op2_spaced_seeds": op2_spaced_seeds,
@@ -68,12 +80,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_qda": op8_quality_qda,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_rule_ledger": op12_rule_ledger,
 }
 
 _LICENSE_TEMPLATES = ", ".join(
     f"({i}, '{k}', '{s}', {len(licenses.template_words(t))}, [{', '.join(repr(x) for x in licenses.template_bigrams(t))}])" for i, k, s, t in licenses.template_rows()
 )
 
+_STRICT = ruleledger.POLICIES["2026-strict"]
+_FAILURES = " + ".join(f"CASE WHEN {rule} THEN {ruleledger.BITS[name]} ELSE 0 END" for name, rule in ruleledger.RULES.items())
+
 ORACLE_SQL: dict[str, str] = {
     "op1_pivot_topk": """
         WITH wide AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
@@ -144,7 +161,7 @@ ORACLE_SQL: dict[str, str] = {
         scored AS (SELECT doc_id, line_no, g.scope, license, template,
                           2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
                    FROM grams g JOIN known k ON g.scope = k.scope
-                       AND len(g) BETWEEN len(grams) * 0.8 / 1.2 AND len(grams) * 1.2 / 0.8)
+                       AND len(g) BETWEEN len(grams) * 0.8 / 1.2 AND len(grams) * 1.2 / 0.8),
         texts AS (SELECT doc_id, list_transform(range(2, len(w) + 1), lambda i: w[i - 1] || ' ' || w[i]) AS g, len(w) AS words
                   FROM words WHERE scope = 'text'),
         starts AS (
@@ -178,4 +195,41 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id > first_id THEN first_id END AS refers_to
         FROM p
     """,
+    "op11_fill_middle": """
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents),
+        units AS (SELECT *, regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u,
+                         list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(hex, i, 8) AS BIGINT)) AS h FROM texts),
+        cuts AS (SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+                        CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h[3] % 100 >= 50 THEN 'plain'
+                             WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM units),
+        parts AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m,
+                         array_to_string(u[b + 1:n], '') AS s FROM cuts)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM parts
+    """,
+    "op12_rule_ledger": f"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        split AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w,
+                         list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS l FROM texts),
+        windows AS (SELECT doc_id, p, w[p:p + 7] AS win FROM split, unnest(range(1, len(w) - 6)) AS u(p) WHERE len(w) >= 8),
+        twice AS (SELECT doc_id, p FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+        covered AS (SELECT doc_id, count(DISTINCT p + j) AS n FROM twice, unnest(range(0, 8)) AS u(j) GROUP BY doc_id),
+        measured AS (
+            SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                   len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines,
+                   CAST(coalesce(list_sum(list_transform(range(2, len(w) + 1), lambda i: CASE WHEN w[i] = w[i - 1] THEN 1 ELSE 0 END)), 0) AS BIGINT) AS n_adjacent,
+                   CAST(coalesce(list_max(map_values(list_histogram(w))), 0) AS BIGINT) AS top_word,
+                   length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^a-z]', '', 'g')) AS n_lower,
+                   length(regexp_replace(text, '[^!?]', '', 'g')) AS n_marks, len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\\x00-\\x7F]'))) AS n_letter_words,
+                   len(list_filter(l, lambda x: regexp_matches(x, '^[\\x20\\x09-\\x0D]*[-*•]'))) AS n_bullets,
+                   len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS n_ellipses
+            FROM split LEFT JOIN covered USING (doc_id)
+        ),
+        judged AS (SELECT *, CAST({_FAILURES} AS BIGINT) AS failures FROM measured)
+        SELECT *, failures & {ruleledger.BASE} <> 0 AS base_failed, failures & {ruleledger.BASE} = 0 AND failures & {_STRICT.hard} = 0
+               AND bit_count(failures & {_STRICT.soft}) <= {_STRICT.most} AS kept, '{_STRICT.version}' AS policy
+        FROM judged
+    """,
 }
