@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fillmiddle, licenses, mixing, pii, quality, ruleledger, simhash, suffixdedup, suffixtree, topk, warc
+from . import decontamination, fillmiddle, licenses, mixing, pii, prefixtrie, quality, ruleledger, simhash, suffixdedup, suffixtree, topk, warc
 from .common import table
 
 
@@ -69,6 +69,10 @@ def op12_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*first, *(c for c in judged.columns if c not in first))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.nodes(prefixtrie.rebuild(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivot_topk": op1_pivot_topk,
     "op2_spaced_seeds": op2_spaced_seeds,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op11_fill_middle": op11_fill_middle,
     "op12_rule_ledger": op12_rule_ledger,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _LICENSE_TEMPLATES = ", ".join(
@@ -232,4 +237,24 @@ ORACLE_SQL: dict[str, str] = {
                AND bit_count(failures & {_STRICT.soft}) <= {_STRICT.most} AS kept, '{_STRICT.version}' AS policy
         FROM judged
     """,
+    "op13_prefix_trie": """
+        WITH said AS (SELECT conv_id, length(coalesce(text, '')) AS chars, sha256(coalesce(role, '') || chr(31) || coalesce(text, '')) AS code,
+                             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS d
+                      FROM conversations WHERE conv_id IS NOT NULL),
+        steps AS (SELECT DISTINCT conv_id, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])) AS s FROM said),
+        crc AS (SELECT conv_id, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], s), lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295) % 6 AS h FROM steps),
+        rebuilt AS (SELECT c.conv_id, d, code, chars FROM crc c JOIN said s ON s.conv_id = c.conv_id - c.conv_id % 100 AND d <= h
+                    UNION ALL SELECT c.conv_id, d, code, chars FROM crc c JOIN said s ON s.conv_id = c.conv_id AND d > h),
+        paths AS (SELECT conv_id, list(code ORDER BY d) AS codes, list(chars ORDER BY d) AS chars FROM rebuilt GROUP BY conv_id
+                  UNION ALL SELECT conv_id, [], [] FROM crc WHERE conv_id NOT IN (SELECT conv_id FROM rebuilt)),
+        met AS (SELECT conv_id, CAST(d AS BIGINT) AS depth, codes[1:d] AS path, CASE WHEN d > 0 THEN codes[1:d - 1] END AS above, len(codes) = d AS ends, chars[d] AS text
+                FROM paths, unnest(range(0, len(codes) + 1)) AS u(d)),
+        nodes AS (SELECT depth, path, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(text), 0) AS text,
+                         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ids FROM met GROUP BY depth, path),
+        kids AS (SELECT above AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+        own AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children, (n_convs - 1) * text AS saved FROM nodes LEFT JOIN kids USING (path)),
+        sums AS (SELECT path[1:a] AS path, count_if(n_children = 0) AS n_leaves, sum(saved) AS saved FROM own, unnest(range(0, depth + 1)) AS u(a) GROUP BY 1)
+        SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(o.ids) AS ends_sha256
+        FROM own o JOIN sums s USING (path) LEFT JOIN nodes p ON o.above = p.path
+    """,
 }

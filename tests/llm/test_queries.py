@@ -23,7 +23,7 @@ def docs():
 
 def test_one_query_for_each_operator():
     names = [n for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries() and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
