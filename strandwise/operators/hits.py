@@ -105,6 +105,11 @@ def split_terminal(seqs: DataFrame, self_hits: DataFrame, least: int = 150, slac
     return met.select(F.explode(F.coalesce(parts, whole)).alias("x")).select("x.name", "x.seq")
 
 
+def numbered(self_hits: DataFrame) -> DataFrame:
+    """Adds ``ordinal``, the place of a hit among those of its query."""
+    return self_hits.withColumn("ordinal", F.row_number().over(Window.partitionBy("query").orderBy("qstart", "sstart", "send")).cast("long"))
+
+
 def dot_segments(self_hits: DataFrame) -> DataFrame:
     """Segments of a dot plot with their orientation."""
     return self_hits.withColumn("orientation", F.when((F.col("qend") - F.col("qstart")) * (F.col("send") - F.col("sstart")) >= 0, "direct").otherwise("inverted"))

@@ -25,4 +25,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return add
 
 
-from . import alignment_queries, interval_queries, ranking_queries, sequence_queries, source_queries  # noqa: E402, F401
+from . import alignment_queries, homology_queries, interval_queries, ranking_queries, sequence_queries, source_queries  # noqa: E402, F401

@@ -6,7 +6,7 @@ msa: embeddings as alignments of 64 columns; graded: orders as graded consensus
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPOCH = "timestampdiff(SECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))"
@@ -113,3 +113,51 @@ def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRADED = """graded AS (SELECT o_custkey AS cluster, o_orderkey AS name, CASE o_orderpriority WHEN '1-URGENT' THEN 'Perfect' WHEN '2-HIGH' THEN 'Good'
     WHEN '3-MEDIUM' THEN 'Reco_check' WHEN '4-NOT SPECIFIED' THEN 'Need_check' ELSE 'Need_ext' END AS evaluation, CAST(floor(o_totalprice) AS BIGINT) AS length,
     CASE WHEN o_orderstatus = 'F' THEN 'Unknown' ELSE 'LTR/' || o_orderstatus END AS te_class, o_orderkey % 5 = 0 AS low_copy FROM orders)"""
+
+
+def _letters(key: Column, n: int) -> Column:
+    """``n`` letters that a key stands for."""
+    digests = [F.sha2(F.concat_ws("/", key.cast("string"), F.lit(str(i))), 256) for i in range(-(-n // 64))]
+    return F.substring(F.translate(F.concat(*digests), "0123456789abcdef", "ACGTACGTACGTACGT"), 1, n)
+
+
+#: Letters of a planted element, of the flanks of its copies, and of a copy: five lost, seven gained.
+ELEMENT, FLANK, COPY = 320, 300, 322
+
+
+def planted_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, seq): an element for each supplier."""
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(key.cast("long").alias("name"), _letters(F.concat(F.lit("e"), key.cast("string")), ELEMENT).alias("seq"))
+
+
+def planted_copies(spark: SparkSession, sf_dir: str, rate: int = 2) -> DataFrame:
+    """(copy, name, chrom, start, end, strand, seq): a copy for each part, of an element that supplies it: ``rate`` of 16
+    letters changed, five letters lost and seven gained; every third copy is on the minus strand.  ``start`` and
+    ``end`` are its place in the genome, ``seq`` is that of the plus strand with its flanks."""
+    part = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").cast("long").alias("copy")).agg(F.min_by("l_suppkey", F.struct("l_orderkey", "l_linenumber")).cast("long").alias("name"))
+    rows = part.join(planted_elements(spark, sf_dir), "name")
+    key = F.concat(F.lit("c"), F.col("copy").cast("string"))
+    digits = F.split(F.concat(*(F.sha2(F.concat_ws("/", key, F.lit(f"m{i}")), 256) for i in range(-(-ELEMENT // 64)))), "")
+    changed = F.zip_with(F.split("seq", ""), F.slice(digits, 1, ELEMENT), lambda x, d: F.when(d.isin(*[f"{v:x}" for v in range(rate)]), F.translate(x, "ACGT", "CGTA")).otherwise(x))
+    rows = rows.withColumn("seq", F.array_join(changed, ""))
+    lost, gained = 60 + F.col("copy") % 100, 200 + F.col("copy") % 80
+    body = F.concat(
+        F.substring("seq", F.lit(1), lost.cast("int")), F.substring("seq", (lost + 6).cast("int"), (gained - lost - 5).cast("int")), _letters(F.concat(key, F.lit("g")), 7),
+        F.substring("seq", (gained + 1).cast("int"), F.lit(ELEMENT)),
+    )
+    minus = F.col("copy") % 3 == 0
+    body = F.when(minus, F.reverse(F.translate(body, "ACGT", "TGCA"))).otherwise(body)
+    slot, block = (F.col("copy") - 1) % 50, COPY + 2 * FLANK
+    return rows.select(
+        "copy", "name", F.concat(F.lit("chr"), F.floor((F.col("copy") - 1) / 50).cast("string")).alias("chrom"), (slot * block + FLANK).alias("start"), (slot * block + FLANK + COPY).alias("end"),
+        F.when(minus, "-").otherwise("+").alias("strand"), F.concat(_letters(F.concat(key, F.lit("l")), FLANK), body, _letters(F.concat(key, F.lit("r")), FLANK)).alias("seq"),
+    )
+
+
+def planted_genome(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """(chrom, seq): the copies with their flanks, fifty to a chromosome; the place of an absent one is N."""
+    rows = planted_copies(spark, sf_dir, **options).select("chrom", F.floor(F.col("start") / (COPY + 2 * FLANK)).cast("int").alias("slot"), "seq")
+    held = rows.groupBy("chrom").agg(F.map_from_entries(F.collect_list(F.struct("slot", "seq"))).alias("m"))
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("N" * (COPY + 2 * FLANK))))
+    return held.select("chrom", F.array_join(blocks, "").alias("seq"))
