@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import extension as E
 from ..operators import hits as H
 from ..operators import homology as S
+from ..operators import progressive as P
 from . import views as V
 from .registry import query
 
@@ -38,3 +40,33 @@ def split_terminal_repeats(spark, sf_dir):
     seqs = _with_terminal_repeats(spark, sf_dir)
     found = S.self_search(seqs, least_length=150).where("sstrand = 'plus'").withColumnRenamed("qseqid", "query")
     return H.split_terminal(seqs, H.numbered(found))
+
+
+#: A step and windows that suit elements of some 300 letters.
+SHORT = E.Limits(step=100, longest=450, crop_window=40, window=40, buffer=15, columns=30)
+
+
+def _inner_hits(spark, sf_dir):
+    """The inner hundred letters of each copy, as a search finds them in old elements."""
+    copies = V.planted_copies(spark, sf_dir, foreign=9)
+    return copies.select(F.col("name").alias("query"), F.col("copy").alias("hit_id"), "chrom", (F.col("start") + 115).alias("start"), (F.col("start") + 215).alias("end"), "strand")
+
+
+@query()
+def extended_elements(spark, sf_dir):
+    """Elements extended to both sides from their inner parts, with the boundaries of each sequence."""
+    return E.extend_in_rounds(_inner_hits(spark, sf_dir), V.planted_genome(spark, sf_dir, foreign=9), SHORT)
+
+
+@query()
+def extension_sides(spark, sf_dir):
+    """How far each side went, over how many rounds, and with how many sequences left."""
+    return E.extend_ends(_inner_hits(spark, sf_dir), V.planted_genome(spark, sf_dir, foreign=9), SHORT)[1]
+
+
+@query()
+def progressive_alignments(spark, sf_dir):
+    """The copies of every element, aligned."""
+    body = F.substring("seq", V.FLANK + 1, V.COPY)
+    seq = F.when(F.col("strand") == "-", F.reverse(F.translate(body, "ACGT", "TGCA"))).otherwise(body)
+    return P.align(V.planted_copies(spark, sf_dir).select(F.col("name").alias("msa_id"), F.col("copy").alias("seq_id"), seq.alias("seq")))

@@ -131,10 +131,11 @@ def planted_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(key.cast("long").alias("name"), _letters(F.concat(F.lit("e"), key.cast("string")), ELEMENT).alias("seq"))
 
 
-def planted_copies(spark: SparkSession, sf_dir: str, rate: int = 2) -> DataFrame:
+def planted_copies(spark: SparkSession, sf_dir: str, rate: int = 2, foreign: int = 0) -> DataFrame:
     """(copy, name, chrom, start, end, strand, seq): a copy for each part, of an element that supplies it: ``rate`` of 16
-    letters changed, five letters lost and seven gained; every third copy is on the minus strand.  ``start`` and
-    ``end`` are its place in the genome, ``seq`` is that of the plus strand with its flanks."""
+    letters changed, five letters lost and seven gained; every third copy is on the minus strand, and the first 110
+    letters of each ``foreign``-th are not the element's.  ``start`` and ``end`` are its place in the genome, ``seq`` is
+    that of the plus strand with its flanks."""
     part = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").cast("long").alias("copy")).agg(F.min_by("l_suppkey", F.struct("l_orderkey", "l_linenumber")).cast("long").alias("name"))
     rows = part.join(planted_elements(spark, sf_dir), "name")
     key = F.concat(F.lit("c"), F.col("copy").cast("string"))
@@ -146,6 +147,8 @@ def planted_copies(spark: SparkSession, sf_dir: str, rate: int = 2) -> DataFrame
         F.substring("seq", F.lit(1), lost.cast("int")), F.substring("seq", (lost + 6).cast("int"), (gained - lost - 5).cast("int")), _letters(F.concat(key, F.lit("g")), 7),
         F.substring("seq", (gained + 1).cast("int"), F.lit(ELEMENT)),
     )
+    if foreign:
+        body = F.when(F.col("copy") % foreign == 0, F.concat(_letters(F.concat(key, F.lit("f")), 110), F.substring(body, 111, ELEMENT))).otherwise(body)
     minus = F.col("copy") % 3 == 0
     body = F.when(minus, F.reverse(F.translate(body, "ACGT", "TGCA"))).otherwise(body)
     slot, block = (F.col("copy") - 1) % 50, COPY + 2 * FLANK
