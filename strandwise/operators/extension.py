@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import alignment as A
-from .clustering import written
 from .intervals import fetch
 from .progressive import align
+from .scratch import written
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scratch import written
+
 
 def normalised(df: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     """Swap ends that are the wrong way round."""
@@ -119,7 +121,7 @@ def chain_starts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def complement(df: DataFrame, lengths: DataFrame, key: str = "chrom") -> DataFrame:
     """(key, start, end): what the intervals leave free in [0, length); sequences without intervals are free whole."""
-    merged = merge(df, [key]).select(key, "start", "end")
+    merged = written(merge(df, [key]).select(key, "start", "end"))  # read twice
     edge = lengths.select(key, F.col("length").alias("start"), F.col("length").alias("end"))
     gaps = _with_previous(merged.unionByName(edge), [key], "end").withColumn("_before", F.coalesce("_before", F.lit(0)))
     return gaps.where(F.col("_before") < F.col("start")).select(key, F.col("_before").alias("start"), F.col("start").alias("end"))
@@ -225,11 +227,14 @@ def longest_weighted(df: DataFrame, keys: list[str], length: str, order: list[st
 def coverage_boundary(depth: DataFrame, key: str = "query", window: int = 20, mass: int = 100, least: int = 5) -> DataFrame:
     """(key, start, end): from positions (key, pos, depth): the first full window whose depths add up to more than
     ``mass``, then the first position in it of depth ``least``; the same from the right, with an exclusive end."""
-    w = Window.partitionBy(key).orderBy("pos")
+    # a bin's positions and those beside it that its windows reach, so a long key is not sorted by one task
+    reach = F.array(F.floor((F.col("pos") - window + 1) / BIN), F.floor(F.col("pos") / BIN), F.floor((F.col("pos") + window - 1) / BIN))
+    near = depth.select(key, "pos", "depth", F.explode(F.array_distinct(reach)).alias("_bin"))
+    w = Window.partitionBy(key, "_bin").orderBy("pos")
     ahead, behind = w.rowsBetween(0, window - 1), w.rowsBetween(-(window - 1), 0)
-    rows = depth.withColumns(
+    rows = near.withColumns(
         {"_a": F.sum("depth").over(ahead), "_na": F.count("*").over(ahead), "_b": F.sum("depth").over(behind), "_nb": F.count("*").over(behind)}
-    )
+    ).where(F.col("_bin") == F.floor(F.col("pos") / BIN))
     edges = rows.groupBy(key).agg(
         F.min(F.when((F.col("_na") == window) & (F.col("_a") > mass), F.col("pos"))).alias("_first"),
         F.max(F.when((F.col("_nb") == window) & (F.col("_b") > mass), F.col("pos"))).alias("_last"),
@@ -245,8 +250,10 @@ def refine_boundary(depth: DataFrame, boundary: DataFrame, key: str = "query", r
     """Move each bound inward to the first jump of depth by ``step`` times (depths of 0 count as 1) within reach."""
     w = Window.partitionBy(key).orderBy("pos")
     floor = F.greatest(F.lit(1), F.col("depth"))
-    rows = depth.withColumns({"_up": floor / F.greatest(F.lit(1), F.lag("depth").over(w)), "_down": floor / F.greatest(F.lit(1), F.lead("depth").over(w))})
-    met = rows.join(boundary, key)
+    # only what lies within reach of a bound is looked at
+    near = F.col("pos").between(F.col("start") - 1, F.col("start") + reach_start + 1) | F.col("pos").between(F.col("end") - reach_end - 2, F.col("end"))
+    rows = depth.join(boundary, key).where(near | F.col("start").isNull() | F.col("end").isNull())
+    met = rows.withColumns({"_up": floor / F.greatest(F.lit(1), F.lag("depth").over(w)), "_down": floor / F.greatest(F.lit(1), F.lead("depth").over(w))})
     moved = met.groupBy(key, "start", "end").agg(
         F.min(F.when((F.col("pos") > F.col("start")) & (F.col("pos") <= F.col("start") + reach_start) & (F.col("_up") >= step), F.col("pos"))).alias("_s"),
         F.max(F.when((F.col("pos") < F.col("end") - 1) & (F.col("pos") >= F.col("end") - 1 - reach_end) & (F.col("_down") >= step), F.col("pos") + 1)).alias("_e"),
@@ -273,5 +280,4 @@ def low_coverage_runs(depth: DataFrame, key: str = "query", quantile: float = 0.
     """(key, start, end): runs of successive positions whose depth is under the quantile of their key."""
     cut = depth.groupBy(key).agg(F.percentile("depth", F.lit(quantile)).alias("_cut"))
     low = depth.join(cut, key).where(F.col("depth") < F.col("_cut"))
-    w = Window.partitionBy(key).orderBy("pos")
-    return low.withColumn("_run", F.col("pos") - F.row_number().over(w)).groupBy(key, "_run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")).drop("_run")
+    return merge(low.select(key, F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")), [key]).drop("n")

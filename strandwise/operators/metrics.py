@@ -25,11 +25,15 @@ def _scores(counts: DataFrame) -> DataFrame:
 def confusion(cross: DataFrame, free: str = "Not-TE") -> DataFrame:
     """(class, tp, fp, fn, tn, metrics) from (query, reference, length) for each class that the query track has.  True
     negatives are bases where neither side is the class; empty denominators give 0, so the FDR is then 1."""
-    classes = F.broadcast(cross.where(F.col("query") != free).select(F.col("query").alias("class")).distinct())
-    q, r = F.col("query") == F.col("class"), F.col("reference") == F.col("class")
-    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("length"))), F.lit(0))
-    counts = cross.crossJoin(classes).groupBy("class").agg(total(q & r).alias("tp"), total(q & ~r).alias("fp"), total(~q & r).alias("fn"), total(~q & ~r).alias("tn"))
-    return _scores(counts)
+    # each row counts for its two classes; what neither side is is left of the whole
+    both = F.array(
+        F.struct(F.col("query").alias("class"), F.col("length").alias("q"), F.lit(0).cast("long").alias("r"), F.when(F.col("query") == F.col("reference"), F.col("length")).otherwise(0).alias("tp"), F.lit(1).alias("own")),
+        F.struct(F.col("reference").alias("class"), F.lit(0).cast("long").alias("q"), F.col("length").alias("r"), F.lit(0).cast("long").alias("tp"), F.lit(0).alias("own")),
+    )
+    sums = cross.select(F.inline(both)).groupBy("class").agg(F.sum("q").alias("q"), F.sum("r").alias("r"), F.sum("tp").alias("tp"), F.max("own").alias("own"))
+    whole = Window.partitionBy(F.lit(1)).orderBy("class").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = sums.withColumn("all", F.sum("q").over(whole)).where((F.col("own") == 1) & (F.col("class") != free))
+    return _scores(rows.select("class", "tp", (F.col("q") - F.col("tp")).alias("fp"), (F.col("r") - F.col("tp")).alias("fn"), (F.col("all") - F.col("q") - F.col("r") + F.col("tp")).alias("tn")))
 
 
 def confusion_all(cross: DataFrame, free: str = "Not-TE", name: str = "All-TE") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import alignment as A
 from ..operators import clustering as L
@@ -11,23 +12,28 @@ from ..operators import curation as U
 from ..operators import intervals as I
 from ..operators import metrics as M
 from ..operators import ranking as R
+from ..operators.scratch import written
 
 
 def benchmark_annotations(query: DataFrame, reference: DataFrame, lengths: DataFrame) -> dict[str, DataFrame]:
     """Compare two annotation tracks (chrom, start, end, type): bases by class pair, metrics by class and for all classes
     together, the cross-tab's flow totals."""
-    cross = I.cross_lengths(resolved(query), resolved(reference), lengths)
+    cross = written(I.cross_lengths(resolved(query), resolved(reference), lengths))  # read three times
     return {"lengths": cross, "metrics": M.confusion(cross).unionByName(M.confusion_all(cross)), "flow": M.flow_totals(cross)}
 
 
 def resolved(track: DataFrame) -> DataFrame:
     """A track without overlaps: islands of one class are merged, in mixed ones contained intervals go and the others
     begin behind the one before them."""
-    islands = I.merge_collect(track, ["chrom"]).withColumnsRenamed({"start": "_s", "end": "_e"})
-    plain = islands.where(F.size("distinct_types") == 1).select("chrom", F.col("_s").alias("start"), F.col("_e").alias("end"), F.get("types", F.lit(0)).alias("type"))
-    mixed = islands.where(F.size("distinct_types") > 1).select("chrom", F.col("_s").alias("_island"), F.explode(F.arrays_zip("starts", "ends", "types")).alias("x"))
-    rows = mixed.select("chrom", "_island", F.col("x.starts").alias("start"), F.col("x.ends").alias("end"), F.col("x.types").alias("type"))
-    chained = I.chain_starts(I.drop_contained(rows, ["chrom", "_island"]), ["chrom", "_island"])
+    # what an island holds is summed up by bins, so no row and no task holds all of an island
+    rows = written(I.islands(track.select("chrom", "start", "end", "type"), ["chrom"]).withColumn("_bin", F.floor(F.col("start") / I.BIN)))
+    facts = rows.groupBy("chrom", "island", "_bin").agg(F.min(F.struct("type")).alias("_a"), F.max(F.struct("type")).alias("_b"), F.max("end").alias("_e"))
+    whole = Window.partitionBy("chrom", "island")
+    facts = written(facts.withColumns({"_a": F.min("_a").over(whole), "_b": F.max("_b").over(whole), "_e": F.max("_e").over(whole)}))
+    plain = facts.where(F.col("_a").eqNullSafe(F.col("_b"))).select("chrom", F.col("island").alias("start"), F.col("_e").alias("end"), "_a.type").distinct()
+    mixed = rows.join(facts.where(~F.col("_a").eqNullSafe(F.col("_b"))).select("chrom", "island", "_bin"), ["chrom", "island", "_bin"])
+    mixed = mixed.select("chrom", F.col("island").alias("_island"), "start", "end", "type")
+    chained = I.chain_starts(I.drop_contained(mixed, ["chrom", "_island"]), ["chrom", "_island"])
     return plain.unionByName(chained.where("start < end").select("chrom", "start", "end", "type"))
 
 

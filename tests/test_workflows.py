@@ -101,3 +101,55 @@ def test_library_and_folders(spark):
     assert {r.name for r in W.merge_library(members, second).collect()} == {2, 3}
     got = {r.cluster: (r["rank"], r.folder) for r in W.curation_clusters(members, F.col("length") / 100).collect()}
     assert got == {2: (1, "Cluster1_Need_check_DNA_9.00%"), 1: (2, "Cluster2_Perfect_LTR_5.00%")}
+
+
+def test_one_island_of_many_intervals_is_resolved(spark, monkeypatch):
+    """An island over many bins against the rule worked out in order."""
+    rng = random.Random(12)
+    monkeypatch.setattr(W.I, "BIN", 64)
+    rows = [(s, s + rng.randint(2, 30), rng.choice("ABC")) for s in (rng.randrange(4000) for _ in range(1500))] + [(9000, 9010, "A"), (9005, 9020, "A"), (9500, 9510, None)]
+    got = sorted((r.start, r.end, r.type) for r in W.resolved(spark.createDataFrame([("c", *r) for r in rows], "chrom string, start long, end long, type string")).collect() if r.type)
+    islands, want = [], [(9000, 9020, "A")]
+    for r in sorted(r for r in rows if r[2]):
+        if islands and r[0] <= max(x[1] for x in islands[-1]):
+            islands[-1].append(r)
+        else:
+            islands.append([r])
+    for island in (i for i in islands if i[0][0] < 9000):
+        if len({t for _, _, t in island}) == 1:
+            want.append((island[0][0], max(x[1] for x in island), island[0][2]))
+            continue
+        free = [r for i, r in enumerate(island) if not any(j != i and o[0] <= r[0] and r[1] <= o[1] for j, o in enumerate(island))]
+        last = None
+        for s, e, t in free:
+            start = s if last is None else last + 1
+            if start < e:
+                want.append((start, e, t))
+            last = e
+    assert got == sorted(want)
+
+
+def test_mean_jaccard_without_pairs(spark):
+    from itertools import combinations
+
+    from strandwise.operators import clustering as L
+
+    rng = random.Random(13)
+    rows = [(g, i, rng.choice([None, "", "A", "ACGTN", "acg"]) if rng.random() < 0.2 else dna(rng, rng.randint(1, 9))) for g in range(6) for i in range(rng.randint(0, 60))] + [(9, 1, "ACGT")]
+    sets = lambda s: {s.upper()[i : i + 2] for i in range(len(s) - 1)} if s else set()
+    want = {}
+    for g in range(6):
+        pairs = [len(a & b) / len(a | b) if a and b else 0.0 for a, b in combinations([sets(s) for h, _, s in rows if h == g], 2)]
+        if pairs:
+            want[g] = pytest.approx(sum(pairs) / len(pairs), abs=1e-9)
+    got = L.jaccard_pairs(spark.createDataFrame(rows, "g int, o int, s string"), "g", "o", "s")
+    assert {r.g: r.similarity for r in got.collect()} == want and "Join" not in got._jdf.queryExecution().toString()
+
+
+def test_scratch_tables_go_at_once(spark):
+    from strandwise.operators import scratch
+
+    table = scratch.written(spark.range(3).toDF("id"))
+    assert table.count() == 3 and scratch.run_folder(spark).split(":")[-1].lstrip("/") in table.inputFiles()[0]
+    other = scratch.shared_folder(spark)
+    assert other.startswith(scratch.run_folder(spark)) and other != scratch.shared_folder(spark)
