@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -163,3 +163,26 @@ def word_chunks(data: bytes, step: int = 1 << 18) -> Iterator[list[bytes]]:
             end = cut.start() if cut else n
         yield data[at:end].lower().split()
         at = end
+
+
+def running(values: Column, step: Callable[[Column, Column], Column], first: Column) -> Column:
+    """The results of folding ``step`` over an array up to each of its values, from ``first``.
+
+    A fold whose state is the array of results copies it for each value; here values are folded in some sqrt(n) pieces
+    of some sqrt(n) values, so the copies of n values together are n^1.5.  ``step`` must be associative.
+    """
+
+    def scan(xs: Column, start: Column) -> Column:
+        return F.aggregate(xs, F.array(start), lambda a, x: F.concat(a, F.array(step(F.element_at(a, -1), x))))
+
+    def pieces(xs: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(xs), size), lambda i: F.slice(xs, i, size))
+
+    def spread(parts: Column) -> Column:
+        before = scan(F.transform(parts, lambda p: F.aggregate(p, first, step)), first)
+        each = F.zip_with(parts, F.slice(before, 1, F.size(parts)), lambda p, b: F.slice(scan(p, b), 2, F.size(p)))
+        return F.flatten(each)
+
+    once = lambda x, use: F.transform(F.array(x), use)[0]
+    return F.when(F.size(values) == 0, values).otherwise(once(values, lambda xs: once(pieces(xs), spread)))

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize
+from .common import lower_ascii, materialize, running
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -60,22 +60,16 @@ def mentions(text: Column, pattern: str) -> Column:
     """
 
     def place(parts: Column) -> Column:
-        rows = F.arrays_zip(parts["matches"].alias("m"), parts["pieces"].alias("before"), F.slice(parts["pieces"], 2, F.size(parts["matches"])).alias("after"))
-
-        def step(state: Column, x: Column) -> Column:
-            start = state["at"] + F.char_length(x["before"])
-            end = start + F.char_length(x["m"])
-            found = F.struct(
-                start.alias("start"),
-                end.alias("end"),
-                x["m"].alias("match"),
-                _word(F.substring(x["before"], -_NEAR, _NEAR), f"({_BREAK.replace('[', '[^', 1)}++){_BREAK}*+$", "<").alias("left"),
-                _word(F.substring(x["after"], 1, _NEAR), f"^{_BREAK}*+({_BREAK.replace('[', '[^', 1)}++)", ">").alias("right"),
-            )
-            return F.struct(end.alias("at"), F.concat(state["found"], F.array(found)).alias("found"))
-
-        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_MENTION).alias("found"))
-        return F.aggregate(F.filter(rows, lambda x: x["m"].isNotNull()), start, step)["found"]
+        matches, pieces = parts["matches"], parts["pieces"]
+        ends = running(F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda b, m: (F.char_length(b) + F.char_length(m)).cast("bigint")), lambda a, n: a + n, F.lit(0).cast("bigint"))
+        rows = F.arrays_zip(matches.alias("m"), F.slice(pieces, 1, F.size(matches)).alias("before"), F.slice(pieces, 2, F.size(matches)).alias("after"), ends.alias("end"))
+        return F.transform(rows, lambda x: F.struct(
+            (x["end"] - F.char_length(x["m"])).alias("start"),
+            x["end"].alias("end"),
+            x["m"].alias("match"),
+            _word(F.substring(x["before"], -_NEAR, _NEAR), f"({_BREAK.replace('[', '[^', 1)}++){_BREAK}*+$", "<").alias("left"),
+            _word(F.substring(x["after"], 1, _NEAR), f"^{_BREAK}*+({_BREAK.replace('[', '[^', 1)}++)", ">").alias("right"),
+        ))
 
     return _bind(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("matches")), place)
 
@@ -150,9 +144,21 @@ def base_mentions(docs: DataFrame, with_row: bool = False) -> DataFrame:
 
 def with_other(found: DataFrame) -> DataFrame:
     """(doc_id, key, email, ip, card, phone, other): ``other`` are the candidates that touch no base span."""
-    taken = F.concat(*(F.col(k) for k in KINDS))
-    free = F.filter("all", lambda c: ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return found.select("doc_id", "key", *KINDS, free.alias("other"))
+    none = F.lit(-1).cast("bigint")
+    base = F.concat(*(F.transform(k, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("rank"), b["end"].alias("end"), F.lit(None).alias("c"))) for k in KINDS))
+    every = F.array_sort(F.concat(base, F.transform("all", lambda c: F.struct(c["start"].alias("start"), F.lit(1).alias("rank"), c["end"].alias("end"), c.alias("c")))))
+
+    def apart(rows: Column) -> Column:
+        # in order of starts, a candidate touches a base span if one before it ends behind its start, or the next begins
+        # before its end
+        reach = running(F.transform(rows, lambda x: F.when(x["rank"] == 0, x["end"]).otherwise(none)), lambda a, b: F.greatest(a, b), none)
+        far = F.lit(1 << 60).cast("bigint")
+        ahead = F.reverse(running(F.reverse(F.transform(rows, lambda x: F.when(x["rank"] == 0, x["start"]).otherwise(far))), lambda a, b: F.least(a, b), far))
+        met = F.arrays_zip(rows.alias("x"), reach.alias("reach"), ahead.alias("ahead"))
+        free = F.filter(met, lambda m: (m["x"]["rank"] == 1) & (m["reach"] <= m["x"]["start"]) & (m["ahead"] >= m["x"]["end"]))
+        return F.transform(free, lambda m: m["x"]["c"])
+
+    return found.select("doc_id", "key", *KINDS, _bind(every, apart).alias("other"))
 
 
 def _count_words(docs: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -243,15 +249,26 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     by_start = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("order"), x["end"].alias("end"), x["kind"].alias("kind"))))
     text = F.col("row.text").cast("string")
 
-    def step(state: Column, x: Column) -> Column:
-        gap = F.substring(text, (state["at"] + 1).cast("int"), (x["start"] - state["at"]).cast("int"))
-        apart = x["start"] >= state["at"]
-        return F.struct(
-            F.greatest(state["at"], x["end"]).alias("at"),
-            F.when(apart, F.concat(state["parts"], F.array(gap, F.concat(F.lit("<"), x["kind"], F.lit(">"))))).otherwise(state["parts"]).alias("parts"),
-        )
+    none = F.lit(0).cast("bigint")
+
+    def mask(spans: Column) -> Column:
+        reach = F.concat(F.array(none), running(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b), none))
+        return _bind(reach, lambda at: _bind(first_ones(spans, at), lambda rows: F.concat(before(rows), F.substring(text, (F.element_at(at, -1) + 1).cast("int"), F.char_length(text)))))
+
+    def first_ones(spans: Column, reach: Column) -> Column:
+        return F.filter(F.arrays_zip(spans.alias("x"), F.slice(reach, 1, F.size(spans)).alias("at")), lambda m: m["x"]["start"] >= m["at"])
+
+    def before(rows: Column) -> Column:
+        # a slice of a string is sought from its start, so some sqrt(n) spans share a slice of the text
+        size = F.ceil(F.sqrt(F.size(rows))).cast("int")
+        return F.array_join(F.transform(F.transform(F.sequence(F.lit(1), F.size(rows), size), lambda i: F.slice(rows, i, size)), replaced), "")
+
+    def replaced(part: Column) -> Column:
+        first, last = part[0]["at"], F.element_at(part, -1)["x"]["start"]
+        shared = F.substring(text, (first + 1).cast("int"), (last - first).cast("int"))
+        gap = lambda near, m: F.substring(near, (m["at"] - first + 1).cast("int"), (m["x"]["start"] - m["at"]).cast("int"))
+        return _bind(shared, lambda near: F.array_join(F.transform(part, lambda m: F.concat(gap(near, m), F.lit("<"), m["x"]["kind"], F.lit(">"))), ""))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
-    masked = F.aggregate(by_start, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.char_length(text))))
+    masked = _bind(by_start, mask)
     columns = [F.when(F.size("spans") > 0, masked).otherwise(F.col("row.text")).alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return found.select(*columns)
