@@ -12,7 +12,7 @@ from ..operators import curation as U
 from ..operators import hits as H
 from ..operators import metrics as M
 from ..operators import ranking as R
-from ..sources import readers, writers
+from ..sources import readers, tiled, writers
 from . import ranking_queries as RQ
 from . import views as V
 from . import workflows as W
@@ -74,6 +74,16 @@ def genome_file(spark, sf_dir):
     return readers.lengths_of(genome).join(genome.select("chrom", ambiguous.alias("ambiguous")), "chrom")
 
 
+@query(f"""WITH {_UNGAPPED}, g AS (SELECT 'chr' || msa_id AS chrom, string_agg(replace(seq, 'T', 'N'), '' ORDER BY seq_id) AS seq FROM ungapped GROUP BY 1)
+           SELECT chrom, CAST(length(seq) AS BIGINT) AS length, i AS tile, i * 500 AS first, substr(seq, CAST(i * 500 + 1 AS BIGINT), 500) AS part FROM g, unnest(range(0, (length(seq) + 499) // 500)) AS u(i)""")
+def genome_tiles(spark, sf_dir):
+    """Records of wrapped lines, in tiles."""
+    seq = F.array_join(F.array_sort(F.collect_list(F.struct("seq_id", F.replace(F.col("seq"), F.lit("T"), F.lit("y")).alias("s"))))["s"], "")
+    rows = _ungapped(spark, sf_dir).groupBy("msa_id").agg(seq.alias("seq"))
+    path = _lines(rows, F.concat(F.lit(">chr"), F.col("msa_id").cast("string"), F.lit(" some words\n"), F.regexp_replace("seq", "(.{60})", "$1\n")))
+    return tiled.genome_tiles(spark, path, tile=500)
+
+
 @query(f"WITH {V.HITS}, {V.CHROM_LEN} SELECT chrom, length FROM chrom_len")
 def length_file(spark, sf_dir):
     path = L.shared_folder(spark)

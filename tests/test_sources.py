@@ -115,3 +115,33 @@ def test_folders_and_coverage(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "grades").glob("eval*")) == ["evaluation=Good", "evaluation=Perfect"]
     cells = spark.createDataFrame([(1, 3, 9, 2, 7), (1, 3, 9, 1, 5)], "q int, start int, end int, pos int, depth int")
     assert cells.groupBy("q").agg(W.coverage_struct().alias("c")).first().c.coverage == [5, 7]
+
+
+def test_a_record_over_many_splits(spark, tmp_path):
+    """One record of many lines is read by many tasks; records, tiles and blank lines are what the other reader sees."""
+    import random
+
+    from strandwise.sources import tiled
+
+    rng = random.Random(3)
+    seqs = {"long one": "".join(rng.choice("ACGTN") for _ in range(300_000)), "empty": "", "short x": "ACG", "odd": "AC G\tT", "last": "".join(rng.choice("acgt") for _ in range(1001))}
+    lines = ["skipped before the first header"]
+    for name, s in seqs.items():
+        lines += [f">{name}", *(s[i : i + 60] for i in range(0, len(s), 60)), ""]
+    path = put(tmp_path, "big.fa", "\n".join(lines))
+    put(tmp_path, "other.fa", ">second file\nTTT\nA\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 20
+        got = tiled.fasta_tiles(spark, path.rsplit("/", 1)[0], tile=1000).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    parts = {}
+    for r in sorted(got, key=lambda r: (r.file, r.record, r.tile)):
+        parts.setdefault((r.file.rsplit("/", 1)[1], r.record, r.header, r.length), []).append(r)
+    want = {("big.fa", i, n, len(s.replace(" ", "").replace("\t", ""))): s.replace(" ", "").replace("\t", "") for i, (n, s) in enumerate(seqs.items())} | {("other.fa", 0, "second file", 4): "TTTA"}
+    assert {k: "".join(r.part for r in rows) for k, rows in parts.items()} == want
+    assert all(r.first == 1000 * r.tile == 1000 * i and (len(r.part) == 1000 or r is rows[-1]) for rows in parts.values() for i, r in enumerate(rows))
