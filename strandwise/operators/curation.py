@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -117,20 +120,31 @@ def summary_rows(elements: DataFrame, consensus: DataFrame) -> DataFrame:
     return met.select(*(F.coalesce(F.col(c).cast("string"), F.lit("NaN")).alias(c) for c in met.columns))
 
 
+def first_tracks(starts: list[int], ends: list[int], gap: int) -> list[int]:
+    """Tracks of features in order of their starts: the first whose last end plus ``gap`` is before the start.  As starts
+    grow, a track that is free stays so until it is taken: two heaps, of taken tracks by end and of free ones by number."""
+    taken, free, out = [], [], []
+    for start, end in zip(starts, ends, strict=True):
+        while taken and taken[0][0] + gap < start:
+            heapq.heappush(free, heapq.heappop(taken)[1])
+        track = heapq.heappop(free) if free else len(taken)
+        heapq.heappush(taken, (end, track))
+        out.append(track)
+    return out
+
+
 def pack_tracks(features: DataFrame, key: str = "name", gap: int = 200) -> DataFrame:
-    """Adds ``track``: features, by start, go to the first track whose last end plus ``gap`` is before their start.  A
-    fold over each sequence's own features, whose number its length bounds."""
-    ordered = F.array_sort(F.collect_list(F.struct("start", "end", "feature")))
-
-    def place(state: Column, x: Column) -> Column:
-        free = F.array_position(F.transform(state["ends"], lambda e: e + gap < x["start"]), F.lit(True)).cast("int")
-        track = F.when(free > 0, free - 1).otherwise(F.size(state["ends"]))
-        ends = F.when(free > 0, F.transform(state["ends"], lambda e, i: F.when(i == track, x["end"]).otherwise(e))).otherwise(F.concat(state["ends"], F.array(x["end"])))
-        return F.struct(ends.alias("ends"), F.concat(state["out"], F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["feature"].alias("feature"), track.alias("track")))).alias("out"))
-
-    grouped = features.groupBy(key).agg(ordered.alias("f"))
-    zero = F.struct(F.array().cast("array<bigint>").alias("ends"), F.array().cast("array<struct<start:bigint,end:bigint,feature:string,track:int>>").alias("out"))
-    return grouped.select(key, F.inline(F.aggregate("f", zero, place)["out"]))
+    """Adds ``track`` to (key, start, end, feature): features, by start, end and feature, go to the first track whose last
+    end plus ``gap`` is before their start.  A sequence's own features, whose number its length bounds, are one group.
+    Rows with a null start or end are left out."""
+    kinds = {f.name: f.dataType.simpleString() for f in features.schema.fields}
+    rows = features.where("start is not null and end is not null").select(key, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "feature")
+
+    def kernel(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["start", "end", "feature"])
+        return part.assign(track=first_tracks(part["start"].tolist(), part["end"].tolist(), gap))
+
+    return rows.groupBy(key).applyInPandas(kernel, f"`{key}` {kinds[key]}, start long, end long, feature {kinds['feature']}, track int")
 
 
 def genome_shares(covered: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -298,7 +298,7 @@ def greedy_clusters_approximate(spark, sf_dir):
 def local_alignment_stats(spark, sf_dir):
     msa = V.msa(spark, sf_dir)
     firsts = msa.groupBy("msa_id").agg(F.min_by("seq", "seq_id").alias("first"))
-    return msa.join(F.broadcast(firsts), "msa_id").select("seq_id", S.local_alignment(F.col("seq"), F.col("first")).alias("x")).select("seq_id", "x.*")
+    return msa.join(firsts, "msa_id").select("seq_id", S.local_alignment(F.col("seq"), F.col("first")).alias("x")).select("seq_id", "x.*")
 
 
 @query()

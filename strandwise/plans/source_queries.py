@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..operators import alignment as A
 from ..operators import clustering as L
 from ..operators import curation as U
 from ..operators import hits as H
@@ -309,10 +310,10 @@ def ordered_union(spark, sf_dir):
     return R.ordered_union([a, b], "value", "hit_id")
 
 
-@query(f"""WITH {V.HITS}, n AS (SELECT chrom, start, "end", hit_id, row_number() OVER (ORDER BY chrom, start, "end", hit_id) - 1 AS place FROM hits) SELECT * FROM n WHERE place % 100 = 0""")
+@query(f"""WITH {V.HITS}, n AS (SELECT chrom, start, "end", hit_id, row_number() OVER (ORDER BY chrom, start, "end", hit_id) - 1 AS place FROM hits) SELECT * FROM n""")
 def genome_order(spark, sf_dir):
-    """Intervals in genome order: each hundredth with its place."""
-    return R.placed(V.hits(spark, sf_dir).select("chrom", "start", "end", "hit_id"), "chrom", ["start", "end", "hit_id"]).where("place % 100 = 0")
+    """Intervals with their places in genome order."""
+    return R.placed(V.hits(spark, sf_dir).select("chrom", "start", "end", "hit_id"), "chrom", ["start", "end", "hit_id"])
 
 
 @query("""SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp, CAST(floor(value) AS BIGINT) // 3600 || ':' || lpad(CAST(CAST(floor(value) AS BIGINT) // 60 % 60 AS VARCHAR), 2, '0') || ':' ||
@@ -324,9 +325,6 @@ def run_stamps(spark, sf_dir):
 
 @query()
 def principal_components(spark, sf_dir):
-    """Two coordinates for each row of the first alignments, from its distances to the others."""
-    msa = V.msa(spark, sf_dir).where("msa_id = 0")
-    from ..operators import alignment as A
-
-    pairs = L.k2p(A.cells(msa)).where("d IS NOT NULL")
-    return L.principal_components(msa.select(F.col("seq_id").alias("id")), pairs.select("a", "b", "d"))
+    """Two coordinates for each row of each alignment, from its distances to the others."""
+    msa = V.msa(spark, sf_dir)
+    return L.principal_components(msa.select("msa_id", F.col("seq_id").alias("id")), L.k2p(A.cells(msa)).where("d IS NOT NULL"), key="msa_id")

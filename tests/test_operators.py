@@ -208,6 +208,23 @@ def test_principal_components(spark):
     assert np.allclose(np.array([got[i] for i in range(12)]), table @ axes)
 
 
+def test_principal_components_of_many_tables(spark):
+    rng = random.Random(4)
+    sizes = {"p": 7, "q": 3, "r": 1}
+    tables = {m: np.array([[0.0] * n for _ in range(n)]) for m, n in sizes.items()}
+    pairs = [(m, i, j, rng.random()) for m, n in sizes.items() for i in range(n) for j in range(i + 1, n)] + [("absent", 1, 2, 1.0)]
+    for m, i, j, d in pairs[:-1]:
+        tables[m][i, j] = tables[m][j, i] = d
+    nodes = spark.createDataFrame([(m, i) for m, n in sizes.items() for i in range(n)], "m string, id int")
+    got = {(r.m, r.id): r.components for r in L.principal_components(nodes, spark.createDataFrame(pairs, "m string, a int, b int, d double"), key="m").collect()}
+    assert len(got) == 11 and got["r", 0] == [0.0, 0.0]
+    for m in "pq":
+        values, axes = np.linalg.eigh(np.cov(tables[m].T))
+        axes = axes[:, np.argsort(-values)[:2]]
+        axes *= np.where(axes.max(0) >= -axes.min(0), 1, -1)
+        assert np.allclose([got[m, i] for i in range(sizes[m])], tables[m] @ axes)
+
+
 def test_intermediate_tables_need_a_shared_folder_off_one_machine(spark, monkeypatch):
     class Elsewhere:
         sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "x"})
