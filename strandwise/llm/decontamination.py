@@ -47,23 +47,26 @@ def _equal_words(doc: Column, at: Column, item: Column, start: Column) -> Column
     return sums[0]
 
 
-def overlaps(docs: DataFrame, items: DataFrame, piece: int = 4096, broadcast_rows: int = 1 << 20) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, piece: int = 4096, broadcast_rows: int = 1 << 20, shortest: int = 5) -> DataFrame:
     """(doc_id, item_id, matched, first_word) for every pair of a document and a test item that align with at least
     11 equal words in some 13 successive positions; ``matched`` is the most found, ``first_word`` the earliest seed.
+    An item of ``shortest`` to 10 words must occur whole; ``matched`` is then its number of words.  Shorter ones are
+    everyday phrases, which overlap with nothing.
 
     docs needs doc_id and text, items item_id and text; other columns are ignored.  Words are compared in
     lower case and by their letters and digits only.  Null, empty and shorter texts overlap with nothing; rows with a null id are left out; repeated rows
     count as one; empty tables give no rows.  Texts are cut into pieces of ``piece`` seed starts with a margin, so a
     very long one is never one array of seeds.
 
-    Test seeds are broadcast up to ``broadcast_rows``; seeds of a larger test set are joined by a shuffle on their hash,
-    without their texts, and only pieces with a hit are fetched and compared.
+    Test seeds are broadcast up to ``broadcast_rows``; seeds of a larger test set are joined by a shuffle on their hash.
+    Hits are places only; those of one piece, item and diagonal become one row before the words are attached, so text and
+    item of repeated words, where every place hits every other, meet once a diagonal.
     """
-    tests = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), plain_words(F.col("text").cast("string")).alias("item"))
-    tests = tests.where(F.size("item") > min(m[-1] for m in MASKS))  # the others have no seed
+    named = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), plain_words(F.col("text").cast("string")).alias("item"))
+    tests = named.where(F.size("item") > min(m[-1] for m in MASKS))  # the others have no seed
     starts = tests.select("item_id", F.posexplode(_seeds(F.col("item"), F.size("item"))).alias("item_at", "seed"))
     known = starts.select("item_id", "item_at", F.explode(_hashes("seed")).alias("hash")).where("hash is not null").distinct()
-    small = known.count() <= broadcast_rows
+    hint = F.broadcast if known.count() <= broadcast_rows else (lambda df: df)
 
     text = F.col("text").cast("string")
     words = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), plain_words(text).alias("words"))
@@ -71,19 +74,29 @@ def overlaps(docs: DataFrame, items: DataFrame, piece: int = 4096, broadcast_row
     # a piece starts with the margin before its first seed start
     first = F.greatest(F.lit(0), F.col("from") - _BEFORE)
     cut = cut.select("doc_id", "key", "from", first.alias("first"), F.slice("words", first + 1, F.col("from") - first + piece + WINDOW).alias("piece"))
-    seeds = cut.select("doc_id", "key", "from", "first", "piece", F.posexplode(_seeds(F.col("piece"), F.lit(piece + WINDOW + _BEFORE))).alias("at", "seed"))
+    seeds = cut.select("doc_id", "key", "from", "first", F.posexplode(_seeds(F.col("piece"), F.lit(piece + WINDOW + _BEFORE))).alias("at", "seed"))
     inside = (F.col("first") + F.col("at") >= F.col("from")) & (F.col("first") + F.col("at") < F.col("from") + piece)
-    seeds = seeds.where(inside).select("doc_id", "key", "from", "first", "piece", "at", F.explode(_hashes("seed")).alias("hash"))
-    if small:
-        hits = seeds.join(F.broadcast(known), "hash").join(F.broadcast(tests), "item_id")
-    else:
-        met = seeds.select("doc_id", "key", "from", "at", "hash").join(known, "hash").drop("hash").distinct()
-        hits = met.join(tests, "item_id").join(cut.distinct(), ["doc_id", "key", "from"])
-    checked = hits.select(
-        "doc_id", "item_id", (F.col("first") + F.col("at")).alias("word"), _equal_words(F.col("piece"), F.col("at"), F.col("item"), F.col("item_at")).alias("matched")
-    )
-    found = checked.where(F.col("matched") >= MATCHES).groupBy("doc_id", "item_id")
-    return found.agg(F.max("matched").alias("matched"), F.min("word").alias("first_word"))
+    seeds = seeds.where(inside).select("doc_id", "key", "from", "at", F.explode(_hashes("seed")).alias("hash"))
+    met = seeds.join(hint(known), "hash").groupBy("doc_id", "key", "from", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+    hits = materialize(met.agg(F.array_sort(F.collect_set("at")).alias("ats")), "hits")
+    few = F.broadcast if (hits.agg(F.sum(F.size("ats"))).first()[0] or 0) <= broadcast_rows else (lambda df: df)
+    near = cut.join(few(hits), ["doc_id", "key", "from"]).join(tests, "item_id")
+    each = F.transform("ats", lambda at: F.struct(_equal_words(F.col("piece"), at, F.col("item"), at - F.col("shift")).alias("matched"), (F.col("first") + at).alias("word")))
+    checked = near.select("doc_id", "item_id", F.inline(each)).where(F.col("matched") >= MATCHES)
+    found = checked.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.min("word").alias("first_word"))
+
+    whole = named.where(F.size("item").between(shortest, MATCHES - 1))
+    sizes = sorted(r[0] for r in whole.select(F.size("item")).distinct().collect())  # at most six
+    if not sizes:
+        return found
+    spelt = whole.select("item_id", F.array_join("item", " ").alias("run")).distinct()
+    runs = F.array(*(F.when(F.size(F.slice("piece", F.col("at") + 1, n)) == n, F.array_join(F.slice("piece", F.col("at") + 1, n), " ")) for n in sizes))
+    places = cut.select("doc_id", "from", "first", "piece", F.explode(F.sequence(F.lit(0), F.lit(piece - 1))).alias("_at"))
+    places = places.withColumn("at", F.col("from") - F.col("first") + F.col("_at")).where(F.col("at") < F.size("piece"))
+    met = places.select("doc_id", (F.col("first") + F.col("at")).alias("word"), F.explode(runs).alias("run")).where("run is not null")
+    exact = met.join(F.broadcast(spelt) if spelt.count() <= broadcast_rows else spelt, "run").groupBy("doc_id", "item_id")
+    exact = exact.agg(F.max(F.size(F.split("run", " "))).alias("matched"), F.min("word").alias("first_word"))
+    return found.unionByName(exact)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, broadcast_rows: int = 1 << 20) -> DataFrame:

@@ -126,6 +126,10 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, item_id, CAST(max(matched) AS INTEGER) AS matched, CAST(min(p) - 1 AS INTEGER) AS first_word
         FROM checked WHERE matched >= 11 GROUP BY doc_id, item_id
+        UNION ALL
+        SELECT s.id, i.id, CAST(len(i.w) AS INTEGER), CAST(min(s.p) - 1 AS INTEGER)
+        FROM starts s JOIN words i ON s.kind = 'd' AND i.kind = 'i' AND len(i.w) BETWEEN 5 AND 10 AND s.w[s.p : s.p + len(i.w) - 1] = i.w
+        GROUP BY s.id, i.id, len(i.w)
     """,
     "op6_pfair_mixing": """
         WITH RECURSIVE mass AS (SELECT coalesce(source, '') AS source, sqrt(count(*)) AS mass FROM documents GROUP BY 1),

@@ -30,6 +30,17 @@ def brute(docs, items):
     return found
 
 
+def short(docs, items):
+    """Items of five to ten words that occur whole."""
+    found = {}
+    for (i, a), (k, b) in itertools.product(docs, items):
+        a_, b_ = words(a), words(b)
+        at = [p for p in range(len(a_)) if a_[p : p + len(b_)] == b_]
+        if i is not None and k is not None and 5 <= len(b_) <= 10 and at:
+            found[i, k] = (len(b_), min(at[0], found.get((i, k), (0, 1 << 30))[1]))
+    return found
+
+
 def cases():
     rng = random.Random(11)
     vocab = ["wé%d" % i for i in range(300)]
@@ -73,3 +84,19 @@ def test_main_path_is_native(spark):
     frame = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     plan = dec.decontaminate(*frame)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_short_items_must_occur_whole(spark):
+    items = [(1, "What is the capital of France?"), (2, "one two three four"), (3, "a b c d e"), (4, "w " * 10), (4, "q w e r t y"), (5, "one Two, three! four five six seven eight nine ten")]
+    docs = [(1, "so: what is the capital of france"), (2, "what is the capital in france"), (3, "one two three four five six seven eight nine ten eleven"), (4, "x a b c d e a b c d e"), (5, None), (6, "w " * 40)]
+    docs += [(7, "z " * 30 + "q w e r t y"), (None, "a b c d e"), (8, "what is the capital of"), (8, "of france what is the capital of france what")]
+    frame = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in docs], DOCS), spark.createDataFrame([(i, t, 3) for i, t in items], ITEMS)
+    for options in ({}, {"piece": 3}, {"piece": 7, "broadcast_rows": 0}):
+        got = {(r.doc_id, r.item_id): (r.matched, r.first_word) for r in dec.overlaps(*frame, **options).collect()}
+        assert got == short(docs, items) and (1, 1) in got and (6, 4) in got, options
+
+
+def test_repeated_words_meet_once_a_diagonal(spark):
+    docs, items = [(1, "the " * 3000), (2, "of " * 50 + "the " * 10)], [(1, "the " * 100), (2, "of " * 9 + "the " * 9)]
+    frame = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in docs], DOCS), spark.createDataFrame([(i, t, 3) for i, t in items], ITEMS)
+    assert {(r.doc_id, r.item_id): r.matched for r in dec.overlaps(*frame).collect()} == {(1, 1): 13, (2, 2): 13}
