@@ -45,7 +45,7 @@ def cluster_alignment(msa: DataFrame, eps: float = 0.1, least: int = 3, largest:
     clean = A.keep_columns(A.mask_rare(parts, counts, 0.01), A.gap_filter(counts, 0.85))
     node = F.struct("msa_id", F.col("seq_id"))
     nodes = msa.select(node.alias("id"))
-    pairs = L.k2p(clean).select(F.struct("msa_id", F.col("a").alias("seq_id")).alias("a"), F.struct("msa_id", F.col("b").alias("seq_id")).alias("b"), "d")
+    pairs = L.k2p(clean, most=eps).select(F.struct("msa_id", F.col("a").alias("seq_id")).alias("a"), F.struct("msa_id", F.col("b").alias("seq_id")).alias("b"), "d")
     ids = nodes.select(F.xxhash64("id").alias("id"), F.col("id").alias("key"))
     labels = L.dbscan(ids.select("id"), pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"), "d"), eps, least)
     named = ids.join(labels, "id").select("key.msa_id", "key.seq_id", "label")
