@@ -76,6 +76,22 @@ def test_progressive_beats_the_star_on_families_with_gaps():
     assert P.align_progressive([]) == [] and P.align_progressive(["acgt"]) == ["acgt"] and P.align_progressive(["a", "a"]) == ["a", "a"]
 
 
+def test_groups_aligned_together_are_as_alone():
+    """In narrow bands, which are widened where they could miss the best alignment, and with many pairs at once."""
+    rng = random.Random(8)
+    code = lambda s: P._CODE[np.frombuffer(s.encode(), np.uint8)][None, :]
+    pairs = []
+    for _ in range(60):
+        a = dna(rng, rng.randint(1, 60))
+        k = rng.randint(0, len(a))
+        pairs.append((code(a), code(dna(rng, rng.randint(1, 60)) if rng.random() < 0.4 else a[k:] + dna(rng, 20) + a[:k])))
+    whole = [P.align_all_profiles([p], band=100)[0] for p in pairs]
+    for (left, right), (x, y) in zip(P.align_all_profiles(pairs, band=1), whole, strict=True):
+        assert left.tolist() == x.tolist() and right.tolist() == y.tolist()
+    groups = [family(rng, rng.randint(1, 9), size=rng.randint(20, 90)) for _ in range(30)]
+    assert P.align_many(groups) == [P.align_progressive(g) for g in groups]
+
+
 def test_guide_tree_joins_the_nearest_first():
     d = np.array([[0, 5, 1, 5], [5, 0, 5, 2], [1, 5, 0, 5], [5, 2, 5, 0]], float)
     assert P.guide_tree(d) == [(0, 2), (1, 3), (4, 5)]
