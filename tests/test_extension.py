@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandwise.operators import alignment as A
 from strandwise.operators import extension as E
 from strandwise.operators import progressive as P
 from strandwise.operators.search import centre_star
@@ -92,6 +93,36 @@ def test_groups_aligned_together_are_as_alone():
     assert P.align_many(groups) == [P.align_progressive(g) for g in groups]
 
 
+def test_alignments_are_judged_as_by_the_operators(spark):
+    """What is worked out over the letters of an alignment, against the operators over its cells."""
+    rng = random.Random(9)
+    limits = E.Limits(crop_window=20, window=20, buffer=15, columns=25)
+    rows = []
+    for g in range(40):
+        aligned = P.align_progressive(family(rng, rng.randint(4, 12), size=rng.randint(15, 120), rate=rng.choice([0.05, 0.2, 0.6]))) if g else ["acgtn" * 30] * 6
+        rows += [(f"m{g:02d}", i, "-" * (k := rng.choice([0, 0, len(s) // 3, len(s) - 2])) + s[k:]) for i, s in enumerate(aligned)]
+    msa = spark.createDataFrame(rows, "msa_id string, seq_id int, seq string").cache()
+    parts = A.cells(msa)
+    masked = A.mask_rare(parts, A.column_counts(parts), limits.rare)
+    kept = A.gap_filter(A.column_counts(masked), limits.gap, limits.check, limits.similarity, limits.least)
+    kept = kept.join(A.usable(kept, limits.columns).where("usable").select("msa_id"), "msa_id")
+    cells = A.keep_columns(masked, kept)
+    crop = A.crop_gaps(cells, limits.crop_gap, limits.crop_window)
+    bounds = A.consensus_boundary(A.column_counts(A.apply_crop(cells, crop)), limits.window, limits.ambiguous, limits.threshold, limits.least, limits.buffer)
+    old = {}
+    for r in kept.collect():
+        old.setdefault(r.msa_id, {})[r.new_col] = r.old_col
+    seqs = {(m, i): s for m, i, s in rows}
+    around, want = {r.msa_id: r for r in bounds.collect()}, {}
+    for r in crop.collect():
+        b, size = around[r.msa_id], len(old[r.msa_id])
+        low, high = (0, 0) if b.stop else (old[r.msa_id][b.start], old[r.msa_id][b.end - 1] + 1)
+        letters = [sum(c != "-" for c in seqs[r.msa_id, r.seq_id][:k]) for k in (low, high)]
+        want[r.msa_id, r.seq_id] = (size - (r.end - r.start) <= limits.large * size, b.extend_left, b.extend_right, b.stop, 0 if b.stop else b.end - b.start, *letters)
+    got = {(r[0], r[1]): tuple(r[2:]) for r in E._judged(msa, limits, limits.window, limits.ambiguous, limits.buffer).collect()}
+    assert got == want and 5 < len(around) < 40 and {x[3] for x in want.values()} == {x[0] for x in want.values()} == {True, False}
+
+
 def test_guide_tree_joins_the_nearest_first():
     d = np.array([[0, 5, 1, 5], [5, 0, 5, 2], [1, 5, 0, 5], [5, 2, 5, 0]], float)
     assert P.guide_tree(d) == [(0, 2), (1, 3), (4, 5)]
