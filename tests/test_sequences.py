@@ -151,3 +151,10 @@ def test_final_class_and_numbers(spark):
     rows = spark.createDataFrame([("LTR", "DNA", "(12)"), (None, "DNA", "7"), ("Unknown", "DNA", "x"), ("NaN", "DNA", "")], "n string, i string, p string")
     got = rows.select(S.final_class(F.col("n"), F.col("i")).alias("c"), S.plain_int(F.col("p")).alias("p")).collect()
     assert [(r.c, r.p) for r in got] == [("LTR", 12), ("DNA", 7), ("DNA", None), ("DNA", None)]
+
+
+def test_local_alignments_together_are_as_alone():
+    """Pairs of unlike lengths that advance together, empty ones among them."""
+    rng = random.Random(4)
+    pairs = [tuple("".join(rng.choice("ACGT-") for _ in range(rng.choice([0, 1, 5, 30, 64]))) for _ in range(2)) for _ in range(120)]
+    assert S.align_local_all(pairs, cells=300) == [S.align_local(a, b) for a, b in pairs]
