@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scratch import dealt
+
 
 def to_bed(hits: DataFrame, zero_based: bool = False, order: list[str] | None = None) -> DataFrame:
     """Hit intervals on the subject: start and end by strand, ``hit_id`` a running number in ``order`` for each query.
@@ -59,11 +61,13 @@ def first_of(df: DataFrame, keys: list[str | Column], order: list[str]) -> DataF
 
 def down_sample(hits: DataFrame, keys: list[str], length: str, order: list[str], most: int = 100, top: int = 100, seed: int = 7) -> DataFrame:
     """At most ``most`` rows a key: the ``top`` longest (ties by ``order``) and a hash-ordered fill.  Keys within the
-    limit keep all rows."""
+    limit keep all rows.  Tasks follow the rows, and rows that are not among the first ``most`` are left at the sort."""
     w = Window.partitionBy(*keys)
-    ranked = hits.withColumn("_n", F.count("*").over(w)).withColumn("_long", F.row_number().over(w.orderBy(F.col(length).desc(), *order)))
+    ranked = dealt(hits, keys).withColumn("_long", F.row_number().over(w.orderBy(F.col(length).desc(), *order)))
+    if top >= most:
+        return ranked.where(F.col("_long") <= most).drop("_long")
     fill = F.row_number().over(w.orderBy((F.col("_long") > top).cast("int"), F.when(F.col("_long") > top, F.xxhash64(*order, F.lit(seed))), "_long"))
-    return ranked.withColumn("_pick", fill).where((F.col("_n") <= most) | (F.col("_pick") <= most)).drop("_n", "_long", "_pick")
+    return ranked.withColumn("_pick", fill).where(F.col("_pick") <= most).drop("_long", "_pick")
 
 
 def terminal_repeat(self_hits: DataFrame, lengths: DataFrame, ltr_slack: int = 3000, tir_slack: int = 2000) -> DataFrame:

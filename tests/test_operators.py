@@ -11,6 +11,7 @@ from strandwise.operators import curation as U
 from strandwise.operators import hits as H
 from strandwise.operators import intervals as I
 from strandwise.operators import ranking as R
+from strandwise.operators import scratch
 from strandwise.streaming.progress import RunningUnion, watch
 
 IV = "chrom string, start long, end long, type string"
@@ -162,6 +163,22 @@ def test_down_sample(spark):
     assert sum(r.k == "b" for r in got) == 4 and sum(r.k == "a" for r in got) == 10 and {r.n for r in got if r.k == "a"} >= set(range(24, 30))
 
 
+def test_down_sample_deals_rows_over_more_tasks(spark, monkeypatch):
+    """Of many rows a task has a share that does not grow; the rows kept are those of one sort."""
+    monkeypatch.setattr(scratch, "TASK_ROWS", 20)
+    rng = random.Random(5)
+    data = [(rng.randrange(40), rng.randrange(9), i) for i in range(400)] + [(None, 1, 400)]
+    rows = spark.createDataFrame(data, "k int, n int, i int")
+    for most, top in ((3, 3), (3, 5), (20, 1)):
+        found = H.down_sample(rows, ["k"], "n", ["i"], most=most, top=top)
+        assert found.rdd.getNumPartitions() == 21
+        got = {(r.k, r.n, r.i) for r in found.collect()}
+        for k in {k for k, _, _ in data}:
+            want = sorted((r for r in data if r[0] == k), key=lambda r: (-r[1], r[2]))
+            mine = {r for r in got if r[0] == k}
+            assert len(mine) == min(most, len(want)) and mine >= set(want[: min(top, most)])
+
+
 def msa(spark, rows):
     return A.cells(spark.createDataFrame([(1, i, s) for i, s in enumerate(rows)], "msa_id int, seq_id int, seq string"))
 
