@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.sequences import header_class, header_name, plain_int, plain_strand, unique_names
+from ..operators.scratch import dealt
 
 # The column layouts of the formats.
 HITS = (
@@ -188,8 +189,9 @@ def tree_distances(spark: SparkSession, newick: str) -> DataFrame:
 
 
 def table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Tab-separated with a header; whole rows that repeat are dropped."""
-    return spark.read.csv(path, sep="\t", header=True, schema=schema).distinct()
+    """Tab-separated with a header; whole rows that repeat are dropped, by tasks whose number follows the rows."""
+    rows = spark.read.csv(path, sep="\t", header=True, schema=schema)
+    return dealt(rows, rows.columns).distinct()
 
 
 def summary(spark: SparkSession, path: str, keep_text: bool = False) -> DataFrame:

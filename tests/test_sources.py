@@ -3,6 +3,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
+from strandwise.operators import scratch
 from strandwise.sources import readers as R
 from strandwise.sources import writers as W
 
@@ -145,3 +146,10 @@ def test_a_record_over_many_splits(spark, tmp_path):
     want = {("big.fa", i, n, len(s.replace(" ", "").replace("\t", ""))): s.replace(" ", "").replace("\t", "") for i, (n, s) in enumerate(seqs.items())} | {("other.fa", 0, "second file", 4): "TTTA"}
     assert {k: "".join(r.part for r in rows) for k, rows in parts.items()} == want
     assert all(r.first == 1000 * r.tile == 1000 * i and (len(r.part) == 1000 or r is rows[-1]) for rows in parts.values() for i, r in enumerate(rows))
+
+
+def test_distinct_rows_are_found_by_tasks_that_follow_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "TASK_ROWS", 10)
+    lines = [f"te{i % 30}\t{i % 30}\t\t+\tORF1" for i in range(60)]
+    found = R.table(spark, put(tmp_path, "t.tsv", "\n".join(["a\tb\tc\td\te", *lines]) + "\n"), R.ORFS)
+    assert found.rdd.getNumPartitions() == 6 and len(found.collect()) == 30
