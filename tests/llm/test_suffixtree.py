@@ -152,3 +152,28 @@ def test_words_are_split_as_bytes_are():
     assert list(zip(owner.tolist(), words.to_pylist())) == want
     words, owner = st.split_words(pa.array(["skipped words", *texts, "more"]).slice(1, len(texts)))
     assert list(zip(owner.tolist(), words.to_pylist())) == want
+
+
+def test_arrays_of_a_bucket_are_freed_before_the_next(monkeypatch):
+    """A kernel that is asked for the next bucket holds nothing of the one before."""
+    import gc
+    import weakref
+
+    held, real = [], st._unpack
+
+    class Part(list):
+        pass
+
+    def unpack(data):
+        gc.collect()
+        assert all(r() is None or r().bucket == data[0] for r in held)
+        part = Part(real(data[1]))
+        part.bucket = data[0]
+        held.append(weakref.ref(part))
+        return part
+
+    monkeypatch.setattr(st, "_unpack", unpack)
+    words = st._pack(st.np.array([3, 4], "u8"), st.np.array([1, 2]))
+    monkeypatch.setattr(st, "_by_key", lambda batches, column: ((b, [(s, b, (b, words)) for s in range(3)]) for b in range(4)))
+    found = list(st._lean(st._words_kernel(2))(iter([])))
+    assert len(found) == 4 and len(held) == 12 and [b.column(3)[0].as_py() for b in found] == [9.0] * 4
