@@ -179,6 +179,14 @@ def test_down_sample_deals_rows_over_more_tasks(spark, monkeypatch):
             assert len(mine) == min(most, len(want)) and mine >= set(want[: min(top, most)])
 
 
+def test_overlap_join_is_spread_over_tasks(spark):
+    """Rows of few bytes have many pairs: the join's tasks are not fitted to the size of the sides."""
+    rows = spark.createDataFrame([("c", 10 * i, 10 * i + 400) for i in range(2000)], "chrom string, start long, end long")
+    found = I.overlap_join(rows, rows)
+    tasks = [n for n in found.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect() if n]
+    assert len(tasks) >= 8 and sum(tasks) == sum(min(2000, i + 40) - max(0, i - 39) for i in range(2000))
+
+
 def msa(spark, rows):
     return A.cells(spark.createDataFrame([(1, i, s) for i, s in enumerate(rows)], "msa_id int, seq_id int, seq string"))
 
