@@ -10,8 +10,11 @@ from strandwise.operators import clustering as L
 from strandwise.operators import curation as U
 from strandwise.operators import hits as H
 from strandwise.operators import intervals as I
+from strandwise.operators import principal as P
 from strandwise.operators import ranking as R
 from strandwise.operators import scratch
+from strandwise.plans import registry
+from strandwise.plans import views as V
 from strandwise.streaming.progress import RunningUnion, watch
 
 IV = "chrom string, start long, end long, type string"
@@ -272,6 +275,35 @@ def test_principal_components_of_many_tables(spark):
         assert np.allclose([got[m, i] for i in range(sizes[m])], tables[m] @ axes)
 
 
+def test_principal_components_of_aligned_rows_need_no_pairs(spark):
+    rng = random.Random(5)
+    heads = ["".join(rng.choices("acgt-", (3, 2, 2, 3, 1), k=40)) for _ in range(6)]
+    turned = lambda s, share: "".join(rng.choice("acgtn") if rng.random() < share else x for x in s)
+    rows = [("large", i, turned(heads[i % 6], 0.3)) for i in range(170)]
+    rows += [("copies", i, heads[i % 5]) for i in range(150)]  # a table of few axes
+    rows += [("empty", i, "-" * 40) for i in range(70)]
+    rows += [("long", i, turned(heads[i % 4] * 4, 0.2)) for i in range(80)]
+    rows += [("small", i, turned(heads[0], 0.3)) for i in range(9)] + [("one", 1, "acgt")]
+    msa = spark.createDataFrame(rows, "msa_id string, seq_id int, seq string")
+    nodes = msa.select("msa_id", F.col("seq_id").alias("id"))
+    want = {(r.msa_id, r.id): r.components for r in L.principal_components(nodes, L.k2p(A.cells(msa)).where("d is not null"), key="msa_id").collect()}
+    got = {(r.msa_id, r.id): r.components for r in P.principal_components_aligned(msa, small=60, block=64).collect()}
+    assert got.keys() == want.keys() and len(got) == len(rows)
+    assert all(np.allclose(got[x], want[x], atol=1e-7) for x in got)
+    odd = msa.where("msa_id = 'small'").unionByName(spark.createDataFrame([("small", None, "acgt"), (None, 3, "acgt")], msa.schema))
+    got = {(r.msa_id, r.id): r.components for r in P.principal_components_aligned(odd).collect()}
+    assert len(got) == 11 and got["small", None] == [0.0, 0.0] == got[None, 3]
+    assert P.principal_components_aligned(msa.limit(0)).count() == 0
+
+
+def test_principal_components_query(spark):
+    msa = V.msa(spark, "/root/testdata/sf0.001")
+    nodes = msa.select("msa_id", F.col("seq_id").alias("id"))
+    want = {r.id: r.components for r in L.principal_components(nodes, L.k2p(A.cells(msa)).where("d is not null"), key="msa_id").collect()}
+    got = {r.id: r.components for r in registry.QUERIES["principal_components"](spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[x], want[x], atol=1e-7) for x in got)
+
+
 def test_intermediate_tables_need_a_shared_folder_off_one_machine(spark, monkeypatch):
     class Elsewhere:
         sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "x"})
