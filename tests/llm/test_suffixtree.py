@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -177,3 +178,13 @@ def test_arrays_of_a_bucket_are_freed_before_the_next(monkeypatch):
     monkeypatch.setattr(st, "_by_key", lambda batches, column: ((b, [(s, b, (b, words)) for s in range(3)]) for b in range(4)))
     found = list(st._lean(st._words_kernel(2))(iter([])))
     assert len(found) == 4 and len(held) == 12 and [b.column(3)[0].as_py() for b in found] == [9.0] * 4
+
+
+def test_packed_integers_come_back_at_every_width():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 7, st._RUN - 1, st._RUN, 2 * st._RUN + 3):
+        columns = [rng.integers(0, 1 << 8 * w, n, dtype=np.uint64) if w < 8 else rng.integers(0, 2**64 - 1, n, dtype=np.uint64) for w in range(1, 9)]
+        got = st._unpack(st._pack(*columns))
+        assert len(got) == 8 and all(np.array_equal(a, b) for a, b in zip(got, columns, strict=True))
+    planes = np.frombuffer(bytes(range(1, 25)), np.uint8).reshape(3, 8)
+    assert st._joined(planes).tolist() == [(i + 1) + (i + 9 << 8) + (i + 17 << 16) for i in range(8)]
