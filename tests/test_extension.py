@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from strandwise.operators import alignment as A
 from strandwise.operators import extension as E
 from strandwise.operators import progressive as P
+from strandwise.operators.intervals import fetch
+from strandwise.operators.scratch import written
 from strandwise.operators.search import centre_star
 from strandwise.plans import homology_queries as Q
 from strandwise.plans import views
@@ -174,3 +176,18 @@ def test_windows_follow_strand_and_round(spark):
     one = E.next_window(F.col("side"), F.col("strand"), F.lit(500), F.lit(600), limits, 1)
     got = {(r.side, r.strand): (r.a, r.b) for r in rows.select("side", "strand", one[0].alias("a"), one[1].alias("b")).collect()}
     assert got == {("left", "+"): (410, 521), ("right", "-"): (410, 521), ("left", "-"): (579, 690), ("right", "+"): (579, 690)}
+
+
+def test_windows_are_cut_before_they_are_grouped(spark):
+    """Whole tiles are not sorted with the windows of them, one for each window."""
+    places = spark.createDataFrame([("c", 1, 5, "+")], "chrom string, start long, end long, strand string")
+    plan = fetch(places, spark.createDataFrame([("c", "ACGTACGT")], "chrom string, seq string"))._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "collect_list" in line]
+    assert grouped and not any("_part" in line for line in grouped)
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = files.getAllFiles().size()
+    written(spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count())
+    assert files.getAllFiles().size() <= before
