@@ -60,6 +60,25 @@ def test_overlap_join(spark, outer):
         assert len(alone) == sum(not any(c == k and max(s, x) < min(e, y) for c, x, y, _ in b) for k, s, e, _ in a) and all(r.overlap == 0 for r in alone)
 
 
+def test_equal_intervals_meet_once_and_are_all_returned(spark, monkeypatch):
+    """Their pairs follow each other; more copies than one row stands for, null columns and -0.0 included."""
+    monkeypatch.setattr(I, "COPIES", 3)
+    a = [("c", 0, 10, "x", None)] * 7 + [("c", 5, 9, "y", 1)] * 2 + [("c", 90, 99, "z", 1)] * 2
+    b = [("c", 4, 6, "u", 1)] * 5 + [("c", 6, 20, None, 1)]
+    one, two = (spark.createDataFrame(r, "chrom string, start long, end long, type string, n int") for r in (a, b))
+    pairs = I.overlap_join(one, two, width=4, left_outer=True)
+    got = sorted(map(str, ((r.start, r.type, r.n, r.b_start, r.b_type, r.overlap) for r in pairs.collect())))
+    want = [(x[1], x[3], x[4], y[1], y[3], min(x[2], y[2]) - max(x[1], y[1])) for x in a for y in b if max(x[1], y[1]) < min(x[2], y[2])]
+    want += [(x[1], x[3], x[4], None, None, 0) for x in a if x[1] == 90]
+    assert got == sorted(map(str, want)) and len(got) == 54 + 2
+    met = I.overlap_join(one, two, width=4)._jdf.queryExecution().optimizedPlan().toString()
+    below = met[met.index("Join Inner") :]
+    assert below.count("Aggregate [") == 2
+    zero = spark.createDataFrame([("c", 0, 5, -0.0)], "chrom string, start long, end long, w double")
+    assert math.copysign(1, I.overlap_join(zero, zero).first().w) == -1
+
+
+
 def test_cross_lengths_add_up(spark):
     lengths = spark.createDataFrame([("a", 500), ("b", 500)], "chrom string, length long")
     parts = [I.merge(spark.createDataFrame(intervals(s), IV), ["chrom"]).withColumn("type", F.lit("x")) for s in (5, 6)]
